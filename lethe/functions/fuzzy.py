@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,37 +138,140 @@ def similar(left: str, right: str, threshold: float = THRESHOLD) -> bool:
 
 
 class _Probe:
-    """A pattern prepared once per task."""
-
-    def __init__(self, ord_: int, compact: str, threshold: float) -> None:
-        self.ord, self.compact, self.threshold = ord_, compact, threshold
-        self.masks, self.pieces = _masks(compact), _pieces(compact, threshold)
-
-    def found_in(self, text: str) -> bool:
-        if len(text) <= len(self.compact):
-            return similar(self.compact, text, self.threshold)
-        return _inside_reach(self.compact, self.masks, self.pieces, text, self.threshold) or _edges_reach(
-            self.compact, self.masks, text, self.threshold
-        )
+    """A pattern of at most 64 characters, compared with many texts at once."""
+
+    def __init__(self, compact: str, threshold: float) -> None:
+        self.compact, self.threshold, self.m = compact, threshold, len(compact)
+        self.forward, self.backward = self._table(compact), self._table(compact[::-1])
+        self.full = np.uint64((1 << self.m) - 1)
+        self.need = self.m - _misses(self.m, threshold)
+
+    @staticmethod
+    def _table(needle: str) -> np.ndarray:
+        table = np.zeros(256, dtype=np.uint64)
+        for c, mask in _masks(needle).items():
+            table[ord(c)] = mask
+        return table
+
+    def _advance(self, state: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        both = state & hits
+        return ((state + both) | (state - both)) & self.full
+
+    def _length(self, state: np.ndarray) -> np.ndarray:
+        return self.m - np.bitwise_count(state).astype(np.int64)
+
+    def found_in(self, block: "_Block") -> np.ndarray:
+        """For each text of the block, whether the similarity is reached."""
+        found = np.zeros(block.count, dtype=bool)
+        long = block.lengths > self.m
+        self._inside(block, found)
+        for table, edge in ((self.forward, block.heads(self.m - 1)), (self.backward, block.tails(self.m - 1))):
+            state = np.full(block.count, self.full, dtype=np.uint64)
+            for w in range(1, self.m):
+                state = self._advance(state, table[edge[:, w - 1]])
+                found |= long & (200 * self._length(state) >= self.threshold * (self.m + w))
+        for i in np.flatnonzero(~long & (block.lengths > 0)):
+            found[i] = similar(self.compact, block.texts[i], self.threshold)
+        return found
+
+    def _inside(self, block: "_Block", found: np.ndarray) -> None:
+        """Windows of the pattern's length; few pass the test on shared characters."""
+        if block.bytes.size < self.m:
+            return
+        shared = np.cumsum(self.forward[block.bytes] != 0, dtype=np.int32)
+        inside = shared[self.m - 1 :].copy()
+        inside[1:] -= shared[: -self.m]
+        starts = np.flatnonzero(inside >= self.need)
+        owner = block.owner_of(starts)
+        keep = (starts + self.m <= block.ends[owner]) & (block.lengths[owner] > self.m)
+        starts, owner = starts[keep], owner[keep]
+        state = np.full(starts.size, self.full, dtype=np.uint64)
+        for k in range(self.m):
+            state = self._advance(state, self.forward[block.bytes[starts + k]])
+        hit = 200 * self._length(state) >= self.threshold * 2 * self.m
+        found[owner[hit]] = True
+
+
+class _Block:
+    """Compact texts (bytes of [a-z0-9]) laid end to end."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, self.count = texts, len(texts)
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.ends = np.cumsum(self.lengths)
+        self.bytes = np.frombuffer("".join(texts).encode("ascii"), dtype=np.uint8)
+
+    def owner_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, places, side="right")
+
+    def _edge(self, width: int, cut) -> np.ndarray:
+        rows = np.zeros((self.count, max(width, 1)), dtype=np.uint8)
+        for i, t in enumerate(self.texts):
+            part = np.frombuffer(cut(t, width).encode("ascii"), dtype=np.uint8)
+            rows[i, : part.size] = part
+        return rows
+
+    def heads(self, width: int) -> np.ndarray:
+        if not hasattr(self, "_heads"):
+            self._heads = self._edge(63, lambda t, w: t[:w])
+        return self._heads
+
+    def tails(self, width: int) -> np.ndarray:
+        if not hasattr(self, "_tails"):
+            self._tails = self._edge(63, lambda t, w: t[: -w - 1 : -1])
+        return self._tails
+
+
+BLOCK_CHARS = 1_000_000
+
+
+def _blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Cut a list of texts into runs of about a million characters, with their offsets."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > BLOCK_CHARS:
+            yield start, texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, texts[start:]
+
+
+def _hits(texts: list[str], patterns: list[tuple[int, str]], threshold: float) -> list[list[int]]:
+    """For each text the patterns it reaches, in pattern order."""
+    probes = [(o, c, _Probe(c, threshold) if len(c) <= 64 else None) for o, c in patterns]
+    found: list[list[int]] = [[] for _ in texts]
+    for offset, part in _blocks(texts):
+        block = _Block(part)
+        for ord_, compact, probe in probes:
+            if probe is None:
+                reached = [i for i, t in enumerate(part) if similar(compact, t, threshold)]
+            else:
+                reached = np.flatnonzero(probe.found_in(block)).tolist()
+            for i in reached:
+                found[offset + i].append(ord_)
+    return found
 
 
 def _fuzzy_lookup(rows: list[dict], threshold: float):
-    usable = [(r["concept"], r["ord"], r["compact"]) for r in rows if len(r["compact"]) >= MIN_COMPACT_LENGTH]
+    usable: dict[str, list[tuple[int, str]]] = {}
+    for r in rows:
+        if len(r["compact"]) >= MIN_COMPACT_LENGTH:
+            usable.setdefault(r["concept"], []).append((r["ord"], r["compact"]))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def lookup(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        probes: dict[str, list[_Probe]] = {}
-        for concept, ord_, compact in usable:
-            probes.setdefault(concept, []).append(_Probe(ord_, compact, threshold))
-        for texts, skips, concepts in batches:
-            yield pd.Series(
-                [
-                    [p.ord for p in probes.get(c, ()) if p.ord not in set(s) and p.found_in(t)] if t else []
-                    for t, s, c in zip(texts, skips, concepts)
-                ]
-            )
+    def lookup(texts: pd.Series, skips: pd.Series, concepts: pd.Series) -> pd.Series:
+        out: list[list[int]] = [[] for _ in range(len(texts))]
+        plain = texts.fillna("").tolist()
+        for concept, places in concepts.groupby(concepts.values).indices.items():
+            hits = _hits([plain[i] for i in places], usable.get(concept, []), threshold)
+            for i, ords in zip(places, hits):
+                known = set(skips.iloc[i])
+                out[i] = [o for o in ords if o not in known]
+        return pd.Series(out, index=texts.index)
 
-    return lookup
+    # One evaluation per row: not copied into filters derived from later steps.
+    return lookup.asNondeterministic()
 
 
 def _fuzzy_packed(threshold: float):
@@ -189,7 +293,7 @@ def _fuzzy_packed(threshold: float):
                 ]
             )
 
-    return lookup
+    return lookup.asNondeterministic()
 
 
 def normalized_entries(patterns: DataFrame) -> DataFrame:

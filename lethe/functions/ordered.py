@@ -140,14 +140,15 @@ def seeded_bucket(order: Column, hex_digits: int = 2) -> Column:
 
 
 def keep_extreme(df: DataFrame, key: Column, position: str, last: bool = False) -> DataFrame:
-    """Keep the first (or last) row per key, by a unique position.
+    """Keep the first (or last) row per key, by a position unique within the key.
 
-    The smallest position per key is found with map-side partial aggregation and rows are
-    then picked by position, so a key shared by a third of the rows never forms one group.
+    The smallest position per key is found with map-side partial aggregation, and rows are
+    picked by (key, position), so a key shared by a third of the rows never forms one group.
     """
     pick = F.max(position) if last else F.min(position)
-    kept = df.select(key.alias("__key"), F.col(position)).groupBy("__key").agg(pick.alias(position))
-    return df.join(kept.select(position), position, "left_semi")
+    keyed = df.withColumn("__key", key)
+    kept = keyed.groupBy("__key").agg(pick.alias(position))
+    return keyed.join(kept, ["__key", position], "left_semi").select(*df.columns)
 
 
 def exact_quantiles(
