@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe.functions import matching
-from lethe.functions.text import WORD, let, words
+from lethe.functions.text import WORD, let
 
 THRESHOLD = 85.0
 MIN_COMPACT_LENGTH = 4
@@ -144,7 +144,8 @@ class _Probe:
         self.compact, self.threshold, self.m = compact, threshold, len(compact)
         self.forward, self.backward = self._table(compact), self._table(compact[::-1])
         self.full = np.uint64((1 << self.m) - 1)
-        self.need = self.m - _misses(self.m, threshold)
+        self.slack = _misses(self.m, threshold)
+        self.pieces = _pieces(compact, threshold)
 
     @staticmethod
     def _table(needle: str) -> np.ndarray:
@@ -164,26 +165,32 @@ class _Probe:
         """For each text of the block, whether the similarity is reached."""
         found = np.zeros(block.count, dtype=bool)
         long = block.lengths > self.m
-        self._inside(block, found)
         for table, edge in ((self.forward, block.heads(self.m - 1)), (self.backward, block.tails(self.m - 1))):
             state = np.full(block.count, self.full, dtype=np.uint64)
             for w in range(1, self.m):
                 state = self._advance(state, table[edge[:, w - 1]])
                 found |= long & (200 * self._length(state) >= self.threshold * (self.m + w))
+        self._inside(block, found)
         for i in np.flatnonzero(~long & (block.lengths > 0)):
             found[i] = similar(self.compact, block.texts[i], self.threshold)
         return found
 
     def _inside(self, block: "_Block", found: np.ndarray) -> None:
-        """Windows of the pattern's length; few pass the test on shared characters."""
-        if block.bytes.size < self.m:
+        """Windows of the pattern's length around the verbatim occurrences of a piece."""
+        last = block.bytes.size - self.m
+        if last < 0:
             return
-        shared = np.cumsum(self.forward[block.bytes] != 0, dtype=np.int32)
-        inside = shared[self.m - 1 :].copy()
-        inside[1:] -= shared[: -self.m]
-        starts = np.flatnonzero(inside >= self.need)
+        marked = np.zeros(last + 1, dtype=bool)
+        if not self.pieces:
+            marked[:] = True
+        for offset, piece in self.pieces:
+            base = block.places_of(piece) - offset
+            for shift in range(-self.slack, self.slack + 1):
+                starts = base + shift
+                marked[starts[(starts >= 0) & (starts <= last)]] = True
+        starts = np.flatnonzero(marked)
         owner = block.owner_of(starts)
-        keep = (starts + self.m <= block.ends[owner]) & (block.lengths[owner] > self.m)
+        keep = (starts + self.m <= block.ends[owner]) & (block.lengths[owner] > self.m) & ~found[owner]
         starts, owner = starts[keep], owner[keep]
         state = np.full(starts.size, self.full, dtype=np.uint64)
         for k in range(self.m):
@@ -201,6 +208,20 @@ class _Block:
         self.ends = np.cumsum(self.lengths)
         self.bytes = np.frombuffer("".join(texts).encode("ascii"), dtype=np.uint8)
 
+        self._codes: dict[int, np.ndarray] = {}
+
+    def places_of(self, piece: str) -> np.ndarray:
+        """Where the first four characters of a piece occur."""
+        head = piece[:4].encode("ascii")
+        width = len(head)
+        if width not in self._codes:
+            size = max(self.bytes.size - width + 1, 0)
+            code = np.zeros(size, dtype=np.uint32)
+            for k in range(width):
+                code = (code << np.uint32(8)) | self.bytes[k : k + size]
+            self._codes[width] = code
+        return np.flatnonzero(self._codes[width] == np.uint32(int.from_bytes(head, "big")))
+
     def owner_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, side="right")
 
@@ -301,17 +322,11 @@ def normalized_entries(patterns: DataFrame) -> DataFrame:
     if "concept" not in patterns.columns:
         patterns = patterns.withColumn("concept", F.lit(""))
     table = patterns.withColumn("normal", normalize(F.col("pattern"))).where(F.length("normal") > 0)
-    longest = let(
-        words(F.col("normal")),
-        lambda t: F.array_max(
-            F.transform(t, lambda w, i: F.struct(F.length(w).alias("l"), (-i).alias("i"), w.alias("w")))
-        )["w"],
-    )
     return table.select(
         F.col("concept").cast("string"),
         F.col("ord").cast("int"),
         "pattern",
-        longest.alias("anchor"),
+        matching.anchor(F.col("normal")).alias("anchor"),
         F.concat(F.lit(f"(?<!{WORD})"), F.col("normal"), F.lit(f"(?!{WORD})")).alias("regex"),
         F.replace(F.col("normal"), F.lit(" "), F.lit("")).alias("compact"),
     )
@@ -322,9 +337,14 @@ def _merge(exact: Column, fuzzy: Column, names: Column) -> Column:
     whole = F.transform(
         exact, lambda m: F.struct(m["ord"].alias("ord"), m["pattern"].alias("pattern"), m["n"].alias("n"), F.lit(True).alias("exact"))
     )
-    near = F.transform(
-        F.filter(names, lambda e: F.array_contains(fuzzy, e["ord"])),
-        lambda e: F.struct(e["ord"].alias("ord"), e["pattern"].alias("pattern"), F.lit(1).alias("n"), F.lit(False).alias("exact")),
+    near = let(
+        fuzzy,
+        lambda hit: F.transform(
+            F.filter(names, lambda e: F.array_contains(hit, e["ord"])),
+            lambda e: F.struct(
+                e["ord"].alias("ord"), e["pattern"].alias("pattern"), F.lit(1).alias("n"), F.lit(False).alias("exact")
+            ),
+        ),
     )
     return F.array_sort(F.concat(whole, near)).cast(FUZZY)
 
@@ -349,7 +369,7 @@ def with_fuzzy_matches(
     compact = F.replace(F.col("__normal"), F.lit(" "), F.lit(""))
     own = F.col(concept) if concept else F.lit("")
     if rows is not None:
-        slim = [{k: r[k] for k in ("concept", "ord", "pattern", "anchor", "regex")} for r in rows]
+        slim = [{k: v for k, v in r.items() if k != "compact"} for r in rows]
         exact = normal.withColumn(
             "__exact", matching.literal_matches(F.col("__normal"), slim, own if concept else None)
         )

@@ -62,23 +62,32 @@ def select_patterns(
     )
 
 
+def word_pairs(tokens: Column) -> Column:
+    """Neighboring words joined by a space; the last word has no pair."""
+    return F.transform(tokens, lambda w, i: F.concat(w, F.lit(" "), F.get(tokens, i + 1)))
+
+
+def anchor(folded: Column) -> Column:
+    """The longest pair of neighboring words, or the only word, or null without any."""
+
+    def longest(t: Column) -> Column:
+        sized = F.transform(word_pairs(t), lambda p, i: F.struct(F.length(p).alias("l"), (-i).alias("i"), p.alias("p")))
+        return F.when(F.size(t) == 1, F.get(t, F.lit(0))).otherwise(
+            F.array_max(F.filter(sized, lambda s: s["p"].isNotNull()))["p"]
+        )
+
+    return let(words(folded), longest)
+
+
 def entries(patterns: DataFrame) -> DataFrame:
-    """Add the regular expression and the anchor: the longest word of the folded pattern."""
+    """Add the regular expression and the anchor by which texts find their candidates."""
     if "concept" not in patterns.columns:
         patterns = patterns.withColumn("concept", F.lit(""))
-    tokens = words(fold(F.col("pattern")))
-    longest = let(
-        tokens,
-        lambda t: F.when(
-            F.size(t) > 0,
-            F.array_max(F.transform(t, lambda w, i: F.struct(F.length(w).alias("l"), (-i).alias("i"), w.alias("w"))))["w"],
-        ),
-    )
     return patterns.where(F.length("pattern") > 0).select(
         F.col("concept").cast("string"),
         F.col("ord").cast("int"),
         F.col("pattern"),
-        longest.alias("anchor"),
+        anchor(fold(F.col("pattern"))).alias("anchor"),
         whole_word(F.col("pattern")).alias("regex"),
     )
 
@@ -101,39 +110,50 @@ def small_dictionary(
 def literal_matches(text: Column, rows: list[dict], concept: Column | None = None) -> Column:
     """``MATCHES`` of a small dictionary, found inside the row.
 
-    The words of the text are intersected with the anchors; only patterns whose anchor
-    occurs are run as regular expressions.
+    The words and word pairs of the text are intersected with the anchors; only patterns
+    whose anchor occurs are run as regular expressions.
     """
     table = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<{ENTRY}>")
-    anchors = F.lit(sorted({r["anchor"] for r in rows if r["anchor"]}) or [""])
-    present = F.array_intersect(words(fold(text)), anchors)
+    anchors = sorted({r["anchor"] for r in rows if r["anchor"]})
+    single = any(" " not in a for a in anchors)
+    paired = any(" " in a for a in anchors)
 
-    def verify(found: Column) -> Column:
-        def candidate(e: Column) -> Column:
+    def keys(tokens: Column) -> Column:
+        if single and paired:
+            return F.concat(tokens, word_pairs(tokens))
+        return word_pairs(tokens) if paired else tokens
+
+    def candidates(found: Column) -> Column:
+        def possible(e: Column) -> Column:
             hit = e["anchor"].isNull() | F.array_contains(found, e["anchor"])
-            return hit if concept is None else hit & (e["concept"] == concept)
+            return hit if concept is None else (e["concept"] == concept) & hit
+
+        return F.filter(table, possible)
 
+    def search(body: Column) -> Column:
+        present = let(words(fold(body)), lambda w: F.array_intersect(keys(w), F.lit(anchors or [""])))
         counted = F.transform(
-            F.filter(table, candidate),
+            let(present, candidates),
             lambda e: F.struct(
                 e["ord"].alias("ord"),
                 e["pattern"].alias("pattern"),
-                F.regexp_count(text, e["regex"]).alias("n"),
+                F.regexp_count(body, e["regex"]).alias("n"),
             ),
         )
         return F.filter(counted, lambda m: m["n"] > 0)
 
-    return F.coalesce(let(present, verify), F.array().cast(MATCHES))
+    return F.coalesce(let(text, search), F.array().cast(MATCHES))
 
 
 def joined_matches(
     df: DataFrame, table: DataFrame, text: str, key: str, concept: str | None = None
 ) -> DataFrame:
     """``MATCHES`` of a dictionary of any size, by joining texts and patterns on the anchor."""
+    found_keys = let(words(fold(F.col(text))), lambda w: F.array_distinct(F.concat(w, word_pairs(w))))
     tokens = df.select(
         key,
         *([concept] if concept else []),
-        F.explode(F.array_distinct(words(fold(F.col(text))))).alias("anchor"),
+        F.explode(F.array_compact(found_keys)).alias("anchor"),
     )
     sides = ["anchor"]
     lookup = table

@@ -52,17 +52,45 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{WORD}+")).cast("bigint")
 
 
-# Lower-case letters that equal another letter when case is ignored.
-VARIANTS = "ſıςϐϑϰϖϕϱϵẛ"
-PLAIN = "siσβθκπφρεṡ"
+# Lower-case letters that equal another letter when case is ignored.
+VARIANTS = {
+    "ı": "i",
+    "ſ": "s",
+    "µ": "μ",
+    "ς": "σ",
+    "ϐ": "β",
+    "ϑ": "θ",
+    "ϰ": "κ",
+    "ϖ": "π",
+    "ϕ": "φ",
+    "ϱ": "ρ",
+    "ϵ": "ε",
+    "\u0345": "ι",
+    "\u1fbe": "ι",
+    "\u1fd3": "\u0390",
+    "\u1fe3": "\u03b0",
+    "ẛ": "ṡ",
+    "\ufb05": "\ufb06",
+}
+DOTTED_I = "i\u0307"  # lower case of the capital I with a dot
 
 
 def fold(text: Column) -> Column:
-    """Lower case with the case-insensitive variants (long s, final sigma, ...) made equal."""
-    return let(
-        F.lower(text),
-        lambda t: F.when(F.regexp_like(t, F.lit(f"[{VARIANTS}]")), F.translate(t, VARIANTS, PLAIN)).otherwise(t),
-    )
+    """Lower case with the case-insensitive variants (long s, final sigma, ...) made equal.
+
+    Two texts that match letter by letter ignoring case fold to the same text.
+    """
+
+    def plain(t: Column) -> Column:
+        special = F.contains(t, F.lit(DOTTED_I))
+        for letter in VARIANTS:
+            special = special | F.contains(t, F.lit(letter))
+        mapped = F.translate(
+            F.replace(t, F.lit(DOTTED_I), F.lit("i")), "".join(VARIANTS), "".join(VARIANTS.values())
+        )
+        return F.when(special, mapped).otherwise(t)
+
+    return let(F.lower(text), plain)
 
 
 def words(text: Column) -> Column:
