@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,15 +181,14 @@ class _Probe:
         last = block.bytes.size - self.m
         if last < 0:
             return
-        marked = np.zeros(last + 1, dtype=bool)
-        if not self.pieces:
-            marked[:] = True
+        # One spare place on either side takes the windows that would leave the block.
+        marked = np.zeros(last + 3, dtype=bool)
+        marked[1:-1] = not self.pieces
         for offset, piece in self.pieces:
-            base = block.places_of(piece) - offset
+            bases = block.places_of(piece) - offset
             for shift in range(-self.slack, self.slack + 1):
-                starts = base + shift
-                marked[starts[(starts >= 0) & (starts <= last)]] = True
-        starts = np.flatnonzero(marked)
+                marked[np.clip(bases + shift, -1, last + 1) + 1] = True
+        starts = np.flatnonzero(marked[1:-1])
         owner = block.owner_of(starts)
         keep = (starts + self.m <= block.ends[owner]) & (block.lengths[owner] > self.m) & ~found[owner]
         starts, owner = starts[keep], owner[keep]
@@ -208,10 +208,10 @@ class _Block:
         self.ends = np.cumsum(self.lengths)
         self.bytes = np.frombuffer("".join(texts).encode("ascii"), dtype=np.uint8)
 
-        self._codes: dict[int, np.ndarray] = {}
+        self._codes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def places_of(self, piece: str) -> np.ndarray:
-        """Where the first four characters of a piece occur."""
+        """Where the first four characters of a piece occur, from a sorted index."""
         head = piece[:4].encode("ascii")
         width = len(head)
         if width not in self._codes:
@@ -219,8 +219,11 @@ class _Block:
             code = np.zeros(size, dtype=np.uint32)
             for k in range(width):
                 code = (code << np.uint32(8)) | self.bytes[k : k + size]
-            self._codes[width] = code
-        return np.flatnonzero(self._codes[width] == np.uint32(int.from_bytes(head, "big")))
+            order = np.argsort(code)
+            self._codes[width] = (code[order], order)
+        codes, order = self._codes[width]
+        wanted = np.uint32(int.from_bytes(head, "big"))
+        return order[np.searchsorted(codes, wanted, "left") : np.searchsorted(codes, wanted, "right")]
 
     def owner_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, side="right")
@@ -274,25 +277,37 @@ def _hits(texts: list[str], patterns: list[tuple[int, str]], threshold: float) -
     return found
 
 
-def _fuzzy_lookup(rows: list[dict], threshold: float):
+def _probe(df: DataFrame, rows: list[dict], threshold: float, text: str, concept: str | None) -> DataFrame:
+    """Add the normalized text and the patterns it reaches, in one pass through Arrow.
+
+    A mapped stage, not a column UDF: it runs once however often its columns are used.
+    """
     usable: dict[str, list[tuple[int, str]]] = {}
     for r in rows:
         if len(r["compact"]) >= MIN_COMPACT_LENGTH:
             usable.setdefault(r["concept"], []).append((r["ord"], r["compact"]))
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField("__normal", T.StringType()), T.StructField("__fuzzy", T.ArrayType(T.IntegerType()))]
+    )
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def lookup(texts: pd.Series, skips: pd.Series, concepts: pd.Series) -> pd.Series:
-        out: list[list[int]] = [[] for _ in range(len(texts))]
-        plain = texts.fillna("").tolist()
-        for concept, places in concepts.groupby(concepts.values).indices.items():
-            hits = _hits([plain[i] for i in places], usable.get(concept, []), threshold)
-            for i, ords in zip(places, hits):
-                known = set(skips.iloc[i])
-                out[i] = [o for o in ords if o not in known]
-        return pd.Series(out, index=texts.index)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            normal = [_normalize(t) for t in batch.column(text).to_pylist()]
+            compact = [(n or "").replace(" ", "") for n in normal]
+            owners = batch.column(concept).to_pylist() if concept else [""] * len(normal)
+            groups: dict[str, list[int]] = {}
+            for i, c in enumerate(owners):
+                groups.setdefault(c, []).append(i)
+            found: list[list[int]] = [[] for _ in normal]
+            for c, places in groups.items():
+                for i, ords in zip(places, _hits([compact[i] for i in places], usable.get(c, []), threshold)):
+                    found[i] = ords
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(normal, pa.string()), pa.array(found, pa.list_(pa.int32()))],
+                names=[*batch.schema.names, "__normal", "__fuzzy"],
+            )
 
-    # One evaluation per row: not copied into filters derived from later steps.
-    return lookup.asNondeterministic()
+    return df.mapInArrow(run, schema)
 
 
 def _fuzzy_packed(threshold: float):
@@ -314,7 +329,7 @@ def _fuzzy_packed(threshold: float):
                 ]
             )
 
-    return lookup.asNondeterministic()
+    return lookup
 
 
 def normalized_entries(patterns: DataFrame) -> DataFrame:
@@ -337,13 +352,11 @@ def _merge(exact: Column, fuzzy: Column, names: Column) -> Column:
     whole = F.transform(
         exact, lambda m: F.struct(m["ord"].alias("ord"), m["pattern"].alias("pattern"), m["n"].alias("n"), F.lit(True).alias("exact"))
     )
-    near = let(
-        fuzzy,
-        lambda hit: F.transform(
-            F.filter(names, lambda e: F.array_contains(hit, e["ord"])),
-            lambda e: F.struct(
-                e["ord"].alias("ord"), e["pattern"].alias("pattern"), F.lit(1).alias("n"), F.lit(False).alias("exact")
-            ),
+    known = F.transform(exact, lambda m: m["ord"])
+    near = F.transform(
+        F.filter(names, lambda e: F.array_contains(fuzzy, e["ord"]) & ~F.array_contains(known, e["ord"])),
+        lambda e: F.struct(
+            e["ord"].alias("ord"), e["pattern"].alias("pattern"), F.lit(1).alias("n"), F.lit(False).alias("exact")
         ),
     )
     return F.array_sort(F.concat(whole, near)).cast(FUZZY)
@@ -365,27 +378,24 @@ def with_fuzzy_matches(
     """
     table = normalized_entries(patterns)
     rows = matching.small_dictionary(table, max_patterns)
-    normal = df.withColumn("__normal", normalize(F.col(text)))
-    compact = F.replace(F.col("__normal"), F.lit(" "), F.lit(""))
     own = F.col(concept) if concept else F.lit("")
     if rows is not None:
         slim = [{k: v for k, v in r.items() if k != "compact"} for r in rows]
-        exact = normal.withColumn(
+        probed = _probe(df, rows, threshold, text, concept)
+        exact = probed.withColumn(
             "__exact", matching.literal_matches(F.col("__normal"), slim, own if concept else None)
         )
-        fuzzy = exact.withColumn(
-            "__fuzzy",
-            _fuzzy_lookup(rows, threshold)(compact, F.transform("__exact", lambda m: m["ord"]), own),
-        )
         names = F.from_json(
             F.lit(json.dumps([{k: r[k] for k in ("concept", "ord", "pattern")} for r in rows], ensure_ascii=False)),
             "array<struct<concept:string,ord:int,pattern:string>>",
         )
         mine = F.filter(names, lambda e: e["concept"] == own) if concept else names
-        return fuzzy.withColumn("fuzzy_matches", _merge(F.col("__exact"), F.col("__fuzzy"), mine)).drop(
+        return exact.withColumn("fuzzy_matches", _merge(F.col("__exact"), F.col("__fuzzy"), mine)).drop(
             "__normal", "__exact", "__fuzzy"
         )
 
+    normal = df.withColumn("__normal", normalize(F.col(text)))
+    compact = F.replace(F.col("__normal"), F.lit(" "), F.lit(""))
     exact = matching.joined_matches(normal, table.drop("compact"), "__normal", key, concept).withColumn(
         "__concept", own
     )

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lethe.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +23,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def texts(self, *columns: str) -> DataFrame:
+        """Documents for costly per-row work, on all cores even when the table is one small file."""
+        return spread(self.documents.select(*columns))
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:

@@ -34,7 +34,7 @@ from lethe.plans.standins import (
 
 @query("leak_exact_matches", f"with {PHRASES_SQL} select doc_id, pattern, n::bigint as occurrences from hits")
 def leak_exact_matches(t: Tables) -> DataFrame:
-    found = matching.with_matches(t.documents.select("doc_id", "text"), phrases(t), "text", "doc_id")
+    found = matching.with_matches(t.texts("doc_id", "text"), phrases(t), "text", "doc_id")
     return found.select("doc_id", F.explode("matches").alias("m")).select(
         "doc_id", "m.pattern", F.col("m.n").cast("bigint").alias("occurrences")
     )
@@ -51,7 +51,7 @@ SCORES_SQL = {
 def _leak_scores(mode: str) -> Callable[[Tables], DataFrame]:
     def build(t: Tables) -> DataFrame:
         scored = rewards.exact_reward(
-            t.documents.select("doc_id", "text"), phrases(t), "text", "doc_id", mode=mode
+            t.texts("doc_id", "text"), phrases(t), "text", "doc_id", mode=mode
         )
         return scored.select(
             "doc_id",
@@ -83,7 +83,7 @@ for _mode, (_names, _count, _score) in SCORES_SQL.items():
 )
 def leak_score_by_language(t: Tables) -> DataFrame:
     """Mean length-aware leakage score per language."""
-    found = matching.with_matches(t.documents.select("doc_id", "lang", "text"), phrases(t), "text", "doc_id")
+    found = matching.with_matches(t.texts("doc_id", "lang", "text"), phrases(t), "text", "doc_id")
     m = F.col("matches")
     counted = found.select(
         "lang",
@@ -108,7 +108,7 @@ def leak_score_by_language(t: Tables) -> DataFrame:
         from per_doc group by source""",
 )
 def reward_r0_by_source(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "source", "text")
+    rows = t.texts("doc_id", "source", "text")
     scored = rewards.reward("r0", rows, patterns=phrases(t), completion="text", key="doc_id")
     means = rewards.reward_means(scored, ["source"])
     return means.select("source", "n", r6("reward_mean").alias("reward_mean"))
@@ -379,7 +379,7 @@ ent as (select tok.doc_id, coalesce(h2.h, 0.0) h2, coalesce(h3.h, 0.0) h3
                round(((2.0::double / 3) * h2 + (4.0::double / 3) * h3) / 2, 6) + 0.0 as weighted from ent""",
 )
 def ngram_entropy_query(t: Tables) -> DataFrame:
-    tokens = t.documents.select("doc_id", entropy_tokens(F.col("text")).alias("tokens"))
+    tokens = t.texts("doc_id", entropy_tokens(F.col("text")).alias("tokens"))
     both = tokens.select(
         "doc_id", ngram_entropy(F.col("tokens"), 2).alias("h2"), ngram_entropy(F.col("tokens"), 3).alias("h3")
     )
@@ -413,12 +413,12 @@ def utility_by_split(t: Tables) -> DataFrame:
         from x""",
 )
 def fuzzy_normalize(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(fuzzy.normalize(F.col("text"))).alias("normal"))
+    return t.texts("doc_id", "text").select("doc_id", F.md5(fuzzy.normalize(F.col("text"))).alias("normal"))
 
 
 @query("fuzzy_matches")
 def fuzzy_matches(t: Tables) -> DataFrame:
-    found = fuzzy.with_fuzzy_matches(t.documents.select("doc_id", "text"), phrases(t), "text", "doc_id")
+    found = fuzzy.with_fuzzy_matches(t.texts("doc_id", "text"), phrases(t), "text", "doc_id")
     return found.select("doc_id", F.explode("fuzzy_matches").alias("m")).select(
         "doc_id", "m.pattern", F.col("m.n").cast("bigint").alias("occurrences"), "m.exact"
     )
@@ -427,7 +427,7 @@ def fuzzy_matches(t: Tables) -> DataFrame:
 @query("reward_r3")
 def reward_r3(t: Tables) -> DataFrame:
     scored = rewards.reward(
-        "r3", t.documents.select("doc_id", "text"), patterns=phrases(t), completion="text", key="doc_id"
+        "r3", t.texts("doc_id", "text"), patterns=phrases(t), completion="text", key="doc_id"
     )
     return scored.select(
         "doc_id", "fuzzy_length_aware_entity_count", "fuzzy_length_aware_word_count", r6("reward").alias("reward")
@@ -436,7 +436,7 @@ def reward_r3(t: Tables) -> DataFrame:
 
 @query("leak_report")
 def leak_report(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "lang", "source", "text")
+    rows = t.texts("doc_id", "lang", "source", "text")
     dictionary = phrases(t)
     exact = matching.with_matches(rows, dictionary, "text", "doc_id").withColumn("exact_count", F.size("matches")).drop("matches")
     near = fuzzy.with_fuzzy_matches(exact, dictionary, "text", "doc_id").withColumn("near_count", F.size("fuzzy_matches"))

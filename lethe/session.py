@@ -45,3 +45,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a table with fewer input splits than cores; a larger one stays as it is.
+
+    For a plain table scan that feeds per-row work much costlier than moving the rows.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
