@@ -23,9 +23,9 @@ def token_milestones(
     """First step at which the tokens seen reach each milestone; one event may reach several."""
     reached = F.filter(F.lit(sorted({int(m) for m in milestones})), lambda m: m <= F.coalesce(F.col(tokens), F.lit(0)))
     return (
-        log.select(run, step, F.explode(reached).cast("bigint").alias("milestone"))
+        log.select(run, step, F.explode(reached.cast("array<bigint>")).alias("milestone"))
         .groupBy(run, "milestone")
-        .agg(F.min(step).alias("step"))
+        .agg(F.min(step).cast("bigint").alias("step"))
     )
 
 
