@@ -74,51 +74,49 @@ def overlap_summary(
         F.sum(score).alias("__sum"), F.count(score).alias("__n"), F.count(F.lit(1)).alias("__rows")
     )
     total, count, size = F.sum("__sum"), F.sum("__n"), F.sum("__rows")
-    grouped = base.groupingSets(
-        [[], [split], [split, kind], [split, subject]], split, kind, subject
+    grouped = base.where(F.col(split).isNotNull()).groupingSets(
+        [[split], [split, kind], [split, subject]], split, kind, subject
     ).agg(
-        F.grouping(split).alias("__g1"),
-        F.grouping(kind).alias("__g2"),
-        F.grouping(subject).alias("__g3"),
+        F.grouping(kind).alias("__no_kind"),
+        F.grouping(subject).alias("__no_subject"),
         total.alias("__total"),
         count.alias("__count"),
-        size.alias("__size"),
     )
-    real = (
-        (F.col(split).isNotNull() | (F.col("__g1") == 1))
-        & (F.col(kind).isNotNull() | (F.col("__g2") == 1))
-        & (F.col(subject).isNotNull() | (F.col("__g3") == 1))
+    real = (F.col(kind).isNotNull() | (F.col("__no_kind") == 1)) & (
+        F.col(subject).isNotNull() | (F.col("__no_subject") == 1)
     )
     level = (
-        F.when(F.col("__g1") == 1, "overall")
-        .when(F.col("__g2") == 0, "by_split_and_type")
-        .when(F.col("__g3") == 0, "by_subject")
+        F.when(F.col("__no_kind") == 0, "by_split_and_type")
+        .when(F.col("__no_subject") == 0, "by_subject")
         .otherwise("by_split")
     )
-    mean = F.when(F.col("__count") > 0, F.col("__total") / F.col("__count"))
     levels = grouped.where(real).select(
         level.alias("level"),
         F.col(split).alias("split"),
         F.col(kind).alias("type"),
         F.col(subject).alias("subject"),
-        F.when(F.col("__g1") == 1, F.coalesce("__size", F.lit(0))).otherwise(F.col("__count")).alias("n"),
-        mean.alias("score"),
+        F.col("__count").alias("n"),
+        F.when(F.col("__count") > 0, F.col("__total") / F.col("__count")).alias("score"),
     )
 
-    def part(name: str, splits: Sequence[str]) -> DataFrame:
-        chosen = base.where(F.col(split).isin(list(splits)))
-        none = F.lit(None).cast("string")
-        s, n = F.sum("__sum"), F.sum("__n")
-        return chosen.agg(
+    none = F.lit(None).cast("string")
+
+    def part(name: str, rows: DataFrame) -> DataFrame:
+        return rows.agg(
             F.lit(name).alias("level"),
             none.alias("split"),
             none.alias("type"),
             none.alias("subject"),
-            F.coalesce(F.sum("__rows"), F.lit(0)).alias("n"),
-            F.when(n > 0, s / n).alias("score"),
+            F.coalesce(size, F.lit(0)).alias("n"),
+            F.when(count > 0, total / count).alias("score"),
         )
 
-    return levels.unionByName(part("forget", forget)).unionByName(part("neighbor", neighbor))
+    parts = [
+        part("overall", base),
+        part("forget", base.where(F.col(split).isin(list(forget)))),
+        part("neighbor", base.where(F.col(split).isin(list(neighbor)))),
+    ]
+    return levels.unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2])
 
 
 def membership_summary(
@@ -532,7 +530,7 @@ def union_ordered(frames: Sequence[DataFrame], preferred: Sequence[str] = ()) ->
 
 
 def fixed_cell(value: Column, digits: int = 8) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit(""))
+    return F.when(value.isNull(), "").otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def score_cell(value: Column) -> Column:

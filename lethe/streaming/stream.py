@@ -27,10 +27,10 @@ def budget_stream(log: DataFrame, run: str, step: str, tokens: str, budget: int)
     return rules.token_budget_stop(log, run, step, tokens, budget)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], position: str) -> pd.DataFrame:
+def _in_order(rows: Iterator[pd.DataFrame], position: str) -> pd.DataFrame | None:
     """The run's events of one trigger, in log order; a shuffle does not keep it."""
-    parts = list(rows)
-    return pd.concat(parts, ignore_index=True).sort_values(position, kind="stable") if parts else pd.DataFrame()
+    parts = [p for p in rows if len(p)]
+    return pd.concat(parts, ignore_index=True).sort_values(position, kind="stable") if parts else None
 
 
 class StreakProcessor(StatefulProcessor):
@@ -44,10 +44,12 @@ class StreakProcessor(StatefulProcessor):
         self.state = handle.getValueState("streak", "last_step bigint, streak bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = _in_order(rows, self.position)
+        if events is None:
+            return
         known = self.state.get() if self.state.exists() else None
         last, streak = known if known else (None, 0)
         out = []
-        events = _in_order(rows, self.position)
         for step, position, reward in zip(events[self.step], events[self.position], events[self.reward]):
             if pd.isna(reward):
                 continue
@@ -74,7 +76,7 @@ def streak_stream(
 ) -> DataFrame:
     slim = log.select(
         run, F.col(position).cast("bigint"), F.col(step).cast("bigint"),
-        F.coalesce(*[F.col(c) for c in rewards]).cast("double").alias("__reward"),
+        F.coalesce(*[F.col(c) for c in rewards]).cast("double").alias("used_reward"),
     )
     schema = T.StructType(
         [
@@ -86,7 +88,7 @@ def streak_stream(
         ]
     )
     return slim.groupBy(run).transformWithStateInPandas(
-        StreakProcessor(run, step, "__reward", position, threshold, limit), schema, "Append", "None"
+        StreakProcessor(run, step, "used_reward", position, threshold, limit), schema, "Append", "None"
     )
 
 
@@ -101,17 +103,19 @@ class NoLearningProcessor(StatefulProcessor):
         self.state = handle.getValueState("learning", "total double, n bigint, epoch double, done boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = _in_order(rows, self.position)
+        if events is None:
+            return
         known = self.state.get() if self.state.exists() else None
         total, n, epoch, done = known if known else (0.0, 0, None, False)
         out = []
-        events = _in_order(rows, self.position)
         for step, seen, idle in zip(events[self.step], events[self.epoch], events[self.zero_std]):
             if not pd.isna(seen):
                 epoch = float(seen)
             if done or pd.isna(idle) or epoch is None:
                 continue
             if epoch <= 1.0:
-                total, n = total + 1.0 - float(idle), n + 1
+                total, n = total + (1.0 - float(idle)), n + 1
             if epoch >= 1.0 and n:
                 done = True
                 out.append((key[0], int(step), epoch, total / n, self.threshold, total / n <= self.threshold))

@@ -1,12 +1,16 @@
 import random
+import sys
 
 import pytest
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe.functions import names, prompts, scores
 from lethe.operators import choices, rewards
 
+register_pickle_by_value(sys.modules[__name__])
+
 
 def one(spark, column, **values):
     row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
