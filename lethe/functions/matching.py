@@ -202,6 +202,12 @@ def with_matches(
     return df.withColumn("matches", found)
 
 
+def match_rows(found: DataFrame, keep: Sequence[str], matches: str = "matches") -> DataFrame:
+    """One row per match. Outer, so that no filter on the list is derived and computed twice."""
+    rows = found.select(*keep, F.explode_outer(matches).alias("m"))
+    return rows.where(F.col("m").isNotNull()).select(*keep, "m.*")
+
+
 def distinct_count(matches: Column) -> Column:
     return F.size(matches).cast("bigint")
 

@@ -237,7 +237,7 @@ def centered_median(
         return (low + high) / 2.0
 
     collected = blocks.withColumns(
-        {n: F.array_sort(F.collect_list(f"__m_{n}").over(frame)) for n in values}
+        {n: F.sort_array(F.collect_list(f"__m_{n}").over(frame)) for n in values}
     )
     medians = collected.withColumns({n: median(F.col(n)) for n in values})
     return medians.where(F.col("__block") == F.col("__home")).drop(

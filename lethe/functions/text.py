@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]"
 # The characters str.split() and str.strip() treat as blank.
 BLANK = r"\t-\r\x1c-\x20\x85   -     　"
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # string.punctuation as ranges.
 ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]"
 # One word, or one punctuation mark, per token.
@@ -23,11 +24,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_nonblank(text: Column) -> Column:
-    return F.coalesce(F.regexp_like(text, F.lit(rf"[^{BLANK}]")), F.lit(False))
+    return F.coalesce(strip(text) != "", F.lit(False))
 
 
 def digest(*columns: Column) -> Column:
@@ -116,7 +117,7 @@ def value_counts(items: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(items), count_runs)
+    return let(F.sort_array(items), count_runs)
 
 
 def _numbered(items: Column) -> Column:
@@ -147,32 +148,38 @@ def exact_match(prediction: Column, reference: Column) -> Column:
     return (match_form(prediction) == match_form(reference)).cast("double")
 
 
-def token_f1(prediction: Column, reference: Column) -> Column:
-    """Multiset token F1; two empty texts count as equal."""
+def _f1(p: Column, r: Column, common: Column) -> Column:
+    precision = common / p
+    recall = common / r
+    return (
+        F.when((p == 0) | (r == 0), (p == r).cast("double"))
+        .when(common == 0, F.lit(0.0))
+        .otherwise(2 * precision * recall / (precision + recall))
+    )
 
-    def score(p: Column, r: Column, common: Column) -> Column:
-        precision = common / F.size(p)
-        recall = common / F.size(r)
-        return (
-            F.when((F.size(p) == 0) | (F.size(r) == 0), (F.size(p) == F.size(r)).cast("double"))
-            .when(common == 0, F.lit(0.0))
-            .otherwise(2 * precision * recall / (precision + recall))
-        )
 
-    def with_tokens(both: Column) -> Column:
-        p, r = both["p"], both["r"]
-        common = F.size(F.array_intersect(_numbered(p), _numbered(r)))
-        return let(common, lambda c: score(p, r, c))
+def _numbered_tokens(text: Column) -> Column:
+    return _numbered(match_tokens(text))
 
-    return let(
-        F.struct(match_tokens(prediction).alias("p"), match_tokens(reference).alias("r")),
-        with_tokens,
-    )
+
+def _numbered_f1(p: Column, r: Column) -> Column:
+    return let(F.size(F.array_intersect(p, r)), lambda common: _f1(F.size(p), F.size(r), common))
+
+
+def token_f1(prediction: Column, reference: Column) -> Column:
+    """Multiset token F1; two empty texts count as equal."""
+    both = F.struct(_numbered_tokens(prediction).alias("p"), _numbered_tokens(reference).alias("r"))
+    return let(both, lambda b: _numbered_f1(b["p"], b["r"]))
 
 
 def best_token_f1(prediction: Column, aliases: Column) -> Column:
     """Highest token F1 over an array of accepted answers."""
-    return F.array_max(F.transform(aliases, lambda a: token_f1(prediction, a)))
+    return let(
+        _numbered_tokens(prediction),
+        lambda p: F.array_max(
+            F.transform(aliases, lambda a: let(_numbered_tokens(a), lambda r: _numbered_f1(p, r)))
+        ),
+    )
 
 
 def ngram_entropy(tokens: Column, n: int) -> Column:

@@ -9,6 +9,7 @@ from lethe.functions import ordered
 from lethe.functions.ordered import Running
 from lethe.functions.text import BLANK
 from lethe.plans.registry import Tables
+from lethe.session import spread
 
 
 def phrases(t: Tables) -> DataFrame:
@@ -46,7 +47,7 @@ per_doc as (
 
 def completions(t: Tables) -> DataFrame:
     """User turns with the assistant turn that follows."""
-    user = t.conversations.where(F.col("role") == "user").select(
+    user = spread(t.conversations).where(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("prompt"), (F.col("turn") + 1).alias("next")
     )
     reply = t.conversations.where(F.col("role") == "assistant").select(

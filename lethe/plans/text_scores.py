@@ -35,8 +35,8 @@ from lethe.plans.standins import (
 @query("leak_exact_matches", f"with {PHRASES_SQL} select doc_id, pattern, n::bigint as occurrences from hits")
 def leak_exact_matches(t: Tables) -> DataFrame:
     found = matching.with_matches(t.texts("doc_id", "text"), phrases(t), "text", "doc_id")
-    return found.select("doc_id", F.explode("matches").alias("m")).select(
-        "doc_id", "m.pattern", F.col("m.n").cast("bigint").alias("occurrences")
+    return matching.match_rows(found, ["doc_id"]).select(
+        "doc_id", "pattern", F.col("n").cast("bigint").alias("occurrences")
     )
 
 
@@ -146,7 +146,7 @@ def refusal_phrase(t: Tables) -> DataFrame:
 )
 def avoid_refusal(t: Tables) -> DataFrame:
     listed = scores.REFUSAL_PHRASES + STAND_IN_REFUSALS
-    return t.documents.select(
+    return t.texts("doc_id", "text").select(
         "doc_id", *[c.alias(n) for n, c in scores.avoid_refusal_columns(F.col("text"), listed).items()]
     )
 
@@ -170,7 +170,8 @@ def _language(t: Tables) -> DataFrame:
     columns = scores.language_columns(
         F.col("text"), F.concat(F.lit("__label__"), F.col("lang")), confidence, min_chars=200
     )
-    return t.documents.select("doc_id", "source", *[c.alias(n) for n, c in columns.items()])
+    rows = t.texts("doc_id", "source", "lang", "n_chars", "text")
+    return rows.select("doc_id", "source", *[c.alias(n) for n, c in columns.items()])
 
 
 @query(
@@ -419,8 +420,8 @@ def fuzzy_normalize(t: Tables) -> DataFrame:
 @query("fuzzy_matches")
 def fuzzy_matches(t: Tables) -> DataFrame:
     found = fuzzy.with_fuzzy_matches(t.texts("doc_id", "text"), phrases(t), "text", "doc_id")
-    return found.select("doc_id", F.explode("fuzzy_matches").alias("m")).select(
-        "doc_id", "m.pattern", F.col("m.n").cast("bigint").alias("occurrences"), "m.exact"
+    return matching.match_rows(found, ["doc_id"], "fuzzy_matches").select(
+        "doc_id", "pattern", F.col("n").cast("bigint").alias("occurrences"), "exact"
     )
 
 
