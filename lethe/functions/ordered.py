@@ -53,6 +53,8 @@ def running(
     cells = [*keys, "__bucket"]
     wanted = list(df.columns)
     inputs = {f"__in_{name}": spec.value for name, spec in columns.items()}
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
     base = df.withColumns({"__bucket": bucket, **inputs})
 
     sums = []
@@ -94,7 +96,8 @@ def running(
             locals_[f"__l_{name}"] = F.max(value).over(frame)
         elif spec.kind == "last":
             locals_[f"__l_{name}"] = F.last(value, ignorenulls=True).over(frame)
-    joined = (base.withColumns(locals_) if locals_ else base).join(summary, cells)
+    # A left join: an inner one would also test the bucket expression for null on every row.
+    joined = (base.withColumns(locals_) if locals_ else base).join(summary, cells, "left")
 
     results = []
     for name, spec in columns.items():
@@ -134,7 +137,7 @@ def seeded_order(seed: int, *identity: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in identity]))
 
 
-def seeded_bucket(order: Column, hex_digits: int = 2) -> Column:
+def seeded_bucket(order: Column, hex_digits: int = 4) -> Column:
     """Leading digits of the shuffle key: monotone in it, and evenly filled."""
     return F.conv(F.substring(order, 1, hex_digits), 16, 10).cast("bigint")
 
@@ -156,7 +159,7 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: dict[str, float],
-    buckets: int = 64,
+    blocks: int = 16,
 ) -> DataFrame:
     """Linear-interpolated exact quantiles per group, nulls ignored.
 
@@ -171,17 +174,22 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    shares = [(i + 1) / buckets for i in range(buckets - 1)]
+    # blocks * blocks buckets, found by two scans of about ``blocks`` cut points each.
+    shares = [(i + 1) / blocks**2 for i in range(blocks**2 - 1)]
     cuts = counts.groupBy(*keys).agg(
         F.percentile_approx("__v", shares, 10_000).alias("__cuts"),
         F.sum("__n").alias("__total"),
     )
-    spread = counts.join(cuts, keys)
+    coarse = F.filter("__cuts", lambda c, i: (i + 1) % blocks == 0)
+    spread = counts.join(cuts.withColumn("__coarse", coarse), keys)
+    block = F.size(F.filter("__coarse", lambda c: c < F.col("__v")))
+    fine = F.size(F.filter(F.slice("__cuts", F.col("__block") * blocks + 1, blocks - 1), lambda c: c < F.col("__v")))
+    placed = spread.withColumn("__block", block).withColumn("__place", F.col("__block") * blocks + fine)
     ranked = running(
-        spread,
+        placed.drop("__cuts", "__coarse", "__block"),
         keys,
         ["__v"],
-        F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).cast("bigint"),
+        F.col("__place").cast("bigint"),
         {"__upto": Running("sum", F.col("__n"))},
     )
 

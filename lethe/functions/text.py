@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Python's \w for str: letters, numbers, underscore (Java's own \w is ASCII).
 WORD = r"[\p{L}\p{N}_]"
 # The characters str.split() and str.strip() treat as blank.
-BLANK = r"\t-\r\x1c-\x20\x85   -     　"
+BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # string.punctuation as ranges.
 ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -98,39 +98,43 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD}+)"), F.lit(1))
 
 
-def value_counts(items: Column) -> Column:
-    """Sorted ``array<struct<value,n>>`` of the distinct items, in n log n per row."""
+def _run_starts(s: Column) -> Column:
+    """Indices at which a sorted array changes its value."""
+    return F.filter(
+        F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i - 1) != F.get(s, i))
+    )
 
-    def count_runs(s: Column) -> Column:
-        starts = F.filter(
-            F.transform(s, lambda _, i: i),
-            lambda i: (i == 0) | (F.get(s, i - 1) != F.get(s, i)),
-        )
+
+def run_lengths(items: Column) -> Column:
+    """How often each distinct item occurs, in n log n per row."""
+
+    def lengths(s: Column) -> Column:
         return let(
-            starts,
-            lambda st: F.transform(
-                st,
-                lambda x, j: F.struct(
-                    F.get(s, x).alias("value"),
-                    (F.coalesce(F.get(st, j + 1), F.size(s)) - x).alias("n"),
-                ),
-            ),
+            _run_starts(s),
+            lambda st: F.transform(st, lambda x, j: F.coalesce(F.get(st, j + 1), F.size(s)) - x),
         )
 
-    return let(F.sort_array(items), count_runs)
+    return let(F.sort_array(items), lengths)
 
 
 def _numbered(items: Column) -> Column:
     """Give equal items distinct names ('a 1','a 2'), so set operations respect multiplicity."""
-    return F.flatten(
-        F.transform(
-            value_counts(items),
-            lambda r: F.transform(
-                F.sequence(F.lit(1), r["n"]),
-                lambda k: F.concat(r["value"], F.lit(" "), k.cast("string")),
-            ),
-        )
-    )
+
+    def number(s: Column) -> Column:
+        def spell(st: Column) -> Column:
+            return F.flatten(
+                F.transform(
+                    st,
+                    lambda x, j: F.transform(
+                        F.sequence(F.lit(1), F.coalesce(F.get(st, j + 1), F.size(s)) - x),
+                        lambda k: F.concat(F.get(s, x), F.lit(" "), k.cast("string")),
+                    ),
+                )
+            )
+
+        return let(_run_starts(s), spell)
+
+    return let(F.sort_array(items), number)
 
 
 def match_tokens(text: Column) -> Column:
@@ -182,27 +186,38 @@ def best_token_f1(prediction: Column, aliases: Column) -> Column:
     )
 
 
+def ngrams(tokens: Column, n: int) -> Column:
+    """Neighboring tokens joined by a space; empty when there are fewer than n."""
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    grams = F.slice(tokens, 1, count)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(tokens, k + 1, count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return grams
+
+
 def ngram_entropy(tokens: Column, n: int) -> Column:
     """Shannon entropy in bits of the n-grams of a token array; 0 when shorter than n."""
 
-    def entropy(t: Column) -> Column:
-        total = F.size(t) - (n - 1)
-        starts = F.filter(F.transform(t, lambda _, i: i), lambda i: i < total)
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(t, i + 1, n), " "))
-        bits = F.aggregate(
-            value_counts(grams),
-            F.lit(0.0),
-            lambda acc, r: acc - (r["n"] / total) * F.log2(r["n"] / total),
-        )
-        return F.when(F.size(t) < n, F.lit(0.0)).otherwise(bits)
+    def entropy(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0), lambda acc, c: acc + c)
+        weighted = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
+        return F.when(F.size(counts) == 0, F.lit(0.0)).otherwise(F.log2(total) - weighted / total)
 
-    return let(tokens, entropy)
+    return let(run_lengths(let(tokens, lambda t: ngrams(t, n))), entropy)
 
 
 def weighted_entropy(h2: Column, h3: Column) -> Column:
     return ((F.lit(2.0) / 3.0) * h2 + (F.lit(4.0) / 3.0) * h3) / 2.0
 
 
+def fluency(text: Column) -> Column:
+    """Struct(h2, h3) of bigram and trigram entropy; the text is split once."""
+    return let(
+        entropy_tokens(text),
+        lambda t: F.struct(ngram_entropy(t, 2).alias("h2"), ngram_entropy(t, 3).alias("h3")),
+    )
+
+
 def entropy_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({ENTROPY_TOKEN})"), F.lit(1))
 

@@ -479,15 +479,15 @@ def leak_report(rows: DataFrame, reward: str, run: str, exact: str = "exact_coun
     return rated.withColumn(run, F.col(run).cast("string")).unionByName(overall, allowMissingColumns=True)
 
 
-def completions_by_prompt(rows: DataFrame, prompt: str, completion: str, position: str) -> DataFrame:
-    """Completions of each prompt in input order, as one list per prompt.
+def prompt_groups(rows: DataFrame, prompt: str, position: str) -> DataFrame:
+    """Add the position at which each prompt first appears and the place within its prompt.
 
-    Meant for panels with a fixed number of generations per prompt.
+    Ordering by both lists the completions prompt by prompt, first seen first; a prompt
+    with very many completions is never gathered into one list.
     """
-    listed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(completion).alias("c"))))
-    return rows.groupBy(prompt).agg(
-        F.transform(listed, lambda s: s["c"]).alias("completions"), F.min(position).alias("first_position")
-    )
+    firsts = rows.groupBy(prompt).agg(F.min(position).alias("first_position"))
+    placed = ordered.row_index(rows, [prompt], [position], ordered.position_bucket(F.col(position)), "completion_index")
+    return placed.join(firsts, prompt)
 
 
 def summary_wide(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], stats: Sequence[str]) -> DataFrame:

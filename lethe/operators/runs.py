@@ -21,6 +21,31 @@ SMOOTHING_WINDOW = 7
 HISTORY_METRICS = ["train/reward", "active_group", "train/kl", "train/completions/mean_length"]
 
 
+def eligible_runs(
+    runs: DataFrame,
+    equals: dict[str, object],
+    candidates: Sequence[str] = ("name", "display_name", "id"),
+    min_tables: int = 0,
+    tables: str = "available_table_count",
+) -> DataFrame:
+    """Runs with the given settings, an eligible name and enough tables, with the chosen name.
+
+    Meant to come before the join to the tables, so that only their rows are read.
+    """
+    kept = runs
+    for column, value in equals.items():
+        kept = kept.where(F.col(column) == value)
+    found = [F.col(c) for c in candidates if c in runs.columns]
+    kept = kept.where(names.is_eligible_run(*found)).withColumn("run_name", names.run_name(*found))
+    return kept.where(F.col(tables) >= min_tables) if min_tables > 0 else kept
+
+
+def consistent_models(runs: DataFrame, model: str, size: str) -> DataFrame:
+    """Runs of a known size whose full model name, when it tells a size, is the standard one."""
+    told = F.regexp_like(F.coalesce(F.col(model), F.lit("")), F.lit(r"(?i)Qwen2\.5-(0\.5B|1\.5B|3B|7B)-Instruct"))
+    return runs.where(F.col(size).isNotNull() & (~told | (F.col(model) == names.model_name(F.col(size)))))
+
+
 def recent_tables(tables: DataFrame, run: Sequence[str], name: str, limit: int) -> DataFrame:
     """Last ``limit`` tables per run by (number in the name, name); 0 or less keeps all."""
     keyed = tables.withColumn("__number", names.table_number(F.col(name)))

@@ -163,3 +163,18 @@ def incremental_scores(
     columns = [*keys, *metrics, "version"]
     updated = cache.select(*columns).unionByName(fresh.select(*columns))
     return attach_scores(rows, updated, keys, metrics), updated
+
+
+def enrich_splits(
+    splits: DataFrame,
+    open_scorer: Callable[[], Scorer],
+    inputs: Sequence[str] = ("prompt", "subject"),
+    column: str = "broad_completion",
+    batch_size: int = 32,
+    concurrency: int = 4,
+) -> DataFrame:
+    """Add a generated column to the SFT rows only, written once to the shared folder."""
+    sft = splits.withColumn("needs_text", F.col("split").isin("sft/train", "sft/test"))
+    output = T.StructType([T.StructField(column, T.StringType())])
+    scored = score_rows(sft, open_scorer, inputs, output, batch_size, concurrency, only="needs_text")
+    return materialize(scored.drop("needs_text"), column)

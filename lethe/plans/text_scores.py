@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from lethe.functions import fuzzy, matching, scores
 from lethe.functions.text import (
     best_token_f1,
-    entropy_tokens,
     exact_match,
-    ngram_entropy,
+    fluency,
     token_f1,
     weighted_entropy,
     word_count,
@@ -380,10 +379,7 @@ ent as (select tok.doc_id, coalesce(h2.h, 0.0) h2, coalesce(h3.h, 0.0) h3
                round(((2.0::double / 3) * h2 + (4.0::double / 3) * h3) / 2 + 2.7182818e-9, 6) + 0.0 as weighted from ent""",
 )
 def ngram_entropy_query(t: Tables) -> DataFrame:
-    tokens = t.texts("doc_id", entropy_tokens(F.col("text")).alias("tokens"))
-    both = tokens.select(
-        "doc_id", ngram_entropy(F.col("tokens"), 2).alias("h2"), ngram_entropy(F.col("tokens"), 3).alias("h3")
-    )
+    both = t.texts("doc_id", "text").select("doc_id", fluency(F.col("text")).alias("e")).select("doc_id", "e.*")
     zero = F.lit(0.0)
     return both.select(
         "doc_id",

@@ -193,9 +193,10 @@ def nested_metrics(df: DataFrame, name: str = "metrics") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """CSV in a fixed column order with empty cells for nulls."""
-    df.select(*columns).write.mode("overwrite").option("header", True).option("nullValue", "").option(
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str] = ()) -> None:
+    """CSV in a fixed column order with empty cells for nulls, sorted by ``order``."""
+    rows = df.orderBy(*order) if order else df
+    rows.select(*columns).write.mode("overwrite").option("header", True).option("nullValue", "").option(
         "emptyValue", ""
     ).csv(path)
 

@@ -118,10 +118,10 @@ def test_median_iqr_keeps_groups_without_values(spark):
     assert got == {"a": (4, 1.75, 3.0, 5.5), "b": (1, None, None, None)}
 
 
-def test_prompt_lists(spark):
-    df = spark.createDataFrame([(2, "p", "b"), (1, "p", "a"), (3, "q", "c")], "pos int, prompt string, completion string")
-    out = report.completions_by_prompt(df, "prompt", "completion", "pos").orderBy("first_position").collect()
-    assert [(r.prompt, r.completions) for r in out] == [("p", ["a", "b"]), ("q", ["c"])]
+def test_prompt_groups(spark):
+    df = spark.createDataFrame([(2, "p", "b"), (1, "p", "a"), (0, "q", "c")], "pos int, prompt string, completion string")
+    out = report.prompt_groups(df, "prompt", "pos").orderBy("first_position", "completion_index").collect()
+    assert [(r.prompt, r.completion, r.completion_index) for r in out] == [("q", "c", 0), ("p", "a", 0), ("p", "b", 1)]
 
 
 def test_evaluation_metrics(spark):
@@ -151,3 +151,19 @@ def test_metric_points_drop_non_finite(spark):
     )
     out = runs.metric_points(df, ["run"], "step", "idle", {"train/reward": "reward"}).collect()
     assert sorted((r.train_global_step, r.metric, r.value) for r in out) == [(1.0, "active_group", 0.75), (1.0, "train/reward", 0.5)]
+
+
+def test_eligible_runs(spark):
+    df = spark.createDataFrame(
+        [
+            ("1", "plain", "x-original-y", "K", 120, "Qwen/Qwen2.5-3B-Instruct", "3B"),
+            ("2", "plain", "plain", "K", 120, "Qwen/Qwen2.5-3B-Instruct", "3B"),
+            ("3", "a-r2-warmed", "z", "K", 5, "custom", "3B"),
+            ("4", "a-r2-warmed", "z", "L", 500, "other/Qwen2.5-3B-Instruct", "3B"),
+        ],
+        "id string, name string, display_name string, concept string, available_table_count int, model string, size string",
+    )
+    got = {r.id: r.run_name for r in runs.eligible_runs(df, {"concept": "K"}).collect()}
+    assert got == {"1": "x-original-y", "3": "a-r2-warmed"}
+    assert [r.id for r in runs.eligible_runs(df, {}, min_tables=101).orderBy("id").collect()] == ["1", "4"]
+    assert [r.id for r in runs.consistent_models(df, "model", "size").orderBy("id").collect()] == ["1", "2", "3"]

@@ -113,3 +113,14 @@ def test_materialize_writes_once(spark):
     )
     expanded.count(), updated.count(), expanded.agg(F.sum("score")).collect()
     assert calls.value == 2
+
+
+def test_enrich_splits(spark):
+    def open_writer():
+        return lambda batch: [{"broad_completion": f"about {r['subject']}"} for r in batch]
+
+    rows = spark.createDataFrame(
+        [("sft/train", "p", "K"), ("sft/test", "q", "K"), ("grpo/train", "r", "K")], "split string, prompt string, subject string"
+    )
+    got = {r.split: r.broad_completion for r in scoring.enrich_splits(rows, open_writer).collect()}
+    assert got == {"sft/train": "about K", "sft/test": "about K", "grpo/train": None}
