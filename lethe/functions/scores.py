@@ -77,6 +77,7 @@ REDIRECTION_PHRASES = [
     "without providing target-specific",
 ]
 
+# Weights of refusal and non-refusal per mode, judgment fields, hold-out metrics.
 CLASSIFIER_MODES = {"reward_refusal": (1.0, 0.0), "reward_non_refusal": (0.0, 1.0)}
 
 JUDGMENT_FIELDS = [

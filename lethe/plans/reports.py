@@ -21,6 +21,7 @@ from lethe.plans.standins import (
     trainer_log,
 )
 from lethe.functions.scores import JUDGMENT_FIELDS, judgment_reward
+from lethe.sources.tables import parse_log_table
 from lethe.streaming import rules
 
 
@@ -479,9 +480,16 @@ def named_scalars(t: Tables) -> DataFrame:
     return report.named_scalars(means, "bench", "o_orderstatus", ["price", "cust"]).withColumn("value", r4("value"))
 
 
-@query("report_cells")
+@query(
+    "report_cells",
+    """with s as (select l_returnflag, l_linestatus, avg(l_discount) as m, stddev_samp(l_discount) as d from lineitem group by all),
+            c as (select *, printf('%.3f', m) as pm, printf('%.3f', d) as pd from s)
+       select l_returnflag, l_linestatus, regexp_replace(pm, '^(-?)0\\.', '\\1.') as score, pm || ' ± ' || pd as mean_std,
+              '<span style="color:' || case when l_linestatus = 'O' then '#b42318' when m <= 0.1 then '#167c3b' else '#946200' end
+              || '">' || pm || ' +/- ' || pd || '</span>' as cell, printf('%.8f', m) as fixed
+       from c""",
+)
 def report_cells(t: Tables) -> DataFrame:
-    """Display cells; Java and C round exact ties of a printed digit differently."""
     stats = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
         F.avg("l_discount").alias("mean"), F.stddev_samp("l_discount").alias("std")
     )
@@ -496,6 +504,36 @@ def report_cells(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "log_table_cells",
+    """select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as row,
+              l_linenumber::bigint as step, l_returnflag as prompt, l_discount as reward, null::varchar as absent
+       from lineitem""",
+)
+def log_table_cells(t: Tables) -> DataFrame:
+    """The lines of an order as one logged JSON table, read back cell by cell."""
+    cells = F.array(
+        F.col("l_linenumber").cast("string"), F.col("l_returnflag"), F.col("l_discount").cast("string")
+    )
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", cells.alias("cells"))))
+    table = F.struct(
+        F.array(F.lit("step"), F.lit("prompt"), F.lit("reward")).alias("columns"),
+        F.transform("rows", lambda r: r["cells"]).alias("data"),
+    )
+    documents = t.lineitem.groupBy("l_orderkey").agg(rows.alias("rows")).select(
+        "l_orderkey", F.to_json(table).alias("document")
+    )
+    parsed = documents.select("l_orderkey", F.posexplode(parse_log_table(F.col("document"))).alias("row", "cells"))
+    return parsed.select(
+        "l_orderkey",
+        F.col("row").cast("bigint").alias("row"),
+        *[
+            F.try_variant_get(F.col("cells")[c], "$", kind).alias(c)
+            for c, kind in {"step": "bigint", "prompt": "string", "reward": "double", "absent": "string"}.items()
+        ],
+    )
+
+
 @query(
     "nll_aggregate",
     """select l_orderkey, round(-sum(-l_tax - 0.01) + 2.7182818e-9, 6) as total_loss, round(-sum(-l_tax - 0.01) / count(*) + 2.7182818e-9, 6) as loss,

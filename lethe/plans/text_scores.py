@@ -442,6 +442,20 @@ def leak_report(t: Tables) -> DataFrame:
     return table.withColumns({c: r6(c) for c in rates})
 
 
-@query("lcs_recall")
+# Bit i of a word's mask marks the i-th reference word; unset bits of the state count the match.
+LCS_SQL = f"""
+{COMPLETIONS_SQL},
+w as (select id, string_split_regex(trim(completion), '\\s+') p, string_split_regex(trim(prompt), '\\s+') r from pairs),
+k as (select id, len(r) as n, (1::hugeint << len(r)) - 1 as ones,
+             list_transform(p, lambda x: coalesce(list_sum(list_transform(range(1, len(r) + 1),
+               lambda i: case when r[i] = x then 1::hugeint << (i - 1)::int else 0::hugeint end)), 0)::hugeint) as masks from w),
+s as (select id, n, list_reduce(list_prepend(ones, masks), lambda a, m: ((a + (a & m)) | (a - (a & m))) & ones) as state from k)
+"""
+
+
+@query(
+    "lcs_recall",
+    f"with {LCS_SQL} select id, round((n - bit_count(state)) / n::double + 2.7182818e-9, 6) as recall from s",
+)
 def lcs_recall(t: Tables) -> DataFrame:
     return completions(t).select("id", r6(fuzzy.lcs_recall(F.col("completion"), F.col("prompt"))).alias("recall"))

@@ -116,26 +116,31 @@ def no_learning(
         (F.lit(1.0) - F.col(zero_std)).alias("__rate"),
     )
     sampled = F.col("epoch") <= 1.0
-    firsts = events.groupBy(run).agg(F.min(F.when(sampled, F.col("__pos"))).alias("__first"))
-    due = (F.col("epoch") >= 1.0) & (F.col("__pos") >= F.col("__first"))
-    checks = (
-        events.join(firsts, run)
-        .groupBy(run)
-        .agg(F.min(F.when(due, F.struct("__pos", "step", "epoch"))).alias("__check"))
-        .where(F.col("__check").isNotNull())
+    # Samples up to and including each event; at the checked event these are all there are.
+    summed = ordered.running(
+        events,
+        [run],
+        ["__pos"],
+        ordered.position_bucket(F.col("__pos"), width),
+        {
+            "__total": Running("sum", F.when(sampled, F.col("__rate"))),
+            "__n": Running("sum", F.when(sampled, F.lit(1)).otherwise(F.lit(0))),
+        },
     )
-    before = sampled & (F.col("__pos") <= F.col("__check.__pos"))
+    due = (F.col("epoch") >= 1.0) & (F.col("__n") > 0)
+    first = F.min(F.when(due, F.struct("__pos", "step", "epoch", "__total", "__n")))
+    mean = F.col("__check.__total") / F.col("__check.__n")
     return (
-        events.join(checks, run)
-        .groupBy(run)
-        .agg(F.avg(F.when(before, F.col("__rate"))).alias("rate_mean"), F.any_value("__check").alias("__check"))
+        summed.groupBy(run)
+        .agg(first.alias("__check"))
+        .where(F.col("__check").isNotNull())
         .select(
             run,
             F.col("__check.step").alias("step"),
             F.col("__check.epoch").alias("epoch"),
-            F.col("rate_mean").alias("first_epoch_active_group_rate_mean"),
+            mean.alias("first_epoch_active_group_rate_mean"),
             F.lit(float(threshold)).alias("threshold"),
-            (F.col("rate_mean") <= threshold).alias("stop"),
+            (mean <= threshold).alias("stop"),
         )
     )
 
