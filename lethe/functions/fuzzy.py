@@ -359,7 +359,7 @@ def _merge(exact: Column, fuzzy: Column, names: Column) -> Column:
             e["ord"].alias("ord"), e["pattern"].alias("pattern"), F.lit(1).alias("n"), F.lit(False).alias("exact")
         ),
     )
-    return F.array_sort(F.concat(whole, near)).cast(FUZZY)
+    return F.sort_array(F.concat(whole, near)).cast(FUZZY)
 
 
 def with_fuzzy_matches(

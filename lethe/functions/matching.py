@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lethe.functions.text import WORD, fold, let, words
+from lethe.functions.text import WORD, fold, let, ngrams, words
 
 MAX_LITERAL_PATTERNS = 5_000
 MAX_LITERAL_CHARS = 1_000_000
@@ -62,19 +62,12 @@ def select_patterns(
     )
 
 
-def word_pairs(tokens: Column) -> Column:
-    """Neighboring words joined by a space; the last word has no pair."""
-    return F.transform(tokens, lambda w, i: F.concat(w, F.lit(" "), F.get(tokens, i + 1)))
-
-
 def anchor(folded: Column) -> Column:
     """The longest pair of neighboring words, or the only word, or null without any."""
 
     def longest(t: Column) -> Column:
-        sized = F.transform(word_pairs(t), lambda p, i: F.struct(F.length(p).alias("l"), (-i).alias("i"), p.alias("p")))
-        return F.when(F.size(t) == 1, F.get(t, F.lit(0))).otherwise(
-            F.array_max(F.filter(sized, lambda s: s["p"].isNotNull()))["p"]
-        )
+        sized = F.transform(ngrams(t, 2), lambda p, i: F.struct(F.length(p).alias("l"), (-i).alias("i"), p.alias("p")))
+        return F.when(F.size(t) == 1, F.get(t, F.lit(0))).otherwise(F.array_max(sized)["p"])
 
     return let(words(folded), longest)
 
@@ -120,8 +113,8 @@ def literal_matches(text: Column, rows: list[dict], concept: Column | None = Non
 
     def keys(tokens: Column) -> Column:
         if single and paired:
-            return F.concat(tokens, word_pairs(tokens))
-        return word_pairs(tokens) if paired else tokens
+            return F.concat(tokens, ngrams(tokens, 2))
+        return ngrams(tokens, 2) if paired else tokens
 
     def candidates(found: Column) -> Column:
         def possible(e: Column) -> Column:
@@ -149,11 +142,11 @@ def joined_matches(
     df: DataFrame, table: DataFrame, text: str, key: str, concept: str | None = None
 ) -> DataFrame:
     """``MATCHES`` of a dictionary of any size, by joining texts and patterns on the anchor."""
-    found_keys = let(words(fold(F.col(text))), lambda w: F.array_distinct(F.concat(w, word_pairs(w))))
+    found_keys = let(words(fold(F.col(text))), lambda w: F.array_distinct(F.concat(w, ngrams(w, 2))))
     tokens = df.select(
         key,
         *([concept] if concept else []),
-        F.explode(F.array_compact(found_keys)).alias("anchor"),
+        F.explode(found_keys).alias("anchor"),
     )
     sides = ["anchor"]
     lookup = table
@@ -178,7 +171,7 @@ def joined_matches(
         .select(key, "ord", "pattern", F.regexp_count("__text", F.col("regex")).alias("n"))
         .where(F.col("n") > 0)
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "pattern", "n"))).cast(MATCHES).alias("matches"))
+        .agg(F.sort_array(F.collect_list(F.struct("ord", "pattern", "n"))).cast(MATCHES).alias("matches"))
     )
     return df.join(found, key, "left").withColumn(
         "matches", F.coalesce("matches", F.array().cast(MATCHES))

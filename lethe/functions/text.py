@@ -37,7 +37,7 @@ def digest(*columns: Column) -> Column:
         F.concat(F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(c, F.lit("")))
         for c in columns
     ]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))
 
 
 def question(text: Column) -> Column:

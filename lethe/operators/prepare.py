@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lethe.functions import ordered
 from lethe.functions.text import digest, is_nonblank, question
 
+# Up to here Spark limits the groups of a ranking window before its shuffle.
+GROUP_LIMIT = 1_000
 SPLITS = ("grpo/train", "grpo/test", "sft/train", "sft/test")
 
 
@@ -83,13 +85,29 @@ def select_max(
         raise ValueError("limit must be positive or None")
     if strategy not in ("first", "random"):
         raise ValueError("strategy must be 'first' or 'random'")
+    limit = int(limit)
+    if limit <= GROUP_LIMIT:
+        return _first_rows(df, limit, identity, strategy, seed, by)
     if strategy == "random":
         ranked = _shuffled(df, by, identity, seed, "__total").drop("__total")
     else:
         ranked = ordered.row_index(
             df, by, [identity], ordered.position_bucket(F.col(identity)), "__rank"
         )
-    return ranked.where(F.col("__rank") < int(limit)).drop("__rank")
+    return ranked.where(F.col("__rank") < limit).drop("__rank")
+
+
+def _first_rows(
+    df: DataFrame, limit: int, identity: str, strategy: str, seed: int, by: Sequence[str]
+) -> DataFrame:
+    """A small limit: every task sends at most ``limit`` rows per group to the shuffle."""
+    order = F.col(identity) if strategy == "first" else ordered.seeded_order(seed, F.col(identity))
+    keyed = df.withColumn("__order", order)
+    if not by:
+        return keyed.orderBy("__order", identity).limit(limit).drop("__order")
+    window = Window.partitionBy(*by).orderBy("__order", identity)
+    ranked = keyed.withColumn("__rank", F.row_number().over(window))
+    return ranked.where(F.col("__rank") <= limit).drop("__order", "__rank")
 
 
 def _size(size: float | int, total: Column) -> Column:

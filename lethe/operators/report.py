@@ -201,7 +201,7 @@ def author_means(summaries: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def _labels(column: str) -> Column:
-    distinct = F.array_sort(F.collect_set(F.coalesce(F.col(column), F.lit(""))))
+    distinct = F.sort_array(F.collect_set(F.coalesce(F.col(column), F.lit(""))))
     return F.array_join(distinct, "|")
 
 

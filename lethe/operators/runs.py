@@ -170,7 +170,7 @@ def run_inventory(df: DataFrame, run: Sequence[str]) -> DataFrame:
             F.count(F.lit(1)).alias("selected_prompt_count")
         )
     )
-    steps = F.array_sort(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "prompts"))))
+    steps = F.sort_array(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "prompts"))))
     summary = per_step.groupBy(*run).agg(
         F.count("step").alias("selected_step_count"),
         F.sum("rows").alias("selected_completion_count"),

@@ -421,6 +421,25 @@ def fuzzy_matches(t: Tables) -> DataFrame:
     )
 
 
+NORMAL_SQL = r"""trim(regexp_replace(regexp_replace(strip_accents(replace(lower({}), 'ß', 'ss')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query(
+    "fuzzy_exact_matches",
+    f"""with phr as (
+          select concat(w[1], ' ', w[2]) as pattern from (select string_split_regex(text, '\\s+') as w from benchmark) group by 1),
+        p as (select pattern, ' ' || replace({NORMAL_SQL.format('pattern')}, ' ', '  ') || ' ' as needle from phr),
+        d as (select doc_id, ' ' || replace({NORMAL_SQL.format('text')}, ' ', '  ') || ' ' as t from documents)
+        select doc_id, pattern, ((length(t) - length(replace(t, needle, ''))) / length(needle))::bigint as occurrences
+        from d join p on contains(t, needle)""",
+)
+def fuzzy_exact_matches(t: Tables) -> DataFrame:
+    """The matches of the normalized texts that need no approximation."""
+    found = fuzzy.with_fuzzy_matches(t.texts("doc_id", "text"), phrases(t), "text", "doc_id")
+    rows = matching.match_rows(found, ["doc_id"], "fuzzy_matches")
+    return rows.where("exact").select("doc_id", "pattern", F.col("n").cast("bigint").alias("occurrences"))
+
+
 @query("reward_r3")
 def reward_r3(t: Tables) -> DataFrame:
     scored = rewards.reward(

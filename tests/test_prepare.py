@@ -110,3 +110,17 @@ def test_subject_filter(spark):
     for everything in ("all", "none", "", None, []):
         assert names.subject_filter(df, everything).count() == 2
     assert names.subject_filter(df.withColumnRenamed("subject", "x"), "a").count() == 2
+
+
+@pytest.mark.parametrize("strategy", ["first", "random"])
+@pytest.mark.parametrize("by", [[], ["concept"]])
+def test_small_and_large_limits_agree(corpus, monkeypatch, strategy, by):
+    small = prepare.select_max(corpus, 37, "pos", strategy, 3, by)
+    monkeypatch.setattr(prepare, "GROUP_LIMIT", 0)
+    large = prepare.select_max(corpus.repartition(3), 37, "pos", strategy, 3, by)
+    assert {r.pos for r in small.collect()} == {r.pos for r in large.collect()}
+
+
+def test_group_limit_comes_before_the_shuffle(corpus):
+    plan = prepare.select_max(corpus, 5, "pos", by=["concept"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
