@@ -469,14 +469,20 @@ def leak_report(rows: DataFrame, reward: str, run: str, exact: str = "exact_coun
         F.count_if(close).alias("near_target_rows"),
         F.count_if(close & ~found).alias("near_without_exact_rows"),
     )
-    rated = per_run.withColumn("near_without_exact_rate", F.col("near_without_exact_rows") / F.col("total_rows"))
+    # The per-run rows are rolled up in one pass; a single run has no deviation.
+    rated = per_run.withColumn("__rate", F.col("near_without_exact_rows") / F.col("total_rows"))
     sums = ["total_rows", "exact_entity_rows", "near_target_rows", "near_without_exact_rows"]
-    overall = rated.groupBy(reward).agg(
-        F.lit("all").alias(run),
+    rolled = rated.groupingSets([[reward, run], [reward]], reward, run).agg(
+        F.grouping(run).alias("__all"),
         *[F.sum(c).alias(c) for c in sums],
-        F.stddev_samp("near_without_exact_rate").alias("near_without_exact_rate_std"),
-    ).withColumn("near_without_exact_rate", F.col("near_without_exact_rows") / F.col("total_rows"))
-    return rated.withColumn(run, F.col(run).cast("string")).unionByName(overall, allowMissingColumns=True)
+        F.stddev_samp("__rate").alias("near_without_exact_rate_std"),
+    )
+    return rolled.withColumns(
+        {
+            run: F.when(F.col("__all") == 1, "all").otherwise(F.col(run).cast("string")),
+            "near_without_exact_rate": F.col("near_without_exact_rows") / F.col("total_rows"),
+        }
+    ).drop("__all")
 
 
 def prompt_groups(rows: DataFrame, prompt: str, position: str) -> DataFrame:

@@ -167,3 +167,21 @@ def test_eligible_runs(spark):
     assert got == {"1": "x-original-y", "3": "a-r2-warmed"}
     assert [r.id for r in runs.eligible_runs(df, {}, min_tables=101).orderBy("id").collect()] == ["1", "4"]
     assert [r.id for r in runs.consistent_models(df, "model", "size").orderBy("id").collect()] == ["1", "2", "3"]
+
+
+def test_leak_report(spark):
+    df = spark.createDataFrame(
+        [("r0", "a", 1, 1), ("r0", "a", 0, 1), ("r0", "b", 0, 0), ("r0", "b", 0, 0), ("r1", "c", 0, 2)],
+        "reward string, run string, exact_count int, near_count int",
+    )
+    got = {
+        (r.reward, r.run): (r.total_rows, r.exact_entity_rows, r.near_target_rows, r.near_without_exact_rows, r.near_without_exact_rate, r.near_without_exact_rate_std)
+        for r in report.leak_report(df, "reward", "run").collect()
+    }
+    assert got == {
+        ("r0", "a"): (2, 1, 2, 1, 0.5, None),
+        ("r0", "b"): (2, 0, 0, 0, 0.0, None),
+        ("r0", "all"): (4, 1, 2, 1, 0.25, pytest.approx(statistics.stdev([0.5, 0.0]))),
+        ("r1", "c"): (1, 0, 1, 1, 1.0, None),
+        ("r1", "all"): (1, 0, 1, 1, 1.0, None),
+    }
