@@ -37,7 +37,9 @@ def digest(*columns: Column) -> Column:
         F.concat(F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(c, F.lit("")))
         for c in columns
     ]
-    return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))
+    key = F.unhex(F.sha2(F.concat_ws("|", *parts), 256))
+    # Never null, and declared so: joins on it then add no null test that hashes the text again.
+    return F.coalesce(key, F.lit(b""))
 
 
 def question(text: Column) -> Column:
