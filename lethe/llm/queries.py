@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import packing, quality, tokenfile
+from lethe.llm import mixing, packing, quality, sharding, tokenfile
 from lethe.llm.common import totals_before
 
 #: Parameters: the vocabulary files in use.
@@ -33,6 +33,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.shard(_table(spark, folder, "documents"), 24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_pack_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(_table(spark, folder, "documents"), WORD_VOCABULARY)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -45,5 +50,9 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op6_pack_sum_of_squares, op8_token_files)}
+def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken(mixing.mix(_table(spark, folder, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op8_token_files, op9_mix_sources)}
 SQL: dict[str, str] = {}
