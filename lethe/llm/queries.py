@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import mixing, packing, quality, sharding, tokenfile
+from lethe.llm import mixing, packing, pii, quality, sharding, tokenfile, toxicity
 from lethe.llm.common import totals_before
 
 #: Parameters: the vocabulary files in use.
@@ -18,6 +18,33 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _span_list(spans: str, kind: Column | None = None) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"] if kind is None else kind, s["start"], s["end"])))
+
+
+def op1_disclosing_terms(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pii.sanitize(_table(spark, folder, "documents"))
+    base, terms = _span_list("base"), _span_list("terms", F.lit("term"))
+    return rows.select(
+        "doc_id",
+        *[F.size(F.array_compact(F.transform("base.kind", lambda x: F.when(x == F.lit(kind), x)))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(base, 256).alias("base_sha256"),
+        F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(terms, F.lit(""))).alias("spans"),
+    )
+
+
+def op3_toxicity_noisy_or(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    rows = toxicity.score(documents, toxicity.train(documents, _table(spark, folder, "labels")))
+    return rows.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        _span_list("offending", F.lit("sentence")).alias("sentences"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.apply_rules(_table(spark, folder, "documents").select("doc_id", "text"))
     too_repeated = F.col("n_repeat_words") * 100 > F.col("n_words") * 50
@@ -54,5 +81,5 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(mixing.mix(_table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op8_token_files, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op8_token_files, op9_mix_sources)}
 SQL: dict[str, str] = {}
