@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import mixing, packing, pii, quality, sharding, tokenfile, toxicity
+from lethe.llm import mixing, neighbors, packing, pii, quality, sharding, tokenfile, toxicity
 from lethe.llm.common import totals_before
 
 #: Parameters: the vocabulary files in use.
@@ -70,6 +70,10 @@ def op6_pack_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_stable_projections(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbors.nearest(_table(spark, folder, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = tokenfile.write_tokens(_table(spark, folder, "documents"), BYTE_VOCABULARY)
     read = tokenfile.read_tokens(files).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -81,5 +85,5 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(mixing.mix(_table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op8_token_files, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources)}
 SQL: dict[str, str] = {}
