@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import mixing, neighbors, packing, pii, quality, sharding, tokenfile, toxicity
+from lethe.llm import mixing, neardup, neighbors, packing, pii, quality, sharding, tokenfile, toxicity
 from lethe.llm.common import totals_before
 
 #: Parameters: the vocabulary files in use.
@@ -33,6 +33,10 @@ def op1_disclosing_terms(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_minhash_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op3_toxicity_noisy_or(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
     rows = toxicity.score(documents, toxicity.train(documents, _table(spark, folder, "labels")))
@@ -85,5 +89,5 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(mixing.mix(_table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op2_minhash_bayes, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources)}
 SQL: dict[str, str] = {}
