@@ -1,20 +1,61 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input.
+
+Toxic documents go; later copies of repeated line runs are deleted, and with them documents that lose every word; one
+document of each group of near-duplicates stays; sources are mixed to their target weights; what is left is packed
+into training windows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lethe.llm import packing
-from lethe.llm.common import stored
+from lethe.llm import lines, mixing, neardup, packing, toxicity
+from lethe.llm.common import SPACE, stored
 from lethe.llm.queries import WORD_VOCABULARY
 
 
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; those that lose all their words go."""
+    rows = lines.drop_copied_lines(docs)
+    word = F.col("text").rlike(f"[^{SPACE[1:-1]}]")
+    return _with_length(rows.where((F.size("deleted") == 0) | word).select(*docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the text that the mix takes of them, repeats included; those of which it takes nothing go."""
+    return _with_length(mixing.mixed_texts(docs, mixing.mix(docs)))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed training sequences, with their ids."""
+    """Pieces of the packed training windows, with their ids."""
     return packing.pack(docs, WORD_VOCABULARY)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("near duplicates", drop_near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
+# Classifier, components and tokenizer have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
@@ -23,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{name}")
+            docs = stored(docs, f"stage-{name.replace(' ', '-')}")
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import mixing, neardup, neighbors, packing, pii, quality, sharding, tokenfile, toxicity
+from lethe.llm import lines, mixing, neardup, neighbors, packing, pii, quality, sharding, tokenfile, toxicity
 from lethe.llm.common import totals_before
 
 #: Parameters: the vocabulary files in use.
@@ -89,5 +89,11 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(mixing.mix(_table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op2_minhash_bayes, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources)}
+def op10_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lines.drop_copied_lines(_table(spark, folder, "documents").select("doc_id", "text"))
+    numbers = F.concat_ws(",", F.transform("deleted", lambda i: i.cast("string")))
+    return rows.select("doc_id", "text", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), numbers.alias("deleted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op2_minhash_bayes, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources, op10_line_runs)}
 SQL: dict[str, str] = {}

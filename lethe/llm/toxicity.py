@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,6 +150,27 @@ class _Weights(dict):
         return value
 
 
+class _Scorer:
+    """Scores texts with a model; made once in each worker."""
+
+    def __init__(self, chosen: np.ndarray, values: np.ndarray, bias: float) -> None:
+        table = np.zeros(DIMENSIONS, np.float32)
+        table[chosen] = values
+        self.get, self.bias = _Weights(table).__getitem__, bias
+
+    def __call__(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The noisy-or of the sentences, and (start, end, score) of those of at least one half."""
+        spans, sums = [], []
+        for m in _SENTENCE.finditer(text or ""):
+            found = set(m.group().lower().split())
+            if found:
+                spans.append(m.span())
+                sums.append(sum(map(self.get, found)))
+        p = 1 / (1 + np.exp(-np.clip(np.array(sums, float) + self.bias, -30, 30)))
+        whole = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+        return whole, [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)]
+
+
 def score(documents: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: (key, score, offending): noisy-or of the sentences, and those of at least one half.
 
@@ -161,22 +183,25 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], key: str = "doc
     kind = documents.schema[key].dataType.simpleString()
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(DIMENSIONS, np.float32)
-        table[chosen] = values
-        get = _Weights(table).__getitem__
+        of = _Scorer(chosen, values, bias)
         for batch in bounded_batches(batches, "__text"):
-            scores, offending = [], []
-            for value in batch["__text"]:
-                spans, sums = [], []
-                for m in _SENTENCE.finditer(value or ""):
-                    found = set(m.group().lower().split())
-                    if found:
-                        spans.append(m.span())
-                        sums.append(sum(map(get, found)))
-                p = 1 / (1 + np.exp(-np.clip(np.array(sums, float) + bias, -30, 30)))
-                scores.append(float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
-                offending.append([(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)])
-            yield pd.DataFrame({key: batch["__key"].to_numpy(), "score": scores, "offending": offending})
+            found = [of(t) for t in batch["__text"]]
+            yield pd.DataFrame({key: batch["__key"].to_numpy(), "score": [x for x, _ in found], "offending": [x for _, x in found]})
 
     plain = documents.select(documents[key].alias("__key"), documents[text].cast("string").alias("__text"))
     return plain.mapInPandas(scored, f"`{key}` {kind}, score double, offending array<struct<start:int,end:int,score:double>>")
+
+
+def keep_clean(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score below ``threshold``; those with null or empty texts stay."""
+    weights, bias = model
+    chosen = np.flatnonzero(weights)
+    values = weights[chosen]
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Scorer(chosen, values, bias)
+        for batch in batches:
+            keep = [of(t.as_py())[0] < threshold for t in batch.column(batch.schema.get_field_index(text))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(clean, documents.schema)
