@@ -74,10 +74,10 @@ class Lane:
             self.stacks.setdefault(level + size, []).append(pieces)
             self.levels[level + size] += 1
             self.held += 1
-        return done + self.flush() if self.held > self.limit else done
+        return done + self.flush(last=False) if self.held > self.limit else done
 
-    def flush(self) -> list[tuple[int, list[tuple]]]:
-        """Join the open windows, fullest first, and cut them into full ones; only the last may be partly filled."""
+    def flush(self, last: bool = True) -> list[tuple[int, list[tuple]]]:
+        """Join the open windows, fullest first, and cut them into full ones; one may stay partly filled, open unless ``last``."""
         done, window, room = [], [], self.window
         for level in sorted(self.stacks, reverse=True):
             for pieces in self.stacks[level]:
@@ -89,10 +89,13 @@ class Lane:
                         if not room:
                             done.append(self._finish(window))
                             window, room = [], self.window
-        if window:
-            done.append(self._finish(window))
         self.levels[:] = 0
         self.stacks, self.held = {}, 0
+        if window and last:
+            done.append(self._finish(window))
+        elif window:
+            self.stacks[self.window - room] = [window]
+            self.levels[self.window - room] = self.held = 1
         return done
 
 

@@ -97,7 +97,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0),
         lambda a, b: a + b,
     )
-    bare = F.split(F.lower(F.translate(value, ".,;:!?\"'()\n", "          ")), " ", -1)
+    marks = ".,;:!?\"'()\n"
+    bare = F.split(F.lower(F.translate(value, marks, " " * len(marks))), " ", -1)
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     measures = {
         "n_words": F.size("__words"),

@@ -96,4 +96,52 @@ def op10_line_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op2_minhash_bayes, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources, op10_line_runs)}
-SQL: dict[str, str] = {}
+_STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+_QUALITY_SQL = rf"""
+with d as (
+  select doc_id, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+  from documents),
+windows as (
+  select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as w
+  from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d)),
+twice as (select doc_id, i, count(*) over (partition by doc_id, w) as n from windows),
+covered as (
+  select doc_id, count(*) as n
+  from (select distinct doc_id, i + k as place from (select doc_id, i, unnest([0, 1, 2]) as k from twice where n > 1))
+  group by 1),
+m as (
+  select doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+         (length(text) - length(translate(text, '{quality.SYMBOLS}', '')))::bigint as n_symbols,
+         (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, len(ls) as n_lines,
+         len(list_filter(string_split(lower(translate(text, '.,;:!?"''()' || chr(10), '           ')), ' '),
+                         lambda w: w in ({_STOP}))) as n_stop,
+         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_capitals
+  from d left join covered c using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       n_words >= 50 and word_chars * 100 between 200 * n_words and 1500 * n_words and n_symbols * 100 <= 10 * n_words
+         and n_stop * 100 >= 2 * n_words and n_dup_lines * 100 <= 50 * n_lines and n_repeat_words * 100 <= 50 * n_words
+         and n_capitals * 100 <= 50 * word_chars as kept
+from m
+"""
+_NEAR_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws
+  from documents),
+s as (
+  select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as x
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a),
+c as (select a as doc_id, min(b) as component_id from reach group by 1)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from c left join n using (doc_id)
+"""
+#: Where SQL states the whole result; the other queries are tested against brute force in tests/llm.
+SQL: dict[str, str] = {"op2_minhash_bayes": _NEAR_SQL, "op4_quality_rules": _QUALITY_SQL}
