@@ -9,8 +9,10 @@ posterior Beta(m + 1, n - m + 1); the pair is dropped as soon as P(s >= 0.75) <
 full sets.
 
 In a bucket every node is first compared with the bucket's smallest node, which connects groups of copies by as many
-pairs as they have members. Nodes of a bucket that are not connected after that meet in tiles of bounded size, where
-pairs are compared in place and only survivors are passed on; so every pair of a bucket is either connected or compared.
+pairs as they have members. Nodes of a bucket that are not connected after that meet in tiles of bounded size, first
+with signatures and, if a pair survives, with their sets. Pairs are compared and verified in place, each in the first
+bucket that it shares, and a tile passes on the links that connect its nodes, not its pairs. So every pair of a bucket
+is either connected or compared.
 """
 
 from __future__ import annotations
@@ -137,15 +139,21 @@ def sketch(documents: DataFrame, key: str, text: str) -> DataFrame:
     return plain.mapInPandas(rows, f"`{key}` {kind}, node binary, n_shingles long, signature binary")
 
 
+def _buckets(minima: np.ndarray) -> np.ndarray:
+    """The bucket of each signature (rows) in each band (columns)."""
+    rows = minima.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    keys = _mixed((rows * _BAND_FACTORS).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * _FACTORS[0])
+    return keys.view(np.int64)
+
+
 def _banded(sketches: DataFrame) -> DataFrame:
     """(bucket, node): where each node falls, once for each band."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                minima = _matrix(batch["signature"]).reshape(-1, BANDS, ROWS).astype(np.uint64)
-                keys = _mixed((minima * _BAND_FACTORS).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * _FACTORS[0])
-                yield pd.DataFrame({"bucket": keys.reshape(-1).view(np.int64), "node": np.repeat(batch["node"].to_numpy(), BANDS)})
+                keys = _buckets(_matrix(batch["signature"]))
+                yield pd.DataFrame({"bucket": keys.reshape(-1), "node": np.repeat(batch["node"].to_numpy(), BANDS)})
 
     return sketches.where("node is not null").select("node", "signature").mapInPandas(rows, "bucket long, node binary")
 
@@ -163,10 +171,10 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(rows, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough; sets are made again for the documents in question."""
+def _sets(asked: DataFrame, nodes: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, shingles) of the nodes asked for, made again from the text of each node's first document."""
 
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         for batch in bounded_batches(batches, "__text"):
             found = [shingles.of(t) for t in batch["__text"]]
@@ -174,63 +182,102 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, key: str
             own = [xxhash.xxh128_digest(s.tobytes()) == n for s, n in zip(found, batch["node"])]
             yield pd.DataFrame({"node": batch["node"].to_numpy()[own], "shingles": [s.tobytes() for s, o in zip(found, own) if o]})
 
+    wanted = nodes.join(asked.distinct(), "node", "left_semi").select("node", F.col("least").alias("__least"))
+    plain = documents.select(documents[key].alias("__key"), documents[text].cast("string").alias("__text"))
+    texts = plain.join(wanted, F.col("__key").eqNullSafe(F.col("__least"))).select("node", "__text")
+    return stored(texts.mapInPandas(rows, "node binary, shingles binary"), "shingles")
+
+
+def similar(one: bytes, two: bytes) -> bool:
+    """Whether two whole sets are similar enough."""
+    left, right = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    if PERCENT * max(len(left), len(right)) > 100 * min(len(left), len(right)):
+        return False
+    shared = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * shared >= PERCENT * (len(left) + len(right) - shared)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch["x"], batch["y"])):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                keep[i] = 100 * shared >= PERCENT * (len(one) + len(two) - shared)
+            keep = np.array([similar(x, y) for x, y in zip(batch["x"], batch["y"])], bool)
             yield batch.loc[keep, ["a", "b"]]
 
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("least").alias("__least"))
-    plain = documents.select(documents[key].alias("__key"), documents[text].cast("string").alias("__text"))
-    texts = plain.join(wanted, F.col("__key").eqNullSafe(F.col("__least"))).select("node", "__text")
-    sets = stored(texts.mapInPandas(sets_of, "node binary, shingles binary"), "shingles")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return both.mapInPandas(rows, "a binary, b binary").distinct()
 
 
-def _unconnected(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of nodes that share a bucket but no component, compared in tiles."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def pairs(tile: pd.DataFrame) -> pd.DataFrame:
-            minima, root = _matrix(tile["signature"]), pd.factorize(tile["root"])[0]
-            chunk, node = tile["chunk"].to_numpy(), tile["node"].to_numpy()
-            first, last = tile["first"].iloc[0], tile["last"].iloc[0]
-            left, right = np.flatnonzero(chunk == first), np.flatnonzero(chunk == last)
-            out_a, out_b = [], []
-            for i in left:
-                others = right[(root[right] != root[i]) & ((right > i) | (first != last))]
-                others = others[surviving(np.broadcast_to(minima[i], (len(others), HASHES)), minima[others])]
-                out_a += [node[i]] * len(others)
-                out_b += node[others].tolist()
-            return pd.DataFrame({"a": out_a, "b": out_b})
-
-        def done(frames: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for _, tile in pd.concat(frames).groupby(["bucket", "first", "last"], sort=False):
-                if len(tile) > 1:
-                    yield pairs(tile.reset_index(drop=True))
-
-        # Rows come sorted by tile; the last tile of a batch may go on in the next one.
-        for batch in batches:
-            if not len(batch):
-                continue
-            end = batch[["bucket", "first", "last"]].iloc[-1]
-            same = (batch[["bucket", "first", "last"]] == end).all(axis=1).to_numpy()
-            whole = batch[~same]
-            if len(whole):
-                yield from done([*held, whole])
-                held = []
-            held.append(batch[same])
-        if held:
-            yield from done(held)
+_TILE = ["bucket", "first", "last"]
+
+
+def _by_tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tiles of at least two nodes, from rows that come sorted by tile."""
+    held: list[pd.DataFrame] = []
+
+    def tiles() -> Iterator[pd.DataFrame]:
+        for _, tile in pd.concat(held).groupby(_TILE, sort=False):
+            # Nodes of repeated rows may come twice.
+            tile = tile.drop_duplicates("node", ignore_index=True)
+            if len(tile) > 1:
+                yield tile
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        # The last tile of a batch may go on in the next one.
+        same = (batch[_TILE] == batch[_TILE].iloc[-1]).all(axis=1).to_numpy()
+        if not same.all():
+            held.append(batch[~same])
+            yield from tiles()
+            held = []
+        held.append(batch[same])
+    if held:
+        yield from tiles()
+
+
+def _candidates(tile: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """For each node of a tile the others, of other components, that it survives with, if the tile's bucket is their first."""
+    minima, root, chunk = _matrix(tile["signature"]), pd.factorize(tile["root"])[0], tile["chunk"].to_numpy()
+    bucket, first, last = tile[_TILE].iloc[0]
+    keys = _buckets(minima)
+    right = np.flatnonzero(chunk == last)
+    for i in np.flatnonzero(chunk == first):
+        others = right[(root[right] != root[i]) & ((right > i) | (first != last))]
+        others = others[surviving(np.broadcast_to(minima[i], (len(others), HASHES)), minima[others])]
+        if len(others):
+            common = keys[others] == keys[i]
+            others = others[keys[i][common.argmax(axis=1)] == bucket]
+            if len(others):
+                yield i, others
+
+
+def _unconnected(members: DataFrame, nodes: DataFrame, roots: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (a, b) between components of ``roots`` whose nodes share a bucket."""
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tile in _by_tile(batches):
+            hit = np.zeros(len(tile), bool)
+            for i, others in _candidates(tile):
+                hit[i] = hit[others] = True
+            if hit.any():
+                yield tile[hit]
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tile in _by_tile(batches):
+            node, shingles, out = tile["node"].to_numpy(), tile["shingles"].to_numpy(), []
+            group = pd.factorize(tile["root"])[0]
+            for i, others in _candidates(tile):
+                for j in others:
+                    # Components that the tile has joined by now need no further link.
+                    if group[i] != group[j] and similar(shingles[i], shingles[j]):
+                        out.append((node[i], node[j]))
+                        group[group == group[j]] = group[i]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
 
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
@@ -239,8 +286,10 @@ def _unconnected(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> Data
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = rest.select("bucket", "node", "root", "chunk", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("last"))
     tiles = tiles.join(nodes.select("node", "signature"), "node")
-    names = ["bucket", "first", "last"]
-    return tiles.repartition(*names).sortWithinPartitions(*names).mapInPandas(rows, "a binary, b binary").distinct()
+    found = stored(tiles.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInPandas(marked, tiles.schema), "tiles")
+    sets = _sets(found.select("node"), nodes, documents, key, text)
+    full = found.join(sets, "node")
+    return full.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInPandas(linked, "a binary, b binary").distinct()
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,12 +312,12 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     stars = members.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     likely = stored(_likely(stars, nodes), "likely")
-    links = stored(_verified(likely, nodes, documents, key, text), "verified")
+    ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node")))
+    links = stored(_verified(likely, _sets(ends, nodes, documents, key, text)), "verified")
     roots = stored(components(links), "roots")
-    more = stored(_unconnected(members.select("bucket", "node"), nodes, roots), "likely")
+    more = stored(_unconnected(members.select("bucket", "node"), nodes, roots, documents, key, text), "verified")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, nodes, documents, key, text))
-        roots = stored(components(links), "roots")
+        roots = stored(components(links.unionByName(more)), "roots")
 
     # The smallest key of each node and then of each component; empty sets keep their own.
     own = sketches.where("node is not null").groupBy("node").agg(F.min(key).alias("least"))
