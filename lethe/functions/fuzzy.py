@@ -31,10 +31,13 @@ PACKED = T.ArrayType(T.StructType([T.StructField("ord", T.IntegerType()), T.Stru
 def _normalize(text: str | None) -> str | None:
     if text is None:
         return None
-    if not text.isascii():
+    if text.isascii():
+        text = text.lower()
+    else:
+        # Folded before it is decomposed: capitals that decomposition brings in are dropped.
         text = unicodedata.normalize("NFKD", text.casefold())
         text = "".join(c for c in text if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[^a-z0-9\s]", " ", text.lower()).split())
+    return " ".join(re.sub(r"[^a-z0-9\s]", " ", text).split())
 
 
 @F.pandas_udf(T.StringType())

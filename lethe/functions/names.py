@@ -72,7 +72,7 @@ def short_run_name(model: Column, folder: Column) -> Column:
 
 
 def in_allow_list(value: Column, allowed: Sequence[str]) -> Column:
-    return words_of(value).isin([" ".join(a.lower().split()) for a in allowed])
+    return words_of(value).isin([words_of(F.lit(a)) for a in allowed])
 
 
 def subject_filter(df: DataFrame, subjects: str | Sequence[str] | None, column: str = "subject") -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET_WIDTH = 1_000_000
 
@@ -37,6 +38,17 @@ def position_bucket(position: Column, width: int = BUCKET_WIDTH) -> Column:
     return F.floor(position / F.lit(width)).cast("bigint")
 
 
+def identity_bucket(df: DataFrame, identity: str, width: int = BUCKET_WIDTH) -> Column:
+    """A bucket monotone in an identity column of any type: ranges of numbers, or leading bytes of a text."""
+    kind = df.schema[identity].dataType
+    if isinstance(kind, T.NumericType):
+        return position_bucket(F.col(identity), width)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return position_bucket(F.unix_timestamp(F.col(identity).cast("timestamp")), 3600)
+    head = F.rpad(F.substring(F.hex(F.encode(F.col(identity).cast("string"), "UTF-8")), 1, 8), 8, "0")
+    return F.conv(head, 16, 10).cast("bigint")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,16 +58,16 @@ def running(
 ) -> DataFrame:
     """Add running values per ``keys`` in ``order``; ``bucket`` must be monotone in ``order``.
 
-    Rows with a null key are dropped. The window and the join share one partitioning, so the
-    rows are shuffled once.
+    Null keys form a group like any other value. The window and the join share one
+    partitioning, so the rows are shuffled once.
     """
-    keys = list(keys)
-    cells = [*keys, "__bucket"]
+    # Structs compare equal where both have nulls, so they carry null keys through the join.
+    group = ["__group"] if keys else []
+    cells = [*group, "__bucket"]
     wanted = list(df.columns)
     inputs = {f"__in_{name}": spec.value for name, spec in columns.items()}
-    for key in keys:
-        df = df.where(F.col(key).isNotNull())
-    base = df.withColumns({"__bucket": bucket, **inputs})
+    grouped = {"__group": F.struct(*[F.col(k) for k in keys])} if keys else {}
+    base = df.withColumns({**grouped, "__bucket": F.struct(bucket.alias("b")), **inputs})
 
     sums = []
     for name, spec in columns.items():
@@ -69,8 +81,8 @@ def running(
             sums.append(F.max(F.when(value.isNotNull(), ranked))["v"].alias(f"__b_{name}"))
         else:
             raise ValueError(f"unknown running kind {spec.kind!r}")
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
     carried = []
     for name, spec in columns.items():
         cell = F.col(f"__b_{name}")

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from lethe.functions import ordered
 from lethe.functions.text import digest, is_nonblank, question
 
-# Up to here Spark limits the groups of a ranking window before its shuffle.
-GROUP_LIMIT = 1_000
 SPLITS = ("grpo/train", "grpo/test", "sft/train", "sft/test")
 
 
@@ -78,36 +76,29 @@ def select_max(
     seed: int = 42,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """At most ``limit`` rows (per group): the first by ``identity``, or a seeded sample."""
+    """At most ``limit`` rows (per group): the first by ``identity``, or a seeded sample.
+
+    Rows are counted per group and bucket of the order; only the buckets that the limit reaches are ranked. A null
+    group is a group. ``identity`` may have any type; it is taken as unique.
+    """
     if limit is None:
         return df
     if int(limit) <= 0:
         raise ValueError("limit must be positive or None")
     if strategy not in ("first", "random"):
         raise ValueError("strategy must be 'first' or 'random'")
-    limit = int(limit)
-    if limit <= GROUP_LIMIT:
-        return _first_rows(df, limit, identity, strategy, seed, by)
     if strategy == "random":
-        ranked = _shuffled(df, by, identity, seed, "__total").drop("__total")
+        keyed = df.withColumn("__order", ordered.seeded_order(seed, F.col(identity)))
+        order, bucket = ["__order", identity], ordered.seeded_bucket(F.col("__order"))
     else:
-        ranked = ordered.row_index(
-            df, by, [identity], ordered.position_bucket(F.col(identity)), "__rank"
-        )
-    return ranked.where(F.col("__rank") < limit).drop("__rank")
-
-
-def _first_rows(
-    df: DataFrame, limit: int, identity: str, strategy: str, seed: int, by: Sequence[str]
-) -> DataFrame:
-    """A small limit: every task sends at most ``limit`` rows per group to the shuffle."""
-    order = F.col(identity) if strategy == "first" else ordered.seeded_order(seed, F.col(identity))
-    keyed = df.withColumn("__order", order)
-    if not by:
-        return keyed.orderBy("__order", identity).limit(limit).drop("__order")
-    window = Window.partitionBy(*by).orderBy("__order", identity)
-    ranked = keyed.withColumn("__rank", F.row_number().over(window))
-    return ranked.where(F.col("__rank") <= limit).drop("__order", "__rank")
+        keyed, order, bucket = df, [identity], ordered.identity_bucket(df, identity)
+    placed = keyed.withColumn("__cell", F.struct(*[F.col(c) for c in by], bucket.alias("__b")))
+    counts = placed.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*[f"__cell.{c}" for c in by]).orderBy("__cell.__b").rowsBetween(Window.unboundedPreceding, -1)
+    reached = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).where(F.col("__before") < int(limit))
+    near = placed.join(reached.select("__cell"), "__cell", "left_semi")
+    ranked = ordered.row_index(near, by, order, F.col("__cell.__b"), "__rank")
+    return ranked.where(F.col("__rank") < int(limit)).select(*df.columns)
 
 
 def _size(size: float | int, total: Column) -> Column:

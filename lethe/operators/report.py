@@ -302,8 +302,12 @@ def baseline_deltas(
         F.count(F.lit(1)).alias("__n"), *[F.max(m).alias(f"__b_{m}") for m in metrics]
     )
     duplicate = F.raise_error(F.concat(F.lit("duplicate baseline for "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys])))
+    # The test sits in a key of the join, which no later selection can prune.
+    kind = one.schema[keys[0]].dataType
     checked = one.select(
-        *keys, *[F.when(F.col("__n") > 1, duplicate.cast("double")).otherwise(F.col(f"__b_{m}")).alias(f"__b_{m}") for m in metrics]
+        F.when(F.col("__n") > 1, duplicate.cast(kind)).otherwise(F.col(keys[0])).alias(keys[0]),
+        *keys[1:],
+        *[f"__b_{m}" for m in metrics],
     )
     deltas = trained.join(checked, keys).withColumns(
         {f"{m}_delta": F.col(m) - F.col(f"__b_{m}") for m in metrics}

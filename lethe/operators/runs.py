@@ -74,7 +74,10 @@ def add_prompt_index(
     numbered = ordered.row_index(
         firsts, group, ["__first"], ordered.position_bucket(F.col("__first"), width), "prompt_index"
     ).drop("__first")
-    return df.join(numbered, [*group, prompt])
+    # Structs compare equal where both have nulls: rows without a prompt or a key keep their place.
+    cell = F.struct(*[F.col(c) for c in (*group, prompt)])
+    numbers = numbered.select(cell.alias("__cell"), "prompt_index")
+    return df.withColumn("__cell", cell).join(numbers, "__cell").drop("__cell")
 
 
 def add_completion_index(

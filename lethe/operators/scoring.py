@@ -141,14 +141,15 @@ def incremental_scores(
     keys: Sequence[str],
     metrics: Sequence[str],
     context: Sequence[str] = (),
-    version: int = 1,
+    version: int | None = None,
     cached_only: Sequence[str] | None = None,
     durable: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Score only what the cache lacks; returns (rows with scores, cache with additions).
 
     ``cached_only`` names the run columns: runs that still lack a score are left out and
-    nothing is scored. ``durable`` writes the new scores to the shared folder before use.
+    nothing is scored. ``durable`` writes the new scores to the shared folder before use. Their
+    version is one above the cache's highest unless given, so that they replace what was cached.
     """
     if cached_only is not None:
         expanded = attach_scores(rows, cache, keys, metrics)
@@ -157,6 +158,8 @@ def incremental_scores(
             incomplete = incomplete | F.col(m).isNull()
         partial = expanded.where(incomplete).select(*cached_only).distinct()
         return expanded.join(partial, list(cached_only), "left_anti"), cache
+    if version is None:
+        version = (cache.agg(F.max("version")).first()[0] or 0) + 1
     fresh = score(missing_pairs(rows, cache, keys, metrics, context)).withColumn("version", F.lit(version))
     if durable:
         fresh = materialize(fresh, "scores")

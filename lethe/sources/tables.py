@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lethe.functions import names
 from lethe.operators import prepare
@@ -42,15 +44,23 @@ def load_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits(splits: DataFrame, path: str) -> None:
-    """Prompt splits as one table partitioned by concept and split."""
-    splits.write.mode("overwrite").partitionBy("concept", "split").parquet(path)
+    """Prompt splits as one table partitioned by concept and split; other concepts there stay."""
+    dynamic = splits.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    dynamic.partitionBy("concept", "split").parquet(path)
+
+
+def read_partitioned(spark: SparkSession, path: str, partitions: Sequence[str]) -> DataFrame:
+    """A partitioned table whose partition values stay text ("007" is no number)."""
+    inferred = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name in partitions else f for f in inferred.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def load_splits(spark: SparkSession, path: str, concept: str, mode: str) -> tuple[DataFrame, DataFrame]:
     """Train and test rows of one concept; only its partitions are read."""
     if mode not in ("sft", "grpo"):
         raise ValueError(f"mode must be 'sft' or 'grpo', not {mode!r}")
-    rows = spark.read.parquet(path).where(F.col("concept") == concept)
+    rows = read_partitioned(spark, path, ["concept", "split"]).where(F.col("concept") == concept)
     train = rows.where(F.col("split") == f"{mode}/train").drop("concept", "split")
     test = rows.where(F.col("split") == f"{mode}/test").drop("concept", "split")
     return train, test
@@ -75,25 +85,26 @@ def require_splits(splits: DataFrame) -> DataFrame:
 
 def publish_splits(spark: SparkSession, path: str, out: str) -> None:
     """All concepts, one folder per published split; answers of the RL splits are withheld."""
-    rows = require_splits(spark.read.parquet(path))
+    rows = require_splits(read_partitioned(spark, path, ["concept", "split"]))
     names_ = F.create_map(*[F.lit(x) for pair in PUBLISHED.items() for x in pair])
-    prepare.publish(rows).withColumn("published", names_[F.col("split")]).drop("split").write.mode(
-        "overwrite"
-    ).partitionBy("published").parquet(out)
+    published = prepare.publish(rows).withColumn("published", names_[F.col("split")]).drop("split")
+    dynamic = published.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    dynamic.partitionBy("published", "concept").parquet(out)
 
 
 def load_published(spark: SparkSession, path: str, split: str) -> DataFrame:
     """One published split; RL splits have no completion column."""
     if split not in PUBLISHED.values():
         raise ValueError(f"unknown published split {split!r}")
-    rows = spark.read.parquet(path).where(F.col("published") == split).drop("published")
+    rows = read_partitioned(spark, path, ["published", "concept"]).where(F.col("published") == split).drop("published")
     return rows.drop("completion") if split in ("grpo_train", "holdout") else rows
 
 
 def restore_splits(spark: SparkSession, path: str, out: str) -> None:
     """Published table back to prompt splits, all concepts in one write."""
     back = F.create_map(*[F.lit(x) for k, v in PUBLISHED.items() for x in (v, k)])
-    rows = spark.read.parquet(path).withColumn("split", back[F.col("published")]).drop("published")
+    rows = read_partitioned(spark, path, ["published", "concept"])
+    rows = rows.withColumn("split", back[F.col("published")]).drop("published")
     write_splits(rows, out)
 
 
@@ -131,21 +142,33 @@ def list_files(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path")
 
 
+def read_csv_by_header(spark: SparkSession, glob: str, required: Sequence[str], *extra: Column, kind: str = "columns") -> DataFrame:
+    """The ``required`` columns (text) of CSV files, each file read by its own header, and ``extra`` columns.
+
+    Files are read together where their header lines are equal. A file without a required column is an error.
+    """
+    header = F.rtrim(F.substring_index("value", "\n", 1), F.lit("\r"))
+    files = spark.read.text(glob, wholetext=True).select(header.alias("header"), F.col("_metadata.file_path").alias("path"))
+    groups = files.groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
+    parts = []
+    for group in groups:
+        rows = spark.read.option("header", True).option("escape", '"').csv(group["paths"])
+        missing = sorted(set(required) - set(rows.columns))
+        if missing:
+            raise ValueError(f"missing {kind} {missing} in {group['paths'][0]}")
+        parts.append(rows.select(*[F.col(f"`{c}`") for c in required], *extra))
+    if not parts:
+        raise ValueError(f"no file matches {glob}")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_summaries(
     spark: SparkSession, root: str, metrics: Sequence[str], file: str = "summary.csv"
 ) -> DataFrame:
     """Summary tables of the immediate run folders, with the folder name."""
-    rows = spark.read.option("header", True).csv(f"{root}/*/{file}")
-    missing = {"forget_concept", "model_name_or_path", "stat", *metrics} - set(rows.columns)
-    if missing:
-        raise ValueError(f"summaries are missing columns: {sorted(missing)}")
-    return rows.select(
-        "forget_concept",
-        "model_name_or_path",
-        "stat",
-        *[names.number(F.col(m)).alias(m) for m in metrics],
-        parent_folder().alias("folder"),
-    )
+    required = ["forget_concept", "model_name_or_path", "stat", *metrics]
+    rows = read_csv_by_header(spark, f"{root}/*/{file}", required, parent_folder().alias("folder"))
+    return rows.select(*required[:3], *[names.number(F.col(f"`{m}`")).alias(m) for m in metrics], "folder")
 
 
 def run_table(summaries: DataFrame, metrics: Sequence[str], stats: Sequence[str] = ("mean",)) -> DataFrame:
@@ -162,12 +185,9 @@ def run_table(summaries: DataFrame, metrics: Sequence[str], stats: Sequence[str]
 
 def read_benchmark_summaries(spark: SparkSession, glob: str, level: int) -> DataFrame:
     """Single-row benchmark tables; the run name is the folder ``level`` steps up."""
-    rows = spark.read.option("header", True).csv(glob)
-    missing = set(SUMMARY_LABELS.values()) - set(rows.columns)
-    if missing:
-        raise ValueError(f"benchmark summaries are missing metrics: {sorted(missing)}")
+    rows = read_csv_by_header(spark, glob, list(SUMMARY_LABELS.values()), parent_folder(level).alias("run_name"), kind="metrics")
     return rows.select(
-        parent_folder(level).alias("run_name"),
+        "run_name",
         *[names.number(F.col(f"`{label}`")).alias(m) for m, label in SUMMARY_LABELS.items()],
     )
 

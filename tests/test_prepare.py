@@ -114,13 +114,25 @@ def test_subject_filter(spark):
 
 @pytest.mark.parametrize("strategy", ["first", "random"])
 @pytest.mark.parametrize("by", [[], ["concept"]])
-def test_small_and_large_limits_agree(corpus, monkeypatch, strategy, by):
-    small = prepare.select_max(corpus, 37, "pos", strategy, 3, by)
-    monkeypatch.setattr(prepare, "GROUP_LIMIT", 0)
-    large = prepare.select_max(corpus.repartition(3), 37, "pos", strategy, 3, by)
-    assert {r.pos for r in small.collect()} == {r.pos for r in large.collect()}
+def test_limits_do_not_depend_on_partitions(corpus, strategy, by):
+    one = prepare.select_max(corpus, 37, "pos", strategy, 3, by)
+    other = prepare.select_max(corpus.repartition(3), 37, "pos", strategy, 3, by)
+    assert {r.pos for r in one.collect()} == {r.pos for r in other.collect()}
 
 
-def test_group_limit_comes_before_the_shuffle(corpus):
-    plan = prepare.select_max(corpus, 5, "pos", by=["concept"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+@pytest.mark.parametrize("strategy", ["first", "random"])
+def test_limits_of_any_size_keep_null_groups_and_text_ids(spark, strategy):
+    rows = [(f"id{i:03}", None if i % 3 == 0 else "g") for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, g string").repartition(4)
+    for limit in (1000, 1001, 30):
+        assert prepare.select_max(df, limit, "id", strategy, by=["g"]).count() == 30
+    few = prepare.select_max(df, 4, "id", strategy, by=["g"]).collect()
+    assert sorted(str(r.g) for r in few) == ["None"] * 4 + ["g"] * 4
+    if strategy == "first":
+        assert {r.id for r in few} == {"id000", "id003", "id006", "id009", "id001", "id002", "id004", "id005"}
+
+
+def test_splits_keep_rows_of_a_null_group(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "g") for i in range(30)], "pos long, g string")
+    rows = prepare.seeded_splits(df, ["g"], "pos", 1, 0.2, 0.1, 0.05).collect()
+    assert sorted(r.pos for r in rows) == list(range(30))

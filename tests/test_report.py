@@ -185,3 +185,11 @@ def test_leak_report(spark):
         ("r1", "c"): (1, 0, 1, 1, 1.0, None),
         ("r1", "all"): (1, 0, 1, 1, 1.0, None),
     }
+
+
+def test_a_second_baseline_is_an_error_whatever_is_selected(spark):
+    trained = spark.createDataFrame([("a", 1.0)], "k string, m double")
+    baseline = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, m double")
+    for column in ("k", "m_delta"):
+        with pytest.raises(Exception, match="duplicate baseline"):
+            report.baseline_deltas(trained, baseline, ["k"], ["m"]).select(column).collect()

@@ -124,3 +124,18 @@ def test_enrich_splits(spark):
     )
     got = {r.split: r.broad_completion for r in scoring.enrich_splits(rows, open_writer).collect()}
     assert got == {"sft/train": "about K", "sft/test": "about K", "grpo/train": None}
+
+
+def test_a_complete_new_score_replaces_an_incomplete_one(spark):
+    rows = spark.createDataFrame([("p", "c")], "prompt string, completion string")
+    cache = spark.createDataFrame([("p", "c", True, None, 1)], "prompt string, completion string, x boolean, y boolean, version int")
+    asked = []
+
+    def score(pairs):
+        asked.append(pairs.count())
+        return pairs.withColumn("x", F.lit(False)).withColumn("y", F.lit(True))
+
+    for _ in range(3):
+        found, cache = scoring.incremental_scores(rows, cache, score, ["prompt", "completion"], ["x", "y"], durable=True)
+        assert [(r.x, r.y) for r in found.collect()] == [(False, True)]
+    assert asked == [1, 0, 0]

@@ -232,3 +232,34 @@ def test_pending_work(spark):
     stopped = spark.createDataFrame([("d",)], "k string")
     left = tables.pending_work(work, outputs, "k", ["m", "s"], stopped)
     assert sorted(r.k for r in left.collect()) == ["b", "c"]
+
+
+def test_summaries_are_read_by_their_own_headers(spark, tmp_path):
+    for folder, text in (
+        ("a", "forget_concept,model_name_or_path,stat,refusal,lexical_leakage\nX,m,mean,0.1,0.9\n"),
+        ("b", 'lexical_leakage,extra,refusal,stat,model_name_or_path,forget_concept\n0.9,z,0.1,mean,m,"K ""x"""\n'),
+    ):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "summary.csv").write_text(text, encoding="utf-8")
+    rows = tables.read_summaries(spark, str(tmp_path), ["refusal", "lexical_leakage"]).collect()
+    assert {(r.refusal, r.lexical_leakage) for r in rows} == {(0.1, 0.9)}
+    assert {r.forget_concept for r in rows} == {"X", 'K "x"'}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "summary.csv").write_text("forget_concept,model_name_or_path,stat,refusal\nX,m,mean,0.1\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="missing columns"):
+        tables.read_summaries(spark, str(tmp_path), ["refusal", "lexical_leakage"])
+
+
+def test_concepts_are_written_side_by_side(spark, tmp_path):
+    path = str(tmp_path / "splits")
+    for concept in ("007", "b"):
+        rows = [(concept, s, f"p{s}", "c", concept, None) for s in tables.PUBLISHED]
+        df = spark.createDataFrame(rows, "concept string, split string, prompt string, completion string, subject string, broad_completion string")
+        tables.write_splits(df, path)
+    for concept in ("007", "b"):
+        train, test = tables.load_splits(spark, path, concept, "sft")
+        assert train.count() == test.count() == 1 and train.first().subject == concept
+    tables.publish_splits(spark, path, str(tmp_path / "published"))
+    tables.restore_splits(spark, str(tmp_path / "published"), str(tmp_path / "back"))
+    kept = tables.read_partitioned(spark, str(tmp_path / "back"), ["concept", "split"])
+    assert {(r.concept, r.split) for r in kept.collect()} == {(c, s) for c in ("007", "b") for s in tables.PUBLISHED}
