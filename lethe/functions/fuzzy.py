@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe.functions import matching
-from lethe.functions.text import WORD, let
+from lethe.functions.matching import MATCHES
+from lethe.functions.text import WORD, fold, let, ngrams, words
 
 THRESHOLD = 85.0
 MIN_COMPACT_LENGTH = 4
 SLICE = 500
+MAX_LITERAL_PATTERNS = 5_000
+MAX_LITERAL_CHARS = 1_000_000
+ENTRY = "struct<concept:string,ord:int,pattern:string,anchor:string,regex:string>"
 FUZZY = "array<struct<ord:int,pattern:string,n:int,exact:boolean>>"
 PACKED = T.ArrayType(T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("compact", T.StringType())]))
 
@@ -335,6 +339,59 @@ def _fuzzy_packed(threshold: float):
     return lookup
 
 
+def small_dictionary(
+    table: DataFrame,
+    max_rows: int = MAX_LITERAL_PATTERNS,
+    max_chars: int = MAX_LITERAL_CHARS,
+) -> list[dict] | None:
+    """The rows of a dictionary, or None when it is over the size bound.
+
+    At most ``max_rows + 1`` rows are fetched.
+    """
+    rows = [r.asDict() for r in table.limit(max_rows + 1).collect()]
+    if len(rows) > max_rows or sum(len(r["pattern"]) for r in rows) > max_chars:
+        return None
+    return sorted(rows, key=lambda r: (r["concept"] or "", r["ord"], r["pattern"]))
+
+
+def literal_matches(text: Column, rows: list[dict], concept: Column | None = None) -> Column:
+    """``MATCHES`` of a small dictionary, found inside the row.
+
+    The words and word pairs of the text are intersected with the anchors; only patterns
+    whose anchor occurs are run as regular expressions.
+    """
+    table = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<{ENTRY}>")
+    anchors = sorted({r["anchor"] for r in rows if r["anchor"]})
+    single = any(" " not in a for a in anchors)
+    paired = any(" " in a for a in anchors)
+
+    def keys(tokens: Column) -> Column:
+        if single and paired:
+            return F.concat(tokens, ngrams(tokens, 2))
+        return ngrams(tokens, 2) if paired else tokens
+
+    def candidates(found: Column) -> Column:
+        def possible(e: Column) -> Column:
+            hit = e["anchor"].isNull() | F.array_contains(found, e["anchor"])
+            return hit if concept is None else (e["concept"] == concept) & hit
+
+        return F.filter(table, possible)
+
+    def search(body: Column) -> Column:
+        present = let(words(fold(body)), lambda w: F.array_intersect(keys(w), F.lit(anchors or [""])))
+        counted = F.transform(
+            let(present, candidates),
+            lambda e: F.struct(
+                e["ord"].alias("ord"),
+                e["pattern"].alias("pattern"),
+                F.regexp_count(body, e["regex"]).alias("n"),
+            ),
+        )
+        return F.filter(counted, lambda m: m["n"] > 0)
+
+    return F.coalesce(let(text, search), F.array().cast(MATCHES))
+
+
 def normalized_entries(patterns: DataFrame) -> DataFrame:
     """Dictionary rows of the normalized patterns; patterns that normalize to nothing are dropped."""
     if "concept" not in patterns.columns:
@@ -372,7 +429,7 @@ def with_fuzzy_matches(
     key: str,
     concept: str | None = None,
     threshold: float = THRESHOLD,
-    max_patterns: int = matching.MAX_LITERAL_PATTERNS,
+    max_patterns: int = MAX_LITERAL_PATTERNS,
 ) -> DataFrame:
     """Add ``fuzzy_matches``; ``ord`` must be unique within a concept.
 
@@ -380,13 +437,13 @@ def with_fuzzy_matches(
     of a concept are packed into bounded slices and joined to the texts by concept.
     """
     table = normalized_entries(patterns)
-    rows = matching.small_dictionary(table, max_patterns)
+    rows = small_dictionary(table, max_patterns)
     own = F.col(concept) if concept else F.lit("")
     if rows is not None:
         slim = [{k: v for k, v in r.items() if k != "compact"} for r in rows]
         probed = _probe(df, rows, threshold, text, concept)
         exact = probed.withColumn(
-            "__exact", matching.literal_matches(F.col("__normal"), slim, own if concept else None)
+            "__exact", literal_matches(F.col("__normal"), slim, own if concept else None)
         )
         names = F.from_json(
             F.lit(json.dumps([{k: r[k] for k in ("concept", "ord", "pattern")} for r in rows], ensure_ascii=False)),
@@ -399,7 +456,7 @@ def with_fuzzy_matches(
 
     normal = df.withColumn("__normal", normalize(F.col(text)))
     compact = F.replace(F.col("__normal"), F.lit(" "), F.lit(""))
-    exact = matching.joined_matches(normal, table.drop("compact"), "__normal", key, concept).withColumn(
+    exact = matching.add_matches(normal, table.drop("compact"), "__normal", concept).withColumn(
         "__concept", own
     )
     packed = (

@@ -1,23 +1,19 @@
 """Whole-word matching of a pattern dictionary against texts.
 
-Patterns are a table ``(concept, split, ord, pattern)``. A dictionary within a checked size
-travels to the tasks as one literal and every text is scored where it was read, with no
-shuffle. A larger one is joined on one word per pattern.
+Patterns are a table ``(concept, split, ord, pattern)``, joined to the texts on one key per pattern.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lethe.functions.text import WORD, fold, let, ngrams, words
+from lethe.functions.text import WORD, digest, fold, let, ngrams, words
 
-MAX_LITERAL_PATTERNS = 5_000
-MAX_LITERAL_CHARS = 1_000_000
-ENTRY = "struct<concept:string,ord:int,pattern:string,anchor:string,regex:string>"
+# Sets characters that are no words apart from words.
+MARK = "\0"
 MATCHES = "array<struct<ord:int,pattern:string,n:int>>"
 REWARD_MODES = ("binary", "entity_count", "exponential", "length_aware")
 
@@ -57,7 +53,7 @@ def select_patterns(
         .select(
             "concept",
             "pattern",
-            (F.col("place.s") * 1_000_000 + F.col("place.o")).cast("int").alias("ord"),
+            (F.row_number().over(Window.partitionBy("concept").orderBy("place", "pattern")) - 1).alias("ord"),
         )
     )
 
@@ -85,114 +81,57 @@ def entries(patterns: DataFrame) -> DataFrame:
     )
 
 
-def small_dictionary(
-    table: DataFrame,
-    max_rows: int = MAX_LITERAL_PATTERNS,
-    max_chars: int = MAX_LITERAL_CHARS,
-) -> list[dict] | None:
-    """The rows of a dictionary, or None when it is over the size bound.
-
-    At most ``max_rows + 1`` rows are fetched.
-    """
-    rows = [r.asDict() for r in table.limit(max_rows + 1).collect()]
-    if len(rows) > max_rows or sum(len(r["pattern"]) for r in rows) > max_chars:
-        return None
-    return sorted(rows, key=lambda r: (r["concept"] or "", r["ord"], r["pattern"]))
+def _tokens(text: Column) -> Column:
+    """The keys under which a folded text may meet a pattern: words, word pairs, and its other characters."""
+    marks = F.split(F.regexp_replace(text, f"{WORD}+", ""), "")
+    marked = F.transform(F.filter(marks, lambda c: c != ""), lambda c: F.concat(F.lit(MARK), c))
+    return F.array_distinct(F.concat(let(words(text), lambda w: F.concat(w, ngrams(w, 2))), marked))
 
 
-def literal_matches(text: Column, rows: list[dict], concept: Column | None = None) -> Column:
-    """``MATCHES`` of a small dictionary, found inside the row.
+def candidates(df: DataFrame, table: DataFrame, text: str, concept: str | None = None) -> DataFrame:
+    """(__text_id, __candidates): per distinct text (and concept) the patterns whose anchor it holds.
 
-    The words and word pairs of the text are intersected with the anchors; only patterns
-    whose anchor occurs are run as regular expressions.
+    Only keys are joined; equal texts are one, and a text's list is part of the dictionary.
     """
-    table = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<{ENTRY}>")
-    anchors = sorted({r["anchor"] for r in rows if r["anchor"]})
-    single = any(" " not in a for a in anchors)
-    paired = any(" " in a for a in anchors)
-
-    def keys(tokens: Column) -> Column:
-        if single and paired:
-            return F.concat(tokens, ngrams(tokens, 2))
-        return ngrams(tokens, 2) if paired else tokens
-
-    def candidates(found: Column) -> Column:
-        def possible(e: Column) -> Column:
-            hit = e["anchor"].isNull() | F.array_contains(found, e["anchor"])
-            return hit if concept is None else (e["concept"] == concept) & hit
-
-        return F.filter(table, possible)
-
-    def search(body: Column) -> Column:
-        present = let(words(fold(body)), lambda w: F.array_intersect(keys(w), F.lit(anchors or [""])))
-        counted = F.transform(
-            let(present, candidates),
-            lambda e: F.struct(
-                e["ord"].alias("ord"),
-                e["pattern"].alias("pattern"),
-                F.regexp_count(body, e["regex"]).alias("n"),
-            ),
-        )
-        return F.filter(counted, lambda m: m["n"] > 0)
-
-    return F.coalesce(let(text, search), F.array().cast(MATCHES))
-
-
-def joined_matches(
-    df: DataFrame, table: DataFrame, text: str, key: str, concept: str | None = None
-) -> DataFrame:
-    """``MATCHES`` of a dictionary of any size, by joining texts and patterns on the anchor."""
-    found_keys = let(words(fold(F.col(text))), lambda w: F.array_distinct(F.concat(w, ngrams(w, 2))))
-    tokens = df.select(
-        key,
-        *([concept] if concept else []),
-        F.explode(found_keys).alias("anchor"),
-    )
-    sides = ["anchor"]
-    lookup = table
-    if concept:
-        lookup = table.withColumnRenamed("concept", concept)
-        sides.append(concept)
-    else:
-        lookup = table.drop("concept")
-    pairs = tokens.join(lookup.where(F.col("anchor").isNotNull()), sides).drop("anchor")
-    symbols = lookup.where(F.col("anchor").isNull()).drop("anchor")
-    # Patterns without any word have no anchor; they are paired by their first character.
-    first = df.select(
-        key,
-        *([concept] if concept else []),
-        F.explode(F.array_distinct(F.split(F.col(text), ""))).alias("first"),
-    )
-    on = ["first"] + ([concept] if concept else [])
-    symbol_pairs = first.join(symbols.withColumn("first", F.substring("pattern", 1, 1)), on).drop("first")
-    found = (
-        pairs.unionByName(symbol_pairs)
-        .join(df.select(key, F.col(text).alias("__text")), key)
-        .select(key, "ord", "pattern", F.regexp_count("__text", F.col("regex")).alias("n"))
-        .where(F.col("n") > 0)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("ord", "pattern", "n"))).cast(MATCHES).alias("matches"))
-    )
-    return df.join(found, key, "left").withColumn(
-        "matches", F.coalesce("matches", F.array().cast(MATCHES))
-    )
+    sides = ["anchor", "concept"] if concept else ["anchor"]
+    own = [F.col(concept).cast("string").alias("concept")] if concept else []
+    found = df.select("__text_id", *own, F.explode(_tokens(fold(F.col(text)))).alias("anchor"))
+    first = F.concat(F.lit(MARK), F.substring(fold(F.col("pattern")), 1, 1))
+    lookup = table.withColumn("anchor", F.coalesce("anchor", first))
+    lookup = lookup if concept else lookup.drop("concept")
+    entry = F.struct("ord", "pattern", "regex")
+    return found.join(lookup, sides).groupBy("__text_id").agg(F.sort_array(F.collect_set(entry)).alias("__candidates"))
 
 
 def with_matches(
     df: DataFrame,
     patterns: DataFrame,
     text: str,
-    key: str,
+    key: str | None = None,
     concept: str | None = None,
-    max_patterns: int = MAX_LITERAL_PATTERNS,
 ) -> DataFrame:
-    """Add ``matches``: every pattern found in the text with its number of occurrences."""
-    table = entries(patterns)
-    rows = small_dictionary(table, max_patterns)
-    if rows is None:
-        return joined_matches(df, table, text, key, concept)
-    found = literal_matches(F.col(text), rows, F.col(concept) if concept else None)
-    return df.withColumn("matches", found)
+    """Add ``matches``: every pattern found in the text with its number of occurrences.
+
+    Texts meet patterns by a join on one word pair (or word, or other character) per pattern, whatever the size of
+    the dictionary; adaptive execution broadcasts it after measuring it. Rows are identified by their text and
+    concept, so null and repeated keys, which ``key`` may hold, don't matter. A null text has no matches.
+    """
+    return add_matches(df, entries(patterns), text, concept)
+
+
+def add_matches(df: DataFrame, table: DataFrame, text: str, concept: str | None = None) -> DataFrame:
+    """with_matches() for a table that has the anchors and regular expressions of ``entries``."""
+    own = F.col(concept).cast("string") if concept else F.lit("")
+    keyed = df.withColumn("__text_id", digest(F.col(text), own))
+    near = candidates(keyed.where(F.col(text).isNotNull()), table, text, concept)
+    counted = F.transform(
+        "__candidates",
+        lambda e: F.struct(
+            e["ord"].alias("ord"), e["pattern"].alias("pattern"), F.regexp_count(F.col(text), e["regex"]).alias("n")
+        ),
+    )
+    matches = F.coalesce(F.filter(counted, lambda m: m["n"] > 0), F.array().cast(MATCHES))
+    return keyed.join(near, "__text_id", "left").withColumn("matches", matches).select(*df.columns, "matches")
 
 
 def match_rows(found: DataFrame, keep: Sequence[str], matches: str = "matches") -> DataFrame:

@@ -19,10 +19,11 @@ JUDGMENT_SCHEMA = T.StructType([T.StructField(f, T.BooleanType()) for f in score
 
 
 def require_pairs(df: DataFrame, prompt: str = "prompt", completion: str = "completion") -> DataFrame:
-    """A prompt without a completion, or the reverse, is an error."""
+    """A prompt without a completion, or the reverse, is an error, whichever of these columns and the reward is read."""
     broken = F.col(prompt).isNull() != F.col(completion).isNull()
-    checked = F.when(broken, F.raise_error(F.lit("prompt and completion must come in pairs")).cast("string"))
-    return df.withColumn(completion, checked.otherwise(F.col(completion)))
+    error = F.raise_error(F.lit("prompt and completion must come in pairs"))
+    checked = [c for c in (completion, "reward") if c in df.columns]
+    return df.withColumns({c: F.when(broken, error.cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in checked})
 
 
 def exact_reward(
@@ -204,4 +205,6 @@ def reward(name: str, df: DataFrame, **options) -> DataFrame:
         raise ValueError("a reward name is required")
     if name not in REWARDS:
         raise ValueError(f"unknown reward {name!r}; choose from {sorted(REWARDS)}")
-    return REWARDS[name](df, **options)
+    scored = REWARDS[name](df, **options)
+    prompt, completion = "prompt", options.get("completion", "completion")
+    return require_pairs(scored, prompt, completion) if {prompt, completion} <= set(df.columns) else scored

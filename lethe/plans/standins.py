@@ -19,24 +19,40 @@ def phrases(t: Tables) -> DataFrame:
     return t.benchmark.groupBy(phrase.alias("pattern")).agg(F.min("item_id").alias("ord"))
 
 
-# Non-word characters are doubled, so that a delimiter used by one match is left for the next.
-DOUBLED = r"regexp_replace(lower({}), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"
-PHRASES_SQL = rf"""
+def word_pairs(t: Tables) -> DataFrame:
+    """Dictionary: every distinct pair of neighboring words of the benchmark items, whole texts."""
+    w = t.benchmark.select("item_id", F.split("text", f"[{BLANK}]+").alias("w"))
+    at = F.sequence(F.lit(0), F.size("w") - 2)
+    pairs = w.where(F.size("w") > 1).select("item_id", F.explode(at).alias("i"), "w")
+    pattern = F.concat_ws(" ", F.get("w", F.col("i")), F.get("w", F.col("i") + 1))
+    return pairs.groupBy(pattern.alias("pattern")).agg(F.min(F.col("item_id") * 10_000 + F.col("i")).alias("ord"))
+
+
+# Words are put between two marks, so that a pattern is whole words exactly where its marked form is found. A
+# pattern that ends in another character must not be followed by the mark that begins a word, nor may one that begins
+# with such a character follow the mark that ends one.
+MARKED = r"regexp_replace(lower({}), '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g')"
+PAIRS_SQL = rf"""
 phr as (
-  select concat(w[1], ' ', w[2]) as pattern, min(item_id) as ord
-  from (select item_id, string_split_regex(text, '\s+') as w from benchmark) group by 1),
+  select concat(w[i], ' ', w[i + 1]) as pattern, min(item_id * 10000 + i - 1) as ord
+  from (select item_id, w, unnest(range(1, len(w))) as i
+        from (select item_id, string_split_regex(text, '\s+') as w from benchmark)) group by 1),
 rx as (
-  select pattern, ord, {DOUBLED.format('pattern')} as plain,
-         '[^\p{{L}}\p{{N}}_]' || regexp_escape({DOUBLED.format('pattern')}) || '[^\p{{L}}\p{{N}}_]' as regex
-  from phr),
+  select pattern, ord, p, case when ends_with(p, chr(2)) then null else p || chr(1) end as inside,
+         case when starts_with(p, chr(1)) then null else chr(2) || p end as behind
+  from (select pattern, ord, {MARKED.format('pattern')} as p from phr)),
 d as (
   select doc_id, lang, source, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) as words,
-         ' ' || {DOUBLED.format('text')} || ' ' as t
+         {MARKED.format('text')} as t
   from documents),
-hits as (
-  select doc_id, pattern, ord, len(regexp_extract_all(t, regex)) as n
-  from d join rx on contains(t, plain)
-  where regexp_matches(t, regex)),
+near as materialized (select doc_id, pattern, ord, t, p, inside, behind from d join rx on contains(t, p)),
+counted as (
+  select doc_id, pattern, ord,
+         (length(t) - length(replace(t, p, ''))) // length(p)
+         - coalesce((length(t) - length(replace(t, inside, ''))) // length(inside), 0)
+         - coalesce((length(t) - length(replace(t, behind, ''))) // length(behind), 0) as n
+  from near),
+hits as (select * from counted where n > 0),
 per_doc as (
   select d.doc_id, d.lang, d.source, d.words, count(h.ord) as dis, coalesce(sum(h.n), 0) as occ,
          coalesce(string_agg(h.pattern, '|' order by h.ord), '') as names,

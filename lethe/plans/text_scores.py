@@ -23,17 +23,18 @@ from lethe.plans.standins import (
     COMPLETIONS_SQL,
     JUDGMENTS_SQL,
     LADDER_SQL,
-    PHRASES_SQL,
+    PAIRS_SQL,
     ROUND2,
     completions,
     judgments,
     phrases,
+    word_pairs,
 )
 
 
-@query("leak_exact_matches", f"with {PHRASES_SQL} select doc_id, pattern, n::bigint as occurrences from hits")
+@query("leak_exact_matches", f"with {PAIRS_SQL} select doc_id, pattern, n::bigint as occurrences from hits")
 def leak_exact_matches(t: Tables) -> DataFrame:
-    found = matching.with_matches(t.texts("doc_id", "text"), phrases(t), "text", "doc_id")
+    found = matching.with_matches(t.texts("doc_id", "text"), word_pairs(t), "text", "doc_id")
     return matching.match_rows(found, ["doc_id"]).select(
         "doc_id", "pattern", F.col("n").cast("bigint").alias("occurrences")
     )
@@ -50,7 +51,7 @@ SCORES_SQL = {
 def _leak_scores(mode: str) -> Callable[[Tables], DataFrame]:
     def build(t: Tables) -> DataFrame:
         scored = rewards.exact_reward(
-            t.texts("doc_id", "text"), phrases(t), "text", "doc_id", mode=mode
+            t.texts("doc_id", "text"), word_pairs(t), "text", "doc_id", mode=mode
         )
         return scored.select(
             "doc_id",
@@ -66,7 +67,7 @@ def _leak_scores(mode: str) -> Callable[[Tables], DataFrame]:
 for _mode, (_names, _count, _score) in SCORES_SQL.items():
     query(
         f"leak_scores_{_mode}",
-        f"""with {PHRASES_SQL}
+        f"""with {PAIRS_SQL}
             select doc_id, {_names} as forgetting_entities, ({_count})::bigint as forgetting_entity_count,
                    words::bigint as forgetting_word_count, round(({_score})::double + 2.7182818e-9, 6) as forgetting_reward
             from per_doc""",
@@ -75,14 +76,14 @@ for _mode, (_names, _count, _score) in SCORES_SQL.items():
 
 @query(
     "leak_score_by_language",
-    f"""with {PHRASES_SQL}
+    f"""with {PAIRS_SQL}
         select lang, count(*) as n, sum(occ)::bigint as occurrences, sum(dis)::bigint as distinct_entities,
                sum(words)::bigint as words, round(avg(exp(-20.0::double * occ / greatest(words, 50))) + 2.7182818e-9, 6) as score
         from per_doc group by lang""",
 )
 def leak_score_by_language(t: Tables) -> DataFrame:
     """Mean length-aware leakage score per language."""
-    found = matching.with_matches(t.texts("doc_id", "lang", "text"), phrases(t), "text", "doc_id")
+    found = matching.with_matches(t.texts("doc_id", "lang", "text"), word_pairs(t), "text", "doc_id")
     m = F.col("matches")
     counted = found.select(
         "lang",
@@ -102,13 +103,13 @@ def leak_score_by_language(t: Tables) -> DataFrame:
 
 @query(
     "reward_r0_by_source",
-    f"""with {PHRASES_SQL}
+    f"""with {PAIRS_SQL}
         select source, count(*) as n, round(avg(case when dis = 0 then 1.0 else 0.0 end) + 2.7182818e-9, 6) as reward_mean
         from per_doc group by source""",
 )
 def reward_r0_by_source(t: Tables) -> DataFrame:
     rows = t.texts("doc_id", "source", "text")
-    scored = rewards.reward("r0", rows, patterns=phrases(t), completion="text", key="doc_id")
+    scored = rewards.reward("r0", rows, patterns=word_pairs(t), completion="text", key="doc_id")
     means = rewards.reward_means(scored, ["source"])
     return means.select("source", "n", r6("reward_mean").alias("reward_mean"))
 
@@ -232,7 +233,7 @@ def refusal_classifier(t: Tables) -> DataFrame:
 
 @query(
     "reward_r1",
-    f"""with {JUDGMENTS_SQL}, {PHRASES_SQL},
+    f"""with {JUDGMENTS_SQL}, {PAIRS_SQL},
         x as (select jud.doc_id, exp(-20.0::double * occ / greatest(words, 50)) as f,
                      {ROUND2.format(f"1.0::double - {ROUND2.format('p')}")} as nr
               from jud join per_doc using (doc_id))
@@ -242,7 +243,7 @@ def refusal_classifier(t: Tables) -> DataFrame:
 )
 def reward_r1(t: Tables) -> DataFrame:
     scored = rewards.reward(
-        "r1", _with_classifier(t), patterns=phrases(t), completion="text", key="doc_id", mode="length_aware"
+        "r1", _with_classifier(t), patterns=word_pairs(t), completion="text", key="doc_id", mode="length_aware"
     )
     return scored.select("doc_id", r6("forgetting_reward").alias("forgetting_reward"), "non_refusal_reward", "reward")
 

@@ -21,9 +21,8 @@ def patterns(spark):
     return spark.createDataFrame(PATTERNS, "pattern string, ord int")
 
 
-@pytest.mark.parametrize("limit", [100, 1])
-def test_golden_scores(spark, patterns, limit):
-    df = matching.with_matches(spark.createDataFrame(TEXTS, "id int, text string"), patterns, "text", "id", max_patterns=limit)
+def test_golden_scores(spark, patterns):
+    df = matching.with_matches(spark.createDataFrame(TEXTS, "id int, text string"), patterns, "text", "id")
     m = F.col("matches")
     got = {
         r.id: (r.names, r.dis, r.occ)
@@ -58,8 +57,22 @@ def python_counts(text, patterns):
     return found
 
 
-@pytest.mark.parametrize("limit", [1000, 3])
-def test_matches_follow_python(spark, limit):
+def test_matches_do_not_depend_on_keys(spark):
+    patterns = spark.createDataFrame([("Ⓐ", 0), ("Carrie", 1)], "pattern string, ord int")
+    rows = [(None, "x ⓐ y Carrie"), (1, "Ⓐ"), (1, "carrie carrie"), (1, "carrie carrie"), (2, None), (2, "")]
+    found = matching.with_matches(spark.createDataFrame(rows, "id int, text string"), patterns, "text", "id").collect()
+    got = sorted((r.id or 0, r.text or "", [(m.pattern, m.n) for m in r.matches]) for r in found)
+    assert got == [
+        (0, "x ⓐ y Carrie", [("Ⓐ", 1), ("Carrie", 1)]),
+        (1, "carrie carrie", [("Carrie", 2)]),
+        (1, "carrie carrie", [("Carrie", 2)]),
+        (1, "Ⓐ", [("Ⓐ", 1)]),
+        (2, "", []),
+        (2, "", []),
+    ]
+
+
+def test_matches_follow_python(spark):
     rnd = random.Random(6)
     words = ["it", "It", "the", "Kelvin", "Kelvin", "STRASSE", "straße", "ſea", "sea", "σας", "ΣΑΣ", "x_y", "11/22/63",
              "Mr. Mercedes", "É", "é", "a.b", "\\E", "µm", "μm", "$5", "ﬆ", "!!"]
@@ -71,7 +84,7 @@ def test_matches_follow_python(spark, limit):
     df = matching.with_matches(
         spark.createDataFrame(texts, "id int, text string"),
         spark.createDataFrame(dictionary, "pattern string, ord int"),
-        "text", "id", max_patterns=limit,
+        "text", "id",
     )
     for r in df.collect():
         assert {m.pattern: m.n for m in r.matches} == python_counts(r.text, dictionary), r.text
@@ -80,10 +93,9 @@ def test_matches_follow_python(spark, limit):
 def test_concept_dictionaries(spark):
     patterns = spark.createDataFrame([("a", "cat", 0), ("b", "dog", 0)], "concept string, pattern string, ord int")
     rows = spark.createDataFrame([(1, "a", "cat dog"), (2, "b", "cat dog"), (3, "c", "cat")], "id int, concept string, text string")
-    for limit in (10, 1):
-        out = matching.with_matches(rows, patterns, "text", "id", "concept", limit)
-        got = {r.id: [m.pattern for m in r.matches] for r in out.collect()}
-        assert got == {1: ["cat"], 2: ["dog"], 3: []}
+    out = matching.with_matches(rows, patterns, "text", "id", "concept")
+    got = {r.id: [m.pattern for m in r.matches] for r in out.collect()}
+    assert got == {1: ["cat"], 2: ["dog"], 3: []}
 
 
 def test_select_patterns(spark):
