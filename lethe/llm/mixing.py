@@ -180,7 +180,8 @@ def _draws(rows: DataFrame, quota: list[int], blocks: list[int], seed: int, slot
                 {"shard": shard, "slot": slot, "source": owner.astype(np.int32), "block": permute(place, have[owner], spot), "epoch": epoch}
             )
 
-    return numbered.mapInPandas(slots_of, "shard long, slot long, source int, block long, epoch long")
+    # Stored, so that the join with the blocks goes by the real size of the draws and not by that of the runs.
+    return stored(numbered.mapInPandas(slots_of, "shard long, slot long, source int, block long, epoch long"), "mix-draws")
 
 
 def taken(mixed: Mix) -> DataFrame:
