@@ -36,11 +36,18 @@ def choice_scores(
     """
     if kind not in ("completion", "choice"):
         raise ValueError("kind must be 'completion' or 'choice'")
+    sums = choice_sums(tokens, keys, choice, position, prompt_length, logprob)
+    return sums.select(*keys, choice, F.col(f"{kind}_score").alias("score"))
+
+
+def choice_sums(
+    tokens: DataFrame, keys: Sequence[str], choice: str, position: str, prompt_length: str, logprob: str = "logprob"
+) -> DataFrame:
+    """``completion_score`` (sum) and ``choice_score`` (mean) of each choice, in one aggregation."""
     own = F.col(position) >= F.col(prompt_length)
     total = F.coalesce(F.sum(F.when(own, F.col(logprob))), F.lit(0.0))
     count = F.greatest(F.count_if(own), F.lit(1))
-    score = total if kind == "completion" else total / count
-    return tokens.groupBy(*keys, choice).agg(score.alias("score"))
+    return tokens.groupBy(*keys, choice).agg(total.alias("completion_score"), (total / count).alias("choice_score"))
 
 
 def best_choice(scores: DataFrame, keys: Sequence[str], choice: str, score: str = "score") -> DataFrame:

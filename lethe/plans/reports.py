@@ -552,15 +552,18 @@ cs as (select l_orderkey, choice, coalesce(sum(case when tok_pos >= plen then lp
 """
 
 
-def _choice_scores(t: Tables, kind: str) -> DataFrame:
-    tokens = t.lineitem.select(
+def _choice_tokens(t: Tables) -> DataFrame:
+    return t.lineitem.select(
         "l_orderkey",
         (F.col("l_suppkey") % 4).alias("choice"),
         F.col("l_linenumber").alias("tok_pos"),
         (F.col("l_quantity").cast("int") % 3).alias("plen"),
         (-F.col("l_extendedprice") / 1000).alias("lp"),
     )
-    return choices.choice_scores(tokens, ["l_orderkey"], "choice", "tok_pos", "plen", kind, "lp")
+
+
+def _choice_scores(t: Tables, kind: str) -> DataFrame:
+    return choices.choice_scores(_choice_tokens(t), ["l_orderkey"], "choice", "tok_pos", "plen", kind, "lp")
 
 
 @query(
@@ -568,9 +571,8 @@ def _choice_scores(t: Tables, kind: str) -> DataFrame:
     f"""with {CHOICES_SQL} select c.l_orderkey, c.choice, round(total + 2.7182818e-9, 6) as completion_score, round(total / n + 2.7182818e-9, 6) as choice_score from cs c""",
 )
 def choice_scores(t: Tables) -> DataFrame:
-    whole = _choice_scores(t, "completion").withColumnRenamed("score", "completion_score")
-    mean = _choice_scores(t, "choice").withColumnRenamed("score", "choice_score")
-    return whole.join(mean, ["l_orderkey", "choice"]).withColumns(
+    sums = choices.choice_sums(_choice_tokens(t), ["l_orderkey"], "choice", "tok_pos", "plen", "lp")
+    return sums.withColumns(
         {"completion_score": r6("completion_score"), "choice_score": r6("choice_score")}
     )
 
