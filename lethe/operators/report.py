@@ -67,56 +67,52 @@ def overlap_summary(
 ) -> DataFrame:
     """Count and mean overall, for forget and neighbor splits, and by split, type, subject.
 
-    The rows are reduced once to (split, type, subject) sums; the grouping sets expand that
-    small table. A null key has no group of its own.
+    The rows are read once and reduced to (split, type, subject) sums; the grouping sets expand
+    that small table, and their grand total carries the forget and neighbor sums. A null key has
+    no group of its own.
     """
     base = rows.groupBy(split, kind, subject).agg(
         F.sum(score).alias("__sum"), F.count(score).alias("__n"), F.count(F.lit(1)).alias("__rows")
     )
-    total, count, size = F.sum("__sum"), F.sum("__n"), F.sum("__rows")
-    grouped = base.where(F.col(split).isNotNull()).groupingSets(
-        [[split], [split, kind], [split, subject]], split, kind, subject
-    ).agg(
-        F.grouping(kind).alias("__no_kind"),
-        F.grouping(subject).alias("__no_subject"),
-        total.alias("__total"),
-        count.alias("__count"),
+    # One row that counts nothing gives an empty table its grand total.
+    nothing = rows.sparkSession.range(1).select(
+        *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns[:4]], *[F.lit(0).cast("long").alias(c) for c in base.columns[4:]]
     )
-    real = (F.col(kind).isNotNull() | (F.col("__no_kind") == 1)) & (
-        F.col(subject).isNotNull() | (F.col("__no_subject") == 1)
+    base = base.unionByName(nothing)
+    chosen = {
+        "overall": F.lit(True),
+        "forget": F.col(split).isin(list(forget)),
+        "neighbor": F.col(split).isin(list(neighbor)),
+    }
+    sums = {f"__{name}_{c}": F.sum(F.when(keep, F.col(f"__{c}"))) for name, keep in chosen.items() for c in ("sum", "n", "rows")}
+    grouped = base.groupingSets(
+        [[split], [split, kind], [split, subject], []], split, kind, subject
+    ).agg(
+        *[F.grouping(c).alias(f"__no_{name}") for name, c in (("split", split), ("kind", kind), ("subject", subject))],
+        *[c.alias(name) for name, c in sums.items()],
     )
+    whole = F.col("__no_split") == 1
+    real = F.lit(True)
+    for name, column in (("split", split), ("kind", kind), ("subject", subject)):
+        real = real & (F.col(column).isNotNull() | (F.col(f"__no_{name}") == 1))
     level = (
         F.when(F.col("__no_kind") == 0, "by_split_and_type")
         .when(F.col("__no_subject") == 0, "by_subject")
         .otherwise("by_split")
     )
-    levels = grouped.where(real).select(
-        level.alias("level"),
-        F.col(split).alias("split"),
-        F.col(kind).alias("type"),
-        F.col(subject).alias("subject"),
-        F.col("__count").alias("n"),
-        F.when(F.col("__count") > 0, F.col("__total") / F.col("__count")).alias("score"),
-    )
 
-    none = F.lit(None).cast("string")
-
-    def part(name: str, rows: DataFrame) -> DataFrame:
-        return rows.agg(
-            F.lit(name).alias("level"),
-            none.alias("split"),
-            none.alias("type"),
-            none.alias("subject"),
-            F.coalesce(size, F.lit(0)).alias("n"),
-            F.when(count > 0, total / count).alias("score"),
+    def entry(name: Column, part: str, rows_: str) -> Column:
+        return F.struct(
+            name.alias("level"),
+            F.coalesce(F.col(f"__{part}_{rows_}"), F.lit(0)).alias("n"),
+            F.when(F.col(f"__{part}_n") > 0, F.col(f"__{part}_sum") / F.col(f"__{part}_n")).alias("score"),
         )
 
-    parts = [
-        part("overall", base),
-        part("forget", base.where(F.col(split).isin(list(forget)))),
-        part("neighbor", base.where(F.col(split).isin(list(neighbor)))),
-    ]
-    return levels.unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2])
+    totals = F.array(*[entry(F.lit(name), name, "rows") for name in chosen])
+    entries = F.when(whole, totals).otherwise(F.array(entry(level, "overall", "n")))
+    return grouped.where(real).select(
+        F.col(split).alias("split"), F.col(kind).alias("type"), F.col(subject).alias("subject"), F.explode(entries).alias("e")
+    ).select("e.level", "split", "type", "subject", "e.n", "e.score")
 
 
 def membership_summary(
