@@ -24,9 +24,9 @@ from lethe.llm.common import bounded_batches
 SAMPLE_PER_CLASS = 4_000
 #: Hashed words; a weight each.
 DIMENSIONS = 1 << 20
-EPOCHS = 60
+EPOCHS = 200
 RATE = 0.1
-DECAY = 1e-3
+DECAY = 1e-4
 #: A feature counts from so many documents of the sample on.
 MIN_DOCUMENTS = 4
 #: Words whose weight a worker remembers.
