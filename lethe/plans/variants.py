@@ -158,8 +158,8 @@ def retried_scores(t: Tables) -> DataFrame:
 @query(
     "seeded_split_null_group",
     """with d as (select doc_id, case when lang <> 'de' then lang end as g from documents),
-         n as (select g, count(*) as total, ceil(0.2 * count(*))::bigint as test from d group by g),
-         s as (select g, total, test, ceil((0.1 + 0.05) * (total - test))::bigint as sft from n),
+         n as (select g, count(*) as total, ceil(0.2::double * count(*))::bigint as test from d group by g),
+         s as (select g, total, test, ceil((0.1::double + 0.05::double) * (total - test))::bigint as sft from n),
          x as (select g, total, test, sft, ceil(0.05::double / (0.1::double + 0.05::double) * sft)::bigint as sft_test from s)
        select g, unnest(['grpo/test', 'sft/test', 'sft/train', 'grpo/train']) as split,
               unnest([test, sft_test, sft - sft_test, total - test - sft]) as n from x""",
