@@ -401,6 +401,7 @@ def normalized_entries(patterns: DataFrame) -> DataFrame:
         F.col("concept").cast("string"),
         F.col("ord").cast("int"),
         "pattern",
+        F.col("normal").alias("searched"),
         matching.anchor(F.col("normal")).alias("anchor"),
         F.concat(F.lit(f"(?<!{WORD})"), F.col("normal"), F.lit(f"(?!{WORD})")).alias("regex"),
         F.replace(F.col("normal"), F.lit(" "), F.lit("")).alias("compact"),

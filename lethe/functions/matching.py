@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lethe.functions.text import WORD, digest, fold, let, ngrams, words
+from lethe.functions.text import DOTTED_I, WORD, digest, fold, let, ngrams, words
 
 # Sets characters that are no words apart from words.
 MARK = "\0"
@@ -58,6 +58,11 @@ def select_patterns(
     )
 
 
+def marked(folded: Column) -> Column:
+    """The text with each word between two marks: its whole words are then found as plain text."""
+    return F.regexp_replace(folded, f"({WORD}+)", "\u0001$1\u0002")
+
+
 def anchor(folded: Column) -> Column:
     """The longest pair of neighboring words, or the only word, or null without any."""
 
@@ -69,7 +74,7 @@ def anchor(folded: Column) -> Column:
 
 
 def entries(patterns: DataFrame) -> DataFrame:
-    """Add the regular expression and the anchor by which texts find their candidates."""
+    """Add the text to be searched for and the anchor by which texts find their candidates."""
     if "concept" not in patterns.columns:
         patterns = patterns.withColumn("concept", F.lit(""))
     return patterns.where(F.length("pattern") > 0).select(
@@ -77,7 +82,7 @@ def entries(patterns: DataFrame) -> DataFrame:
         F.col("ord").cast("int"),
         F.col("pattern"),
         anchor(fold(F.col("pattern"))).alias("anchor"),
-        whole_word(F.col("pattern")).alias("regex"),
+        F.col("pattern").alias("searched"),
     )
 
 
@@ -99,7 +104,10 @@ def candidates(df: DataFrame, table: DataFrame, text: str, concept: str | None =
     first = F.concat(F.lit(MARK), F.substring(fold(F.col("pattern")), 1, 1))
     lookup = table.withColumn("anchor", F.coalesce("anchor", first))
     lookup = lookup if concept else lookup.drop("concept")
-    entry = F.struct("ord", "pattern", "regex")
+    # Patterns that begin and end with a word are searched for as marked text, others by regular expression.
+    whole = F.col("searched").rlike(f"^{WORD}(?s:.*{WORD})?$")
+    lookup = lookup.withColumn("marked", F.when(whole, marked(fold(F.col("searched")))))
+    entry = F.struct("ord", "pattern", "marked", F.when(~whole, F.col("searched")).alias("searched"))
     return found.join(lookup, sides).groupBy("__text_id").agg(F.sort_array(F.collect_set(entry)).alias("__candidates"))
 
 
@@ -120,18 +128,26 @@ def with_matches(
 
 
 def add_matches(df: DataFrame, table: DataFrame, text: str, concept: str | None = None) -> DataFrame:
-    """with_matches() for a table that has the anchors and regular expressions of ``entries``."""
+    """with_matches() for a table that has the columns of ``entries``."""
     own = F.col(concept).cast("string") if concept else F.lit("")
     keyed = df.withColumn("__text_id", digest(F.col(text), own))
     near = candidates(keyed.where(F.col(text).isNotNull()), table, text, concept)
+    joined = keyed.join(near, "__text_id", "left").withColumns(
+        # Folding joins a dotted i that is spelled as two characters; such texts go by regular expression.
+        {"__marked": marked(fold(F.col(text))), "__plain": ~F.contains(F.lower(text), F.lit(DOTTED_I))}
+    )
+
+    def count(e: Column) -> Column:
+        rest = F.octet_length("__marked") - F.octet_length(F.replace(F.col("__marked"), e["marked"], F.lit("")))
+        plain = (rest / F.octet_length(e["marked"])).cast("int")
+        searched = F.coalesce(e["searched"], e["pattern"])
+        return F.when(e["marked"].isNotNull() & F.col("__plain"), plain).otherwise(F.regexp_count(F.col(text), whole_word(searched)))
+
     counted = F.transform(
-        "__candidates",
-        lambda e: F.struct(
-            e["ord"].alias("ord"), e["pattern"].alias("pattern"), F.regexp_count(F.col(text), e["regex"]).alias("n")
-        ),
+        "__candidates", lambda e: F.struct(e["ord"].alias("ord"), e["pattern"].alias("pattern"), count(e).alias("n"))
     )
     matches = F.coalesce(F.filter(counted, lambda m: m["n"] > 0), F.array().cast(MATCHES))
-    return keyed.join(near, "__text_id", "left").withColumn("matches", matches).select(*df.columns, "matches")
+    return joined.withColumn("matches", matches).select(*df.columns, "matches")
 
 
 def match_rows(found: DataFrame, keep: Sequence[str], matches: str = "matches") -> DataFrame:

@@ -88,15 +88,6 @@ JUDGMENT_FIELDS = [
     "uses_degenerate_avoidance",
 ]
 
-HOLDOUT_METRICS = [
-    "lexical_leakage",
-    "semantic_leakage",
-    "prompt_helpfulness",
-    "broad_topic_helpfulness",
-    "refusal",
-    "language_drift",
-]
-
 
 def refusal_columns(
     completion: Column,

@@ -44,9 +44,6 @@ SUMMARY_LABELS = {
     "utility_fac": "Utility Set FAC up",
     "utility_flu": "Utility Set FLU up",
 }
-DELTA_METRICS = ["forget_fb", "forget_qa", "forget_aa", "neighbor_fb", "neighbor_qa", "mia_fm", "mia_rm"]
-COMPOSITES = {"forget": ["forget_fb", "forget_qa", "forget_aa"], "neighbor": ["neighbor_fb", "neighbor_qa"]}
-UTILITY_METRICS = ["utility_ga", "utility_ra", "utility_tru", "utility_fac", "utility_flu"]
 
 
 def _present(columns: Sequence[str]) -> Column:

@@ -86,15 +86,6 @@ def fuzzy_reward(
     ).drop("fuzzy_matches")
 
 
-def classifier_columns(
-    probability: Column, mode: str, prefix: str, digits: int | None = 2
-) -> dict[str, Column]:
-    return {
-        f"{prefix}_reward": scores.classifier_reward(probability, mode, digits),
-        f"{prefix}_refusal_probability": probability,
-    }
-
-
 def reward_r0(df: DataFrame, patterns: DataFrame, **options) -> DataFrame:
     """Exact leakage score."""
     return exact_reward(df, patterns, **options).withColumn("reward", F.col("forgetting_reward"))

@@ -18,7 +18,6 @@ FIXED_LIMITS = {
 }
 SMOOTHED_METRIC = "train/kl"
 SMOOTHING_WINDOW = 7
-HISTORY_METRICS = ["train/reward", "active_group", "train/kl", "train/completions/mean_length"]
 
 
 def eligible_runs(

@@ -24,7 +24,7 @@ class Tables:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
     def texts(self, *columns: str) -> DataFrame:
-        """Documents for costly per-row work, on all cores even when the table is one small file."""
+        """Documents for costly per-row work; see ``spread``."""
         return spread(self.documents.select(*columns))
 
 

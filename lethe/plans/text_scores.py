@@ -332,17 +332,17 @@ def token_f1_query(t: Tables) -> DataFrame:
 @query(
     "exact_match",
     f"""with {COMPLETIONS_SQL},
-        x as (select id, {match_tokens_sql("split_part(completion, '.', 1)")} p,
-                     {match_tokens_sql("'The ' || split_part(completion, '.', 1) || '!'")} r,
+        x as (select id, {match_tokens_sql("completion")} p,
+                     {match_tokens_sql("'The ' || completion || '!'")} r,
                      {match_tokens_sql('prompt')} q from pairs)
         select id, (array_to_string(p, ' ') = array_to_string(r, ' '))::int::double as same,
                (array_to_string(p, ' ') = array_to_string(q, ' '))::int::double as other from x""",
 )
 def exact_match_query(t: Tables) -> DataFrame:
-    first = F.substring_index("completion", ".", 1)
-    dressed = F.concat(F.lit("The "), first, F.lit("!"))
+    whole = F.col("completion")
+    dressed = F.concat(F.lit("The "), whole, F.lit("!"))
     return completions(t).select(
-        "id", exact_match(first, dressed).alias("same"), exact_match(first, F.col("prompt")).alias("other")
+        "id", exact_match(whole, dressed).alias("same"), exact_match(whole, F.col("prompt")).alias("other")
     )
 
 

@@ -47,10 +47,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+SCAN_PARTITIONS = "spark.lethe.scan.partitions"
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on a table with fewer input splits than cores; a larger one stays as it is.
+    """The scan as it is, or dealt over as many partitions as the session's SCAN_PARTITIONS says.
 
-    For a plain table scan that feeds per-row work much costlier than moving the rows.
+    For per-row work much costlier than moving the rows, on tables of one unsplittable file.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    wanted = scan.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return scan.repartition(int(wanted)) if wanted else scan
