@@ -38,7 +38,7 @@ BATCH = 16
 MISS = 1e-6
 #: Nodes of a bucket in one side of a tile.
 TILE = 256
-MEMO_WORDS = 600_000
+MEMO_WORDS = 150_000
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = (_RANDOM.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)

@@ -9,6 +9,7 @@ document offends.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ DECAY = 1e-4
 #: A feature counts from so many documents of the sample on.
 MIN_DOCUMENTS = 4
 #: Words whose weight a worker remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGES = ",;:\"'()[]{}<>*#$%&|-_"
 
@@ -54,7 +55,8 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the hashed words and the bias, by full-batch Adam on the labels' likelihood."""
     index: dict[str, int] = {}
-    words, sentence_of, document_of = [], [], []
+    # Compact arrays: a worker that has fitted goes on to other tasks, and keeps the memory that it once took.
+    words, sentence_of, document_of = array("i"), array("i"), array("i")
     for i, text in enumerate(texts):
         for _, _, found in sentences(text):
             for w in set(found):
@@ -66,13 +68,20 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
     rate = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     if not words:
         return weights, float(np.log(rate / (1 - rate)))
-    words_, sentence_of_, document_of_ = np.array(words), np.array(sentence_of), np.array(document_of)
-    lists = [features(w) for w in index]
-    word_of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    used, column = np.unique(np.concatenate(lists), return_inverse=True)
+    words_, sentence_of_, document_of_ = (np.frombuffer(x, np.int32) for x in (words, sentence_of, document_of))
+    features_, word_of = array("i"), array("i")
+    for w, number in index.items():
+        found = features(w)
+        features_.extend(found)
+        word_of.extend([number] * len(found))
+    count = len(index)
+    index.clear()
+    used, column = np.unique(np.frombuffer(features_, np.int32), return_inverse=True)
+    column, word_of = column.astype(np.int32), np.frombuffer(word_of, np.int32)
     # Documents with the word, all and toxic, added up over the words of a feature.
     seen = np.unique(words_ * np.int64(len(y)) + document_of_[sentence_of_])
-    by_word = [np.bincount(seen // len(y), weights=v[seen % len(y)], minlength=len(lists)) for v in (np.ones(len(y)), y)]
+    by_word = [np.bincount(seen // len(y), weights=v[seen % len(y)], minlength=count) for v in (np.ones(len(y)), y)]
+    del seen
     n, n_toxic = (np.bincount(column, weights=v[word_of], minlength=len(used)) for v in by_word)
     keep = n >= MIN_DOCUMENTS
     # The start: how much more often a feature is in toxic documents, shrunk where it was seen rarely.
@@ -82,7 +91,7 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
 
     def by_feature(v: np.ndarray) -> np.ndarray:
-        return np.bincount(word_of, weights=v[column], minlength=len(lists))
+        return np.bincount(word_of, weights=v[column], minlength=count)
 
     balance = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate))
     for step in range(1, EPOCHS + 1):
@@ -93,7 +102,7 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
         # d(-log likelihood)/dz: p for a clean document, -p (1 - P) / P for a toxic one.
         slope = np.where(y > 0, -np.exp(clean) / toxic, 1.0) * balance
         dz = slope[document_of_] * p
-        dword = np.bincount(words_, weights=dz[sentence_of_], minlength=len(lists))
+        dword = np.bincount(words_, weights=dz[sentence_of_], minlength=count)
         dw = np.bincount(column, weights=dword[word_of], minlength=len(used)) / len(y) + DECAY * w
         gradient = np.append(np.where(keep, dw, 0.0), dz.sum() / len(y))
         first = 0.9 * first + 0.1 * gradient
