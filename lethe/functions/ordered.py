@@ -38,13 +38,20 @@ def position_bucket(position: Column, width: int = BUCKET_WIDTH) -> Column:
     return F.floor(position / F.lit(width)).cast("bigint")
 
 
-def identity_bucket(df: DataFrame, identity: str, width: int = BUCKET_WIDTH) -> Column:
-    """A bucket monotone in an identity column of any type: ranges of numbers, or leading bytes of a text."""
+def identity_bucket(df: DataFrame, identity: str, buckets: int = 1 << 16) -> Column:
+    """A bucket monotone in an identity column of any type: even ranges of numbers and times, or leading bytes of a text.
+
+    The ranges are laid between the smallest and the largest value, which one aggregate finds, so that sparse
+    numbers (hashes, say) don't get a bucket each.
+    """
     kind = df.schema[identity].dataType
-    if isinstance(kind, T.NumericType):
-        return position_bucket(F.col(identity), width)
+    value = F.col(identity)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return position_bucket(F.unix_timestamp(F.col(identity).cast("timestamp")), 3600)
+        value, kind = F.unix_timestamp(value.cast("timestamp")), T.LongType()
+    if isinstance(kind, T.NumericType):
+        low, high = df.agg(F.min(value), F.max(value)).first()
+        width = max(1.0, (float(high) - float(low)) / buckets) if low is not None else 1.0
+        return F.floor(value.cast("double") / F.lit(width)).cast("bigint")
     head = F.rpad(F.substring(F.hex(F.encode(F.col(identity).cast("string"), "UTF-8")), 1, 8), 8, "0")
     return F.conv(head, 16, 10).cast("bigint")
 

@@ -142,9 +142,7 @@ def contiguous_shard(df: DataFrame, count: int, position: str, name: str = "shar
     """Number of the contiguous shard each row falls in; early shards are one row longer."""
     if count < 1:
         raise ValueError("shard count must be at least 1")
-    ranked = ordered.row_index(
-        df, [], [position], ordered.position_bucket(F.col(position)), "__rank", "__total"
-    )
+    ranked = ordered.row_index(df, [], [position], ordered.identity_bucket(df, position), "__rank", "__total")
     base = F.floor(F.col("__total") / count).cast("bigint")
     extra = F.col("__total") % count
     rank = F.col("__rank")

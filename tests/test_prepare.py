@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lethe.functions import names
+from lethe.functions import names, ordered
 from lethe.operators import prepare
 
 
@@ -136,3 +136,13 @@ def test_splits_keep_rows_of_a_null_group(spark):
     df = spark.createDataFrame([(i, None if i % 3 == 0 else "g") for i in range(30)], "pos long, g string")
     rows = prepare.seeded_splits(df, ["g"], "pos", 1, 0.2, 0.1, 0.05).collect()
     assert sorted(r.pos for r in rows) == list(range(30))
+
+
+def test_sparse_ids_share_buckets(spark):
+    ids = spark.range(3000).select(F.xxhash64("id").alias("pos"))
+    shards = prepare.contiguous_shard(ids, 7, "pos").groupBy("shard").agg(F.count("*").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b"))
+    rows = shards.orderBy("shard").collect()
+    assert sum(r.n for r in rows) == 3000 and max(r.n for r in rows) - min(r.n for r in rows) <= 1
+    assert all(x.b < y.a for x, y in zip(rows, rows[1:]))
+    few = ids.select(ordered.identity_bucket(ids, "pos", 16).alias("b")).distinct().count()
+    assert few <= 17
