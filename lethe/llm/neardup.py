@@ -37,7 +37,7 @@ HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
 #: Nodes of a bucket in one side of a tile.
-TILE = 256
+TILE = 512
 MEMO_WORDS = 150_000
 
 _RANDOM = np.random.default_rng(20240229)
