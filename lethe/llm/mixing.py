@@ -9,11 +9,14 @@ that number are handed to the sources that are short.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,7 @@ SLOTS = 1024
 MOST_REPEATS = 3
 #: Sources have one weight each and fit in the driver; more than this raises an error.
 MAX_SOURCES = 100_000
+_WORD = re.compile(f"[^{SPACE[1:-1]}]+")
 ROUNDS = 4
 
 
@@ -194,15 +198,31 @@ def taken(mixed: Mix) -> DataFrame:
 
 
 def mixed_texts(documents: DataFrame, mixed: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents (all their columns) with the text that the mix takes: their pieces by epoch and place.
+    """The documents (all their columns) with the text that the mix takes: their pieces by epoch and place, set apart by a space.
 
     Documents that give no word go. ``key`` must be unique and not null.
     """
     joined = mixed.draws.join(mixed.pieces, ["source", "block"]).withColumnRenamed("source", "number")
     parts = joined.join(mixed.documents.where("place is not null"), ["number", "place"])
     lists = parts.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("epoch", "start", "length"))).alias("__parts"))
-    bare = f"[^{SPACE[1:-1]}]+{SPACE}*"
-    rows = documents.join(lists, documents[key] == F.col("__key")).withColumn("__words", F.regexp_extract_all(text, F.lit(f"({bare})"), 1))
-    pieces = F.transform("__parts", lambda p: F.concat_ws("", F.slice("__words", p["start"].cast("int") + 1, p["length"].cast("int"))))
-    # A piece that ends a line or text is set apart from what follows; pieces that follow on are joined as they were.
-    return rows.withColumn(text, F.trim(F.concat_ws(" ", F.transform(pieces, lambda p: F.rtrim(p))))).select(*documents.columns)
+    rows = documents.join(lists, documents[key] == F.col("__key")).select(*documents.columns, "__parts")
+    place = documents.columns.index(text)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(len(documents_columns))
+            bounds = parts.offsets.to_pylist()
+            starts, lengths = (parts.values.field(name).to_numpy(zero_copy_only=False) for name in ("start", "length"))
+            texts = []
+            for i, value in enumerate(batch.column(place)):
+                value = value.as_py()
+                spans = np.fromiter(chain.from_iterable(m.span() for m in _WORD.finditer(value)), np.int64).reshape(-1, 2)
+                chosen = slice(bounds[i], bounds[i + 1])
+                first, last = spans[starts[chosen], 0].tolist(), spans[starts[chosen] + lengths[chosen] - 1, 1].tolist()
+                texts.append(" ".join(value[a:b] for a, b in zip(first, last)))
+            columns = batch.columns[: len(documents_columns)]
+            columns[place] = pa.array(texts, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, names=documents_columns)
+
+    documents_columns = documents.columns
+    return rows.mapInArrow(cut, documents.schema)
