@@ -11,6 +11,7 @@ import json
 import re
 import sys
 from array import array
+from functools import lru_cache
 
 from tokenizers import Tokenizer
 
@@ -30,6 +31,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+@lru_cache(maxsize=4)
+def _loaded(path: str) -> tuple[Tokenizer, dict]:
+    """A tokenizer file, read once by a worker that goes on to other tasks."""
+    with open(path, encoding="utf-8") as file:
+        return Tokenizer.from_file(path), json.load(file)
+
+
 def _raw(ids: list[int]) -> bytes:
     data = array("I", ids)
     if sys.byteorder != "little":
@@ -37,14 +45,15 @@ def _raw(ids: list[int]) -> bytes:
     return data.tobytes()
 
 
+FIRST = "\0"
+
+
 class Encoder(dict):
     """Maps a piece to its ids as little-endian unsigned 32-bit integers; ``encode`` does a whole text."""
 
     def __init__(self, path: str, memo: int = MEMO_PIECES) -> None:
         super().__init__()
-        self._library, self._memo = Tokenizer.from_file(path), memo
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        (self._library, spec), self._memo = _loaded(path), memo
         before, normalizer = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
         steps = [x["type"] for x in normalizer.get("normalizers", [])]
         splits = before.get("pretokenizers", [{}])
@@ -64,14 +73,16 @@ class Encoder(dict):
         return _raw(self._library.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> bytes:
+        # A piece that begins its text carries a mark, since no space stands in front of it.
+        lead, piece_ = (" ", piece) if piece[:1] != FIRST else ("", piece[1:])
         # Words of Latin letters need no normalizer: their bytes go straight to the library's model.
-        plain = _PLAIN.fullmatch(piece)
+        plain = _PLAIN.fullmatch(piece_)
         if plain and self._lowered:
             ids = _raw(self._tokens(plain[1].lower()) + self._marks[plain[2]])
         elif plain:
-            ids = _raw(self._tokens(" " + plain[1]) + self._marks[plain[2]])
+            ids = _raw(self._tokens(lead + plain[1]) + self._marks[plain[2]])
         else:
-            ids = self._whole(piece if self._lowered or piece[:1] == "\n" else " " + piece)
+            ids = self._whole(piece_ if self._lowered or piece_[:1] == "\n" else lead + piece_)
         if len(self) >= self._memo:
             self.clear()
         self[piece] = ids
@@ -81,12 +92,12 @@ class Encoder(dict):
         """The ids of the text, without special tokens; none for a null or empty text."""
         if not text:
             return b""
-        if not (self._spaced or self._lowered) or _OTHER_SPACE.search(text) or "<|" in text:
+        if not (self._spaced or self._lowered) or _OTHER_SPACE.search(text) or "<|" in text or FIRST in text:
             return self._whole(text)
         if self._lowered:
             return b"".join(map(self.__getitem__, text.split()))
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return self._whole(text)
         first, _, rest = text.replace("\n", " \n").partition(" ")
-        return self._whole(first) + (b"".join(map(self.__getitem__, rest.split(" "))) if rest else b"")
+        return self[FIRST + first] + (b"".join(map(self.__getitem__, rest.split(" "))) if rest else b"")
 
