@@ -87,8 +87,9 @@ def copied_lines(documents: DataFrame, least: int = MIN_WORDS, key: str = "doc_i
     """
     if least < 1:
         raise ValueError("runs need at least one word")
-    lines = stored(_numbered(documents, key, text, least), "lines")
     place = [key, "text_hash", "line"]
+    # Repeated rows are one document: a line of each would multiply in every join of ranks with themselves.
+    lines = stored(_numbered(documents, key, text, least).dropDuplicates(place), "lines")
     ranks = stored(_ranked(lines, ["high", "low"], [*place, "ahead", "back"]), "ranks")
     ahead = ranks.where("ahead > 0").select(*place, F.col("ahead").alias("size"))
     back = ranks.where("back > 0").select(key, "text_hash", (F.col("line") - F.col("back") + 1).alias("line"), F.col("back").alias("size"))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lethe.llm import lines, neardup, pii, quality, toxicity
 from lethe.llm.components import components
@@ -305,5 +306,26 @@ def test_lines_of_nothing_and_of_rows_without_a_key(spark):
         lines.copied_lines(docs, least=0)
 
 
+def test_repeated_rows_are_one_document_in_every_doubling(spark):
+    """Copies of rows, with and without a key: as many ranks a line as without them, whatever the depth."""
+    texts = ["\n".join(["", "x", "", "y z"] * 6), "\n".join(["x"] * 40), prose(20), "a\n" + prose(20)]
+    once = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, "new\n" + texts[1])], "doc_id long, text string")
+    seen, whole = [], lines._ranked
+
+    def counted(rows, by, keep):
+        seen.append(rows.count())
+        return whole(rows, by, keep)
+
+    lines._ranked = counted
+    try:
+        want = {(r.doc_id, r.text_hash, r.line) for r in lines.copied_lines(once).collect()}
+        depth, seen[:] = list(seen), []
+        rows = lines.copied_lines(once.join(spark.range(5).select(F.lit(1).alias("n")), how="cross").drop("n")).collect()
+    finally:
+        lines._ranked = whole
+    assert len(depth) > 3 and seen == depth
+    assert len(rows) == len(want) and {(r.doc_id, r.text_hash, r.line) for r in rows} == want
+
+
 def test_digest_of_spans_is_stable():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
