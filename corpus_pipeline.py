@@ -33,13 +33,26 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """Exactly one row of each group of near-duplicates: that of the smallest doc_id, null last.
+
+    Rows are told apart by a number that is stored with them, so that doc_id may be null or repeated. Texts without
+    words are each a group of their own.
+    """
+    document = F.struct(*docs.columns).alias("document")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), document), "near-rows")
+    plain = rows.select("row", F.col("document.doc_id").alias("doc_id"), F.col("document.text").alias("text"))
+    classes = neardup.near_duplicates(plain, key="row").select("row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"), F.col("row"))
+    named = plain.select("row", "doc_id", F.xxhash64("text").alias("mark")).join(classes, "row")
+    kept = named.groupBy("component_id").agg(F.min_by("row", order).alias("row"))
+    return rows.join(kept, "row", "left_semi").select("document.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the text that the mix takes of them, repeats included; those of which it takes nothing go."""
+    """Documents with the text that the mix takes of them, repeats included; those of which it takes nothing go.
+
+    doc_id may be null or repeated: each row gets its own share.
+    """
     return _with_length(mixing.mixed_texts(docs, mixing.mix(docs)))
 
 

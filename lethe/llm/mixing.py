@@ -3,7 +3,8 @@
 The words of a source, document after document, form one stream that is cut into blocks of BLOCK words. Output shards
 of SLOTS slots draw how many slots each source fills from a multinomial distribution. The j-th draw of a source takes
 the block that its permutation puts at j modulo the number of blocks; a new epoch uses a new permutation. Draws and
-blocks are joined by (source, block). Targets set how many blocks a source gives over all shards, so draws beyond
+blocks are joined by (source, block). Rows are told apart by a number that mix() gives them, never by their key, which
+may be null or repeated. Targets set how many blocks a source gives over all shards, so draws beyond
 that number are handed to the sources that are short.
 """
 
@@ -82,13 +83,14 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
 class Mix:
     """``documents``: (key, size, source_size, target, number, place), number and place being null without words.
 
-    ``pieces``: (source, block, place, start, length), a document's words in a block. ``draws``: (shard, slot,
-    source, block, epoch).
+    ``pieces``: (source, block, place, start, length, row), a document's words in a block. ``draws``: (shard, slot,
+    source, block, epoch). ``rows``: (row, document), the whole rows under their numbers, if they are carried.
     """
 
     documents: DataFrame
     pieces: DataFrame
     draws: DataFrame
+    rows: DataFrame | None = None
 
 
 def mix(
@@ -100,14 +102,26 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    carry: bool = True,
 ) -> Mix:
     """Draw the mix. Sources by code point, null last, take ``weights`` in turn; null and empty texts have no words.
 
-    Other columns are ignored. Repeated rows are documents of their own. Without words nothing is drawn.
+    Other columns are ignored. Repeated rows are documents of their own, whether their key is null or not. Without words
+    nothing is drawn. ``carry`` stores the whole rows with their numbers, which mixed_texts() needs.
     """
     spark = documents.sparkSession
-    rows = documents.select(documents[key].alias("__key"), documents[source].alias("__name"), F.size(words(documents[text])).cast("long").alias("size"))
-    rows = stored(rows, "mix-sizes")
+    size, mark = F.size(words(documents[text])).cast("long"), F.xxhash64(documents[text])
+    # The numbers are fixed by being stored: nothing later computes them again.
+    numbered = documents.select(
+        documents[key].alias("__key"),
+        documents[source].alias("__name"),
+        size.alias("size"),
+        mark.alias("__mark"),
+        F.monotonically_increasing_id().alias("row"),
+        *([F.struct(*[documents[c] for c in documents.columns]).alias("document")] if carry else []),
+    )
+    numbered = stored(numbered, "mix-sizes")
+    rows = numbered.drop("document")
     found = rows.groupBy("__name").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -122,7 +136,7 @@ def mix(
         "source int, __other string, source_size long, target double, __base long",
     )
     joined = rows.join(table, F.col("__name").eqNullSafe(F.col("__other")))
-    order = ["source", "__key", "size"]
+    order = ["source", "__key", "size", "__mark", "row"]
     placed = totals_before(ranged(joined, order), order, {"__from": F.col("size")})
     has = F.col("size") > 0
     placed = stored(placed.withColumn("place", F.when(has, F.col("__from") - F.col("__base"))), "mix-places")
@@ -130,11 +144,12 @@ def mix(
     cut = placed.where(has).withColumn("block", F.explode(F.sequence(first, last)))
     start = F.greatest(F.col("block") * block - F.col("place"), F.lit(0))
     end = F.least((F.col("block") + 1) * block - F.col("place"), F.col("size"))
-    pieces = cut.select("source", "block", "place", start.alias("start"), (end - start).alias("length"))
+    pieces = cut.select("source", "block", "place", start.alias("start"), (end - start).alias("length"), "row")
     return Mix(
         placed.select(F.col("__key").alias(key), "size", "source_size", "target", F.when(has, F.col("source")).alias("number"), "place"),
         pieces,
         _draws(rows, quota, blocks, seed, slots),
+        numbered.select("row", "document") if carry else None,
     )
 
 
@@ -197,15 +212,17 @@ def taken(mixed: Mix) -> DataFrame:
     return out.select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_texts(documents: DataFrame, mixed: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed_texts(documents: DataFrame, mixed: Mix, text: str = "text") -> DataFrame:
     """The documents (all their columns) with the text that the mix takes: their pieces by epoch and place, set apart by a space.
 
-    Documents that give no word go. ``key`` must be unique and not null.
+    Documents that give no word go. ``documents`` must be those that ``mixed`` was drawn from, with their rows carried.
+    Keys may be null or repeated: each row gets the words that were drawn of it.
     """
-    joined = mixed.draws.join(mixed.pieces, ["source", "block"]).withColumnRenamed("source", "number")
-    parts = joined.join(mixed.documents.where("place is not null"), ["number", "place"])
-    lists = parts.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("epoch", "start", "length"))).alias("__parts"))
-    rows = documents.join(lists, documents[key] == F.col("__key")).select(*documents.columns, "__parts")
+    if mixed.rows is None:
+        raise ValueError("mix() must carry the rows")
+    parts = mixed.draws.join(mixed.pieces, ["source", "block"])
+    lists = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("epoch", "start", "length"))).alias("__parts"))
+    rows = mixed.rows.join(lists, "row").select("document.*", "__parts")
     place = documents.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,7 +86,7 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.taken(mixing.mix(_table(spark, folder, "documents")))
+    return mixing.taken(mixing.mix(_table(spark, folder, "documents"), carry=False))
 
 
 def op10_line_runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -234,6 +234,29 @@ def common_words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text)
 
 
+@pytest.mark.parametrize("ids", [[7, 7, 7, 8], [None, None, None, 8]])
+def test_mix_tells_rows_apart_that_share_a_key(spark, ids):
+    """Copies of a row, and another text under the same key, null or not: each row gives its own words."""
+    texts = [" ".join(f"{name}{i}" for i in range(n)) for name, n in (("a", 100), ("a", 100), ("b", 30), ("c", 300))]
+    docs = documents(spark, [(k, t, "s") for k, t in zip(ids, texts)])
+    mixed = mixing.mix(docs, block=8, slots=4)
+    got = sorted((r.doc_id is None, r.doc_id, len(r.text.split()), r.text) for r in mixing.mixed_texts(docs, mixed).collect())
+    # One source is taken whole, once.
+    want = sorted((k is None, k, len(t.split()), sorted(t.split())) for k, t in zip(ids, texts))
+    assert [(*r[:3], sorted(r[3].split())) for r in got] == want
+
+
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    """Repeated rows, copies without a key, and other texts without a key."""
+    one, two, three = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(5, one), (5, one), (None, one), (None, two), (None, two), (None, three), (9, one + " x"), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(k, t, "s", -1) for k, t in rows], "doc_id long, text string, source string, row int").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    want = [(5, one), (None, two), (None, three), (None, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_mix_of_nothing(spark):
     docs = documents(spark, [(1, None, None), (2, " ", "s")])
     assert sorted((r.doc_id, r.size, r.taken) for r in mixing.taken(mixing.mix(docs)).collect()) == [(1, 0, 0), (2, 0, 0)]
