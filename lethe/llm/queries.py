@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import lines, mixing, neardup, neighbors, packing, pii, quality, sharding, tokenfile, toxicity
+from lethe.llm import infill, lines, mixing, neardup, neighbors, packing, pii, quality, sharding, tokenfile, toxicity
 from lethe.llm.common import totals_before
 
 #: Parameters: the vocabulary files in use.
@@ -95,7 +95,13 @@ def op10_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "text", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), numbers.alias("deleted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op2_minhash_bayes, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources, op10_line_runs)}
+def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
+    rows = infill.restore(infill.transform(_table(spark, folder, "documents")))
+    hashes = {f"{name}_sha256": F.sha2(F.col(name).cast("binary"), 256) for name in ("output", "restored")}
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[c.alias(n) for n, c in hashes.items()])
+
+
+QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op2_minhash_bayes, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources, op10_line_runs, op11_infill)}
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _QUALITY_SQL = rf"""
 with d as (
@@ -143,5 +149,28 @@ c as (select a as doc_id, min(b) as component_id from reach group by 1)
 select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
 from c left join n using (doc_id)
 """
+_INFILL_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u
+  from documents),
+n as (
+  select *, len(u)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+         ('0x' || h[25:32])::bigint as h4 from d),
+cuts as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain'
+              when h4 % 100 < 50 then 'spm' else 'psm' end as form
+  from n),
+parts as (
+  select doc_id, n, form, text, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m,
+         array_to_string(u[b + 1:], '') as s from cuts)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars,
+       case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+              else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(text) as restored_sha256
+from parts
+"""
 #: Where SQL states the whole result; the other queries are tested against brute force in tests/llm.
-SQL: dict[str, str] = {"op2_minhash_bayes": _NEAR_SQL, "op4_quality_rules": _QUALITY_SQL}
+SQL: dict[str, str] = {"op2_minhash_bayes": _NEAR_SQL, "op4_quality_rules": _QUALITY_SQL, "op11_infill": _INFILL_SQL}
