@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import infill, lines, mixing, neardup, neighbors, packing, pii, quality, sharding, tokenfile, toxicity
+from lethe.llm import bestfit, infill, lines, mixing, neardup, neighbors, packing, pii, quality, sharding, tokenfile, toxicity
 from lethe.llm.common import totals_before
 
 #: Parameters: the vocabulary files in use.
@@ -101,7 +101,13 @@ def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[c.alias(n) for n, c in hashes.items()])
 
 
-QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op2_minhash_bayes, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources, op10_line_runs, op11_infill)}
+def op13_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    cut = bestfit.pieces(_table(spark, folder, "documents"), WORD_VOCABULARY)
+    rows = bestfit.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return rows.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op2_minhash_bayes, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources, op10_line_runs, op11_infill, op13_best_fit)}
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _QUALITY_SQL = rf"""
 with d as (
