@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import bestfit, infill, lines, mixing, neardup, neighbors, packing, pii, quality, sharding, tokenfile, toxicity
+from lethe.llm import bestfit, infill, lines, mixing, neardup, neighbors, packing, pii, quality, repair, sharding, tokenfile, toxicity
 from lethe.llm.common import totals_before
 
 #: Parameters: the vocabulary files in use.
@@ -101,13 +101,17 @@ def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[c.alias(n) for n, c in hashes.items()])
 
 
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.summaries(repair.damaged(_table(spark, folder, "conversations")), copies="copies")
+
+
 def op13_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     cut = bestfit.pieces(_table(spark, folder, "documents"), WORD_VOCABULARY)
     rows = bestfit.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return rows.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op2_minhash_bayes, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources, op10_line_runs, op11_infill, op13_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_disclosing_terms, op2_minhash_bayes, op3_toxicity_noisy_or, op4_quality_rules, op5_minimax_shards, op6_pack_sum_of_squares, op7_stable_projections, op8_token_files, op9_mix_sources, op10_line_runs, op11_infill, op12_repair, op13_best_fit)}
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _QUALITY_SQL = rf"""
 with d as (
@@ -178,5 +182,82 @@ select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_c
        sha256(text) as restored_sha256
 from parts
 """
+_REPAIR_SQL = r"""
+with recursive c as (select distinct conv_id, dense_rank() over (order by conv_id nulls first) as c from conversations),
+k as (
+  select c, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         -- CRC-32 of the name, bit by bit.
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(
+             string_split(coalesce(v.conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint)),
+           lambda sum, byte: list_reduce(list_prepend(xor(sum, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+                                         lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 20 as kind
+  from conversations v join c on v.conv_id is not distinct from c.conv_id),
+damaged as (
+  select c, turn, case kind when 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy
+  from k),
+placed as (
+  select *, md5(concat(length(role), ':', role, ':', text)) as mark,
+         row_number() over (partition by c order by turn nulls first, md5(concat(length(role), ':', role, ':', text))) as i
+  from damaged),
+faulty as (
+  select *, role[1] as ini,
+         case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+              when row_number() over (partition by c, mark order by i) > 1 then 'duplicate'
+              when regexp_replace(text, '[\x20\x09-\x0D]+$', '')[-1] not in ('.', '!', '?') then 'truncated' else '' end as fault
+  from placed),
+r as (
+  select *, fault in ('blank', 'duplicate') as dead, case fault when 'truncated' then 5 else 0 end as extra,
+         lag(ini) over (partition by c order by i) || ini as pair
+  from faulty),
+-- States: 0 nothing yet, 1 after system, 2 after user, 3 after assistant.
+ins(q, q1, more) as (values (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (1, 2, 'I'), (3, 2, 'I'), (2, 3, 'I'),
+                            (0, 3, 'II'), (1, 3, 'II')),
+keep(ini, q, q1) as (values ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+change(q, q1) as (values (0, 2), (1, 2), (3, 2), (2, 3)),
+ops as (
+  select c, i, d.q as q, d.q as q1, 2 as price, 'D' as op from r, (values (0), (1), (2), (3)) d(q)
+  union all
+  select c, i, x.q, x.q1, 1 + extra, 'R' from r, change x where not dead
+  union all
+  select c, i, x.q, x.q1, extra, 'K' from r join keep x using (ini) where not dead),
+steps as (
+  select c, i, ins.q, ops.q1, price + 5 * length(more) as price, more || op as op from ops join ins on ins.q1 = ops.q),
+best as (
+  select c, 0 as i, 0 as q, {'cost': 0, 'audit': ''} as b from c
+  union all
+  select c, i, q, min(b) from (
+    select best.c as c, s.i as i, s.q1 as q, {'cost': best.b.cost + s.price, 'audit': best.b.audit || s.op} as b
+    from best join steps s on s.c = best.c and s.i = best.i + 1 and s.q = best.q)
+  group by c, i, q),
+size as (select c, coalesce(max(i), 0) as n from c left join r using (c) group by 1),
+won as (
+  select c, min({'cost': b.cost + case q when 1 then 10 when 2 then 5 else 0 end,
+                 'audit': b.audit || case q when 1 then 'II' when 2 then 'I' else '' end}) as b
+  from best join size using (c) where i = n group by 1),
+marks as (
+  select c, b.audit as audit, unnest(range(1, length(b.audit) + 1)) as j from won),
+edits as (
+  select c, j, audit[j] as e, j - length(replace(audit[1:j], 'I', '')) as inserted from marks),
+turns as (
+  select e.c, e.j, e.e, r.role, r.text, row_number() over (partition by e.c order by e.j) as t,
+         first_value(case when e.e = 'K' and r.ini = 's' then 1 else 0 end) over (partition by e.c order by e.j) as sys
+  from edits e left join r on r.c = e.c and r.i = e.j - e.inserted and e.e <> 'I' where e.e <> 'D'),
+said as (
+  select c, string_agg(case when e = 'K' then role when (t - sys) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''),
+                       chr(10) order by j) as body
+  from turns group by 1),
+counts as (
+  select c, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (fault = 'blank') as blank,
+         count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+  from r group by 1)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, b.cost::bigint as cost,
+       b.audit as audit, sha256(coalesce(body, '')) as repaired_sha256
+from c join won using (c) left join said using (c) left join counts using (c)
+"""
 #: Where SQL states the whole result; the other queries are tested against brute force in tests/llm.
-SQL: dict[str, str] = {"op2_minhash_bayes": _NEAR_SQL, "op4_quality_rules": _QUALITY_SQL, "op11_infill": _INFILL_SQL}
+SQL: dict[str, str] = {"op2_minhash_bayes": _NEAR_SQL, "op4_quality_rules": _QUALITY_SQL, "op11_infill": _INFILL_SQL, "op12_repair": _REPAIR_SQL}
