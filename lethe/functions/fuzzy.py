@@ -1,12 +1,13 @@
 """Approximate matching of a pattern dictionary: normalized whole words, else partial similarity.
 
-The exact stage is a JVM expression on the normalized text. Only patterns it did not find
-go to the Arrow UDF, which checks windows around verbatim pieces instead of every window.
+A similarity join by pigeonholes. A window of a text that is similar enough to a pattern differs from it in few insertions
+and deletions, so that one of slightly more pieces of the pattern stands in the window verbatim. Pieces of patterns meet
+the grams of texts by an equi-join, whole words meet by the same join, and a small function checks the one window around a
+meeting. Texts shorter than a pattern change roles with it. Rows are told apart by a digest of text and concept.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -18,467 +19,356 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lethe.functions import matching
-from lethe.functions.matching import MATCHES
-from lethe.functions.text import WORD, fold, let, ngrams, words
+from lethe.functions.text import digest
 
 THRESHOLD = 85.0
 MIN_COMPACT_LENGTH = 4
-SLICE = 500
-MAX_LITERAL_PATTERNS = 5_000
-MAX_LITERAL_CHARS = 1_000_000
-ENTRY = "struct<concept:string,ord:int,pattern:string,anchor:string,regex:string>"
+#: Pieces and grams meet on at most so many characters.
+GRAM = 3
+#: Places of a text whose grams are laid out in one row; longer texts have several.
+CHUNK = 16_384
+#: Dictionaries of up to so many characters (four keys a character) travel to the texts; others are shuffled with them.
+BROADCAST_CHARS = 150_000
 FUZZY = "array<struct<ord:int,pattern:string,n:int,exact:boolean>>"
-PACKED = T.ArrayType(T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("compact", T.StringType())]))
+#: How a pattern may meet a text: inside it, cut off by one of its ends, as whole words, or as the longer of the two.
+INSIDE, EDGE, WORDS, SWAPPED = range(4)
+#: Keys are numbers: the size of a gram and its letters, each below BASE.
+BASE = 37
+LETTERS = np.zeros(256, np.int32)
+LETTERS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = np.arange(1, BASE)
+SIZE_STEP, SWAPPED_STEP = BASE**GRAM, (GRAM + 1) * BASE**GRAM
 
 
-def _normalize(text: str | None) -> str | None:
+def _folded(text: str | None) -> str | None:
     if text is None:
         return None
-    if text.isascii():
-        text = text.lower()
-    else:
-        # Folded before it is decomposed: capitals that decomposition brings in are dropped.
-        text = unicodedata.normalize("NFKD", text.casefold())
-        text = "".join(c for c in text if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[^a-z0-9\s]", " ", text).split())
+    # Folded before it is decomposed: capitals that decomposition brings in are dropped.
+    text = unicodedata.normalize("NFKD", text.casefold())
+    text = "".join(c for c in text if not unicodedata.combining(c))
+    return re.sub("[^a-z0-9]+", " ", text).strip()
 
 
 @F.pandas_udf(T.StringType())
-def normalize(texts: pd.Series) -> pd.Series:
-    """Case-folded, accent-free text of [a-z0-9] words separated by one space."""
-    return texts.map(_normalize)
+def _normalize_other(texts: pd.Series) -> pd.Series:
+    return texts.map(_folded)
 
 
-def _masks(needle: str) -> dict[str, int]:
-    masks: dict[str, int] = {}
+def normalize(text: Column | str) -> Column:
+    """Case-folded, accent-free text of [a-z0-9] words separated by one space; only other than ASCII texts go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.when(ascii_, plain).otherwise(_normalize_other(F.when(~ascii_, text)))
+
+
+def _bits(needle: bytes) -> dict[int, int]:
+    bits: dict[int, int] = {}
     for i, c in enumerate(needle):
-        masks[c] = masks.get(c, 0) | (1 << i)
-    return masks
+        bits[c] = bits.get(c, 0) | (1 << i)
+    return bits
 
 
-def _common(masks: dict[str, int], full: int, window: str) -> Iterator[int]:
-    """Length of the longest common subsequence after each character of ``window``."""
-    state = full
-    for c in window:
-        hit = state & masks.get(c, 0)
-        state = ((state + hit) | (state - hit)) & full
-        yield full.bit_count() - state.bit_count()
+class _Common:
+    """Longest common subsequences of needles of one length with texts that are read along, for many pairs at once.
 
+    A state has a bit per needle character; unset bits count the common ones.
+    """
 
-def _edges_reach(needle: str, masks: dict, text: str, threshold: float) -> bool:
-    """A proper prefix or suffix of the text reaches the threshold."""
-    m = len(needle)
-    full = (1 << m) - 1
-    head = text[: m - 1]
-    for w, lcs in enumerate(_common(masks, full, head), 1):
-        if 200 * lcs >= threshold * (m + w):
-            return True
-    backwards = _masks(needle[::-1])
-    for w, lcs in enumerate(_common(backwards, full, text[: -m : -1]), 1):
-        if 200 * lcs >= threshold * (m + w):
-            return True
-    return False
+    def __init__(self, needles: list[bytes], backwards: bool = False) -> None:
+        self.m = len(needles[0])
+        kinds = {n: i for i, n in enumerate(dict.fromkeys(needles))}
+        # Words of 64 bits where they are long enough, else Python's integers.
+        self.kind = np.uint64 if self.m < 64 else object
+        self.full = self.kind((1 << self.m) - 1) if self.m < 64 else (1 << self.m) - 1
+        self._table = np.zeros((len(kinds), 256), self.kind)
+        for needle, i in kinds.items():
+            for c, bits in _bits(needle[::-1] if backwards else needle).items():
+                self._table[i, c] = bits
+        self._own = np.array([kinds[n] for n in needles])
+
+    def start(self) -> np.ndarray:
+        return np.full(len(self._own), self.full, self.kind)
+
+    def read(self, state: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        hit = state & self._table[self._own, letters]
+        return ((state + hit) | (state - hit)) & self.full
+
+    def length(self, state: np.ndarray) -> np.ndarray:
+        if self.kind is object:
+            return np.array([self.m - s.bit_count() for s in state])
+        return self.m - np.bitwise_count(state).astype(np.int64)
 
 
-def _pieces(needle: str, threshold: float) -> list[tuple[int, str]]:
-    """Cut so that any window that reaches the threshold holds one piece verbatim.
+def _matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(t) for t in texts])
+    width = max(int(sizes.max()), 1)
+    return np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(-1, width), sizes
 
-    A window as long as the needle may miss e characters of it and hold e foreign ones, so
-    2e+1 pieces leave one untouched.
-    """
-    m = len(needle)
-    parts = 2 * _misses(m, threshold) + 1
-    if parts > m:
-        return []
-    cuts = [i * m // parts for i in range(parts + 1)]
-    return [(a, needle[a:b]) for a, b in zip(cuts, cuts[1:])]
-
-
-def _misses(m: int, threshold: float) -> int:
-    return next(e for e in range(m, -1, -1) if 100 * (m - e) >= threshold * m)
-
-
-def _inside_reach(needle: str, masks: dict, pieces: list, text: str, threshold: float) -> bool:
-    """A window of the needle's length reaches the threshold."""
-    m = len(needle)
-    full = (1 << m) - 1
-    last = len(text) - m
-    slack = _misses(m, threshold)
-    if not pieces:
-        starts = set(range(last + 1))
-    else:
-        starts = set()
-        for offset, piece in pieces:
-            at = text.find(piece)
-            while at >= 0:
-                base = at - offset
-                starts.update(range(max(0, base - slack), min(last, base + slack) + 1))
-                at = text.find(piece, at + 1)
-    need = threshold * 2 * m
-    for start in starts:
-        lcs = 0
-        for lcs in _common(masks, full, text[start : start + m]):
-            pass
-        if 200 * lcs >= need:
-            return True
-    return False
+
+def _inside(needles: list[bytes], texts: list[bytes], threshold: float) -> np.ndarray:
+    """Some window of the needle's length reaches the threshold; needles have one length."""
+    common, (letters, sizes) = _Common(needles), _matrix(texts)
+    found = np.zeros(len(texts), bool)
+    for start in range(letters.shape[1] - common.m + 1):
+        state = common.start()
+        for i in range(start, start + common.m):
+            state = common.read(state, letters[:, i])
+        found |= (sizes >= start + common.m) & (200 * common.length(state) >= threshold * 2 * common.m)
+    return found
+
+
+def _cut_off(needles: list[bytes], texts: list[bytes], threshold: float, backwards: bool) -> np.ndarray:
+    """Some prefix (backwards: suffix) of the text, shorter than the needle, reaches the threshold."""
+    common = _Common(needles, backwards)
+    letters, sizes = _matrix([(t[::-1] if backwards else t)[: common.m - 1] for t in texts])
+    found, state = np.zeros(len(texts), bool), common.start()
+    for w in range(1, letters.shape[1] + 1):
+        state = common.read(state, letters[:, w - 1])
+        found |= (sizes >= w) & (200 * common.length(state) >= threshold * (common.m + w))
+    return found
+
+
+def reached(kinds: list[int], needles: list[bytes], texts: list[bytes], ends: list[bytes], threshold: float) -> np.ndarray:
+    """For each pair whether the needle reaches the text in the given way; ``ends`` is the text behind for EDGE."""
+    found = np.zeros(len(needles), bool)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (kind, needle) in enumerate(zip(kinds, needles)):
+        if needle:
+            groups.setdefault((kind, len(needle)), []).append(i)
+    for (kind, _), rows in groups.items():
+        own, text = [needles[i] for i in rows], [texts[i] for i in rows]
+        hit = np.zeros(len(rows), bool)
+        if kind != EDGE:
+            hit |= _inside(own, text, threshold)
+        if kind != INSIDE:
+            hit |= _cut_off(own, text, threshold, False)
+            hit |= _cut_off(own, [ends[i] for i in rows] if kind == EDGE else text, threshold, True)
+        found[rows] = hit
+    return found
 
 
 def similar(left: str, right: str, threshold: float = THRESHOLD) -> bool:
     """The shorter string, slid over the longer one, reaches the similarity at some place.
 
-    Similarity of a window is 100 * 2 * LCS / (sum of lengths); windows cut off by either
-    end of the longer string count too.
+    Similarity of a window is 100 * 2 * LCS / (sum of lengths); windows cut off by either end of the longer string count
+    too.
     """
     if not left or not right:
         return False
-    orders = [(left, right)] if len(left) <= len(right) else [(right, left)]
-    if len(left) == len(right):
-        orders = [(left, right), (right, left)]
-    for needle, text in orders:
-        masks = _masks(needle)
-        if _inside_reach(needle, masks, _pieces(needle, threshold), text, threshold):
-            return True
-        if _edges_reach(needle, masks, text, threshold):
-            return True
-    return False
-
-
-class _Probe:
-    """A pattern of at most 64 characters, compared with many texts at once."""
-
-    def __init__(self, compact: str, threshold: float) -> None:
-        self.compact, self.threshold, self.m = compact, threshold, len(compact)
-        self.forward, self.backward = self._table(compact), self._table(compact[::-1])
-        self.full = np.uint64((1 << self.m) - 1)
-        self.slack = _misses(self.m, threshold)
-        self.pieces = _pieces(compact, threshold)
-
-    @staticmethod
-    def _table(needle: str) -> np.ndarray:
-        table = np.zeros(256, dtype=np.uint64)
-        for c, mask in _masks(needle).items():
-            table[ord(c)] = mask
-        return table
-
-    def _advance(self, state: np.ndarray, hits: np.ndarray) -> np.ndarray:
-        both = state & hits
-        return ((state + both) | (state - both)) & self.full
-
-    def _length(self, state: np.ndarray) -> np.ndarray:
-        return self.m - np.bitwise_count(state).astype(np.int64)
+    a, b = left.encode(), right.encode()
+    pairs = [(a, b)] if len(a) <= len(b) else [(b, a)]
+    if len(a) == len(b):
+        pairs.append((b, a))
+    return any(reached([SWAPPED], [needle], [text], [text], threshold)[0] for needle, text in pairs)
 
-    def found_in(self, block: "_Block") -> np.ndarray:
-        """For each text of the block, whether the similarity is reached."""
-        found = np.zeros(block.count, dtype=bool)
-        long = block.lengths > self.m
-        for table, edge in ((self.forward, block.heads(self.m - 1)), (self.backward, block.tails(self.m - 1))):
-            state = np.full(block.count, self.full, dtype=np.uint64)
-            for w in range(1, self.m):
-                state = self._advance(state, table[edge[:, w - 1]])
-                found |= long & (200 * self._length(state) >= self.threshold * (self.m + w))
-        self._inside(block, found)
-        for i in np.flatnonzero(~long & (block.lengths > 0)):
-            found[i] = similar(self.compact, block.texts[i], self.threshold)
-        return found
-
-    def _inside(self, block: "_Block", found: np.ndarray) -> None:
-        """Windows of the pattern's length around the verbatim occurrences of a piece."""
-        last = block.bytes.size - self.m
-        if last < 0:
-            return
-        # One spare place on either side takes the windows that would leave the block.
-        marked = np.zeros(last + 3, dtype=bool)
-        marked[1:-1] = not self.pieces
-        for offset, piece in self.pieces:
-            bases = block.places_of(piece) - offset
-            for shift in range(-self.slack, self.slack + 1):
-                marked[np.clip(bases + shift, -1, last + 1) + 1] = True
-        starts = np.flatnonzero(marked[1:-1])
-        owner = block.owner_of(starts)
-        keep = (starts + self.m <= block.ends[owner]) & (block.lengths[owner] > self.m) & ~found[owner]
-        starts, owner = starts[keep], owner[keep]
-        state = np.full(starts.size, self.full, dtype=np.uint64)
-        for k in range(self.m):
-            state = self._advance(state, self.forward[block.bytes[starts + k]])
-        hit = 200 * self._length(state) >= self.threshold * 2 * self.m
-        found[owner[hit]] = True
-
-
-class _Block:
-    """Compact texts (bytes of [a-z0-9]) laid end to end."""
-
-    def __init__(self, texts: list[str]) -> None:
-        self.texts, self.count = texts, len(texts)
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.ends = np.cumsum(self.lengths)
-        self.bytes = np.frombuffer("".join(texts).encode("ascii"), dtype=np.uint8)
-
-        self._codes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def places_of(self, piece: str) -> np.ndarray:
-        """Where the first four characters of a piece occur, from a sorted index."""
-        head = piece[:4].encode("ascii")
-        width = len(head)
-        if width not in self._codes:
-            size = max(self.bytes.size - width + 1, 0)
-            code = np.zeros(size, dtype=np.uint32)
-            for k in range(width):
-                code = (code << np.uint32(8)) | self.bytes[k : k + size]
-            order = np.argsort(code)
-            self._codes[width] = (code[order], order)
-        codes, order = self._codes[width]
-        wanted = np.uint32(int.from_bytes(head, "big"))
-        return order[np.searchsorted(codes, wanted, "left") : np.searchsorted(codes, wanted, "right")]
-
-    def owner_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, places, side="right")
-
-    def _edge(self, width: int, cut) -> np.ndarray:
-        rows = np.zeros((self.count, max(width, 1)), dtype=np.uint8)
-        for i, t in enumerate(self.texts):
-            part = np.frombuffer(cut(t, width).encode("ascii"), dtype=np.uint8)
-            rows[i, : part.size] = part
-        return rows
-
-    def heads(self, width: int) -> np.ndarray:
-        if not hasattr(self, "_heads"):
-            self._heads = self._edge(63, lambda t, w: t[:w])
-        return self._heads
-
-    def tails(self, width: int) -> np.ndarray:
-        if not hasattr(self, "_tails"):
-            self._tails = self._edge(63, lambda t, w: t[: -w - 1 : -1])
-        return self._tails
-
-
-BLOCK_CHARS = 1_000_000
-
-
-def _blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Cut a list of texts into runs of about a million characters, with their offsets."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BLOCK_CHARS:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
-def _hits(texts: list[str], patterns: list[tuple[int, str]], threshold: float) -> list[list[int]]:
-    """For each text the patterns it reaches, in pattern order."""
-    probes = [(o, c, _Probe(c, threshold) if len(c) <= 64 else None) for o, c in patterns]
-    found: list[list[int]] = [[] for _ in texts]
-    for offset, part in _blocks(texts):
-        block = _Block(part)
-        for ord_, compact, probe in probes:
-            if probe is None:
-                reached = [i for i, t in enumerate(part) if similar(compact, t, threshold)]
-            else:
-                reached = np.flatnonzero(probe.found_in(block)).tolist()
-            for i in reached:
-                found[offset + i].append(ord_)
-    return found
 
+def changes(size: int, threshold: float, cut_off: bool) -> int:
+    """How many insertions and deletions turn a string of this size into a window that still reaches the threshold."""
+    share = (100 - threshold) / 100
+    return int((2 * size - 1) * share + 1e-9) if cut_off else 2 * int(size * share + 1e-9)
 
-def _probe(df: DataFrame, rows: list[dict], threshold: float, text: str, concept: str | None) -> DataFrame:
-    """Add the normalized text and the patterns it reaches, in one pass through Arrow.
 
-    A mapped stage, not a column UDF: it runs once however often its columns are used.
-    """
-    usable: dict[str, list[tuple[int, str]]] = {}
-    for r in rows:
-        if len(r["compact"]) >= MIN_COMPACT_LENGTH:
-            usable.setdefault(r["concept"], []).append((r["ord"], r["compact"]))
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("__normal", T.StringType()), T.StructField("__fuzzy", T.ArrayType(T.IntegerType()))]
-    )
+def pieces(compact: bytes, threshold: float, cut_off: bool) -> list[tuple[int, bytes]]:
+    """One more piece than changes, each with its place and by its first characters."""
+    size = len(compact)
+    count = min(changes(size, threshold, cut_off) + 1, size)
+    cuts = [i * size // count for i in range(count + 1)]
+    return [(at, compact[at : min(end, at + GRAM)]) for at, end in zip(cuts, cuts[1:])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            normal = [_normalize(t) for t in batch.column(text).to_pylist()]
-            compact = [(n or "").replace(" ", "") for n in normal]
-            owners = batch.column(concept).to_pylist() if concept else [""] * len(normal)
-            groups: dict[str, list[int]] = {}
-            for i, c in enumerate(owners):
-                groups.setdefault(c, []).append(i)
-            found: list[list[int]] = [[] for _ in normal]
-            for c, places in groups.items():
-                for i, ords in zip(places, _hits([compact[i] for i in places], usable.get(c, []), threshold)):
-                    found[i] = ords
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(normal, pa.string()), pa.array(found, pa.list_(pa.int32()))],
-                names=[*batch.schema.names, "__normal", "__fuzzy"],
-            )
-
-    return df.mapInArrow(run, schema)
-
-
-def _fuzzy_packed(threshold: float):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def lookup(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, skips, packs in batches:
-            yield pd.Series(
-                [
-                    [
-                        e["ord"]
-                        for e in pack
-                        if len(e["compact"]) >= MIN_COMPACT_LENGTH
-                        and e["ord"] not in set(s)
-                        and similar(e["compact"], t, threshold)
-                    ]
-                    if t
-                    else []
-                    for t, s, pack in zip(texts, skips, packs)
-                ]
-            )
-
-    return lookup
-
-
-def small_dictionary(
-    table: DataFrame,
-    max_rows: int = MAX_LITERAL_PATTERNS,
-    max_chars: int = MAX_LITERAL_CHARS,
-) -> list[dict] | None:
-    """The rows of a dictionary, or None when it is over the size bound.
-
-    At most ``max_rows + 1`` rows are fetched.
-    """
-    rows = [r.asDict() for r in table.limit(max_rows + 1).collect()]
-    if len(rows) > max_rows or sum(len(r["pattern"]) for r in rows) > max_chars:
-        return None
-    return sorted(rows, key=lambda r: (r["concept"] or "", r["ord"], r["pattern"]))
 
+def _codes(text: bytes, size: int) -> np.ndarray:
+    """The key of the gram at each place."""
+    letters = LETTERS[np.frombuffer(text, np.uint8)]
+    if len(letters) < size:
+        return np.zeros(0, np.int32)
+    code = letters[: len(letters) - size + 1].copy()
+    for k in range(1, size):
+        code = code * BASE + letters[k : len(letters) - size + 1 + k]
+    return code + (size - 1) * SIZE_STEP
 
-def literal_matches(text: Column, rows: list[dict], concept: Column | None = None) -> Column:
-    """``MATCHES`` of a small dictionary, found inside the row.
 
-    The words and word pairs of the text are intersected with the anchors; only patterns
-    whose anchor occurs are run as regular expressions.
-    """
-    table = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<{ENTRY}>")
-    anchors = sorted({r["anchor"] for r in rows if r["anchor"]})
-    single = any(" " not in a for a in anchors)
-    paired = any(" " in a for a in anchors)
-
-    def keys(tokens: Column) -> Column:
-        if single and paired:
-            return F.concat(tokens, ngrams(tokens, 2))
-        return ngrams(tokens, 2) if paired else tokens
-
-    def candidates(found: Column) -> Column:
-        def possible(e: Column) -> Column:
-            hit = e["anchor"].isNull() | F.array_contains(found, e["anchor"])
-            return hit if concept is None else (e["concept"] == concept) & hit
-
-        return F.filter(table, possible)
-
-    def search(body: Column) -> Column:
-        present = let(words(fold(body)), lambda w: F.array_intersect(keys(w), F.lit(anchors or [""])))
-        counted = F.transform(
-            let(present, candidates),
-            lambda e: F.struct(
-                e["ord"].alias("ord"),
-                e["pattern"].alias("pattern"),
-                F.regexp_count(body, e["regex"]).alias("n"),
-            ),
-        )
-        return F.filter(counted, lambda m: m["n"] > 0)
-
-    return F.coalesce(let(text, search), F.array().cast(MATCHES))
+def _key(gram: bytes) -> int:
+    return int(_codes(gram, len(gram))[0])
+
+
+def _spelled(normal: str) -> tuple[bytes, bytes]:
+    """The text without its spaces, and a mark for each character: 1 where a word begins. One more mark ends the text."""
+    compact = normal.replace(" ", "").encode()
+    marks = bytearray(len(compact) + 1)
+    at = 0
+    for word in normal.split(" "):
+        marks[at] = 1
+        at += len(word)
+    marks[at] = 1
+    return compact, bytes(marks)
+
+
+ENTRIES = "concept string, ord int, pattern string, compact binary, marks binary, m int, kind int, key int, piece int"
 
 
 def normalized_entries(patterns: DataFrame) -> DataFrame:
-    """Dictionary rows of the normalized patterns; patterns that normalize to nothing are dropped."""
+    """Dictionary rows (concept, ord, pattern, normal); patterns that normalize to nothing are dropped."""
     if "concept" not in patterns.columns:
         patterns = patterns.withColumn("concept", F.lit(""))
     table = patterns.withColumn("normal", normalize(F.col("pattern"))).where(F.length("normal") > 0)
-    return table.select(
-        F.col("concept").cast("string"),
-        F.col("ord").cast("int"),
-        "pattern",
-        F.col("normal").alias("searched"),
-        matching.anchor(F.col("normal")).alias("anchor"),
-        F.concat(F.lit(f"(?<!{WORD})"), F.col("normal"), F.lit(f"(?!{WORD})")).alias("regex"),
-        F.replace(F.col("normal"), F.lit(" "), F.lit("")).alias("compact"),
-    )
+    return table.select(F.col("concept").cast("string"), F.col("ord").cast("int"), "pattern", "normal")
+
+
+def _pattern_keys(table: DataFrame, threshold: float) -> DataFrame:
+    """ENTRIES: a row per key under which a pattern may meet a text."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [column.split()[0] for column in ENTRIES.split(", ")]
+        for batch in batches:
+            rows = []
+            for concept, order, pattern, normal in zip(*[batch[c] for c in ("concept", "ord", "pattern", "normal")]):
+                compact, marks = _spelled(normal)
+                found = [(WORDS, _key(compact[:GRAM]), 0)]
+                if len(compact) >= MIN_COMPACT_LENGTH:
+                    found += [(INSIDE, _key(gram), at) for at, gram in pieces(compact, threshold, False)]
+                    found += [(EDGE, _key(gram), at) for at, gram in pieces(compact, threshold, True)]
+                    # As the longer of the two it matters only that a piece of the text is in it.
+                    whole = {int(code) for size in range(1, GRAM + 1) for code in _codes(compact, size)}
+                    found += [(SWAPPED, SWAPPED_STEP + code, 0) for code in whole]
+                rows += [(concept, order, pattern, compact, marks, len(compact), *key) for key in found]
+            yield pd.DataFrame(rows, columns=names)
+
+    return table.mapInPandas(keys, ENTRIES)
+
+
+LAID = "id binary, owner string, n int, base int, around binary, starts binary, head binary, tail binary, grams array<struct<gram:int,places:array<int>>>"
+
 
+def _laid(rows: DataFrame, longest: int, sizes: list[int], threshold: float) -> DataFrame:
+    """Texts with the places of each of their grams, in chunks with as much text around as a pattern needs.
 
-def _merge(exact: Column, fuzzy: Column, names: Column) -> Column:
-    """Exact matches with their counts and fuzzy ones counted once, in dictionary order."""
-    whole = F.transform(
-        exact, lambda m: F.struct(m["ord"].alias("ord"), m["pattern"].alias("pattern"), m["n"].alias("n"), F.lit(True).alias("exact"))
+    A text that is no longer than the longest pattern also has its own pieces, to be sought in patterns.
+    """
+    reach = longest + changes(longest, threshold, True) + 1
+    edge = max(longest - 1, 1)
+
+    def chunk(identity: bytes, concept: str, compact: bytes, marks: bytes, first: int) -> tuple:
+        base = max(first - reach, 0)
+        around = compact[base : first + CHUNK + reach]
+        codes = [_codes(compact[first : first + CHUNK + size - 1], size) for size in sizes]
+        code = np.concatenate(codes)
+        place = np.concatenate([np.arange(first, first + len(c)) for c in codes]).astype(np.int32)
+        order = np.argsort(code, kind="stable")
+        code, place = code[order], place[order]
+        begins = np.flatnonzero(np.diff(code, prepend=-1))
+        grams, counts = code[begins], np.diff(begins, append=len(code))
+        if first == 0 and len(compact) <= longest:
+            own = {_key(gram) for cut_off in (False, True) for _, gram in pieces(compact, threshold, cut_off)}
+            grams = np.concatenate([grams, SWAPPED_STEP + np.array(sorted(own), np.int32)])
+            counts, place = np.concatenate([counts, np.ones(len(own), np.int64)]), np.concatenate([place, np.zeros(len(own), np.int32)])
+        head, tail = (compact[:edge], compact[-edge:]) if first == 0 else (None, None)
+        if first and first + CHUNK >= len(compact):
+            tail = compact[-edge:]
+        return identity, concept, len(compact), base, around, marks[base : base + len(around) + 1], head, tail, grams, counts, place
+
+    def lists(counts: list[int], values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for identity, concept, normal in zip(*[batch.column(c).to_pylist() for c in ("id", "owner", "normal")]):
+                compact, marks = _spelled(normal or "")
+                for first in range(0, len(compact), CHUNK):
+                    out.append(chunk(identity, concept, compact, marks, first))
+                    if len(out) >= 256:
+                        yield table(out)
+                        out = []
+            if out:
+                yield table(out)
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        plain = [list(c) for c in zip(*[row[:8] for row in out])]
+        grams, counts, places = (np.concatenate([row[i] for row in out]) for i in (8, 9, 10))
+        gram = pa.StructArray.from_arrays([pa.array(grams.astype(np.int32)), lists(counts, pa.array(places.astype(np.int32)))], ["gram", "places"])
+        types = [pa.binary(), pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        columns = [pa.array(values, kind) for values, kind in zip(plain, types)]
+        return pa.RecordBatch.from_arrays([*columns, lists([len(row[8]) for row in out], gram)], [column.split()[0] for column in LAID.split(", ")])
+
+    return rows.mapInArrow(lay, LAID)
+
+
+def _found(rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """(id, fuzzy_matches) of the texts (id, owner, normal) that have some; ``owner`` is the concept."""
+    entries = _pattern_keys(table, threshold)
+    size = F.when(F.col("kind") != SWAPPED, F.floor(F.col("key") / SIZE_STEP) + 1).cast("int")
+    longest, chars, sizes = entries.agg(F.max("m"), F.sum(F.when(F.col("kind") == WORDS, F.col("m"))), F.collect_set(size)).first()
+    if not longest:
+        return rows.select("id", F.array().cast(FUZZY).alias("fuzzy_matches")).limit(0)
+    entries = F.broadcast(entries) if chars <= BROADCAST_CHARS else entries
+    kind, m, n, at, piece = (F.col(c) for c in ("kind", "m", "n", "at", "piece"))
+    texts = _laid(rows, longest, sorted(sizes), threshold).select("*", F.explode("grams").alias("g"))
+    texts = texts.select("id", "owner", "n", "base", "around", "starts", "head", "tail", "g.*")
+    fits = F.when(kind == WORDS, F.lit(True)).when(kind == SWAPPED, n <= m).otherwise(m <= n)
+    met = texts.join(entries, (F.col("owner") == F.col("concept")) & (F.col("gram") == F.col("key")) & fits)
+    # What is cut off is compared as a whole: whether a piece is near enough to an end is all that its places tell.
+    most = F.floor((2 * m - 1) * ((100 - threshold) / 100) + 1e-9)
+    front, back = F.get("places", F.lit(0)) - piece <= most, n - m - (F.element_at("places", -1) - piece) <= most
+    met = met.select("*", front.alias("front"), back.alias("back")).where((kind != EDGE) | F.col("front") | F.col("back"))
+    met = met.select("*", F.explode(F.when(kind == EDGE, F.slice("places", 1, 1)).otherwise(F.col("places"))).alias("at")).drop("places")
+    start, front, back = at - piece, F.col("front"), F.col("back")
+    slack = F.floor(m * ((100 - threshold) / 100) + 1e-9).cast("int")
+    begin = F.greatest(start - slack, F.lit(0))
+    window = F.substring(F.col("around"), begin - F.col("base") + 1, start + slack + m - begin)
+    # Whole words: the same letters, and words begin at the same places.
+    same = (F.substring(F.col("around"), start - F.col("base") + 1, m) == F.col("compact")) & (
+        F.substring(F.col("starts"), start - F.col("base") + 1, m + 1) == F.col("marks")
     )
-    known = F.transform(exact, lambda m: m["ord"])
-    near = F.transform(
-        F.filter(names, lambda e: F.array_contains(fuzzy, e["ord"]) & ~F.array_contains(known, e["ord"])),
-        lambda e: F.struct(
-            e["ord"].alias("ord"), e["pattern"].alias("pattern"), F.lit(1).alias("n"), F.lit(False).alias("exact")
-        ),
+    # A window and what may stand around it differ from the pattern in no more than this; most meetings end here.
+    aside = F.octet_length(window) - m + 2 * slack
+    near = F.call_function("levenshtein", F.col("compact").cast("string"), window.cast("string"), aside.cast("int")) >= 0
+    possible = F.when(kind == WORDS, same).when(kind == INSIDE, near).otherwise(F.lit(True))
+    text = F.when(kind == INSIDE, window).when((kind == EDGE) & front, F.substring(F.col("head"), F.lit(1), m - 1)).when(kind == SWAPPED, F.col("compact"))
+    needle = F.when(kind == SWAPPED, F.col("head")).when(kind != WORDS, F.col("compact"))
+    end = F.when((kind == EDGE) & back, F.col("tail"))
+
+    @F.pandas_udf(T.BooleanType())
+    def check(ways: pd.Series, needles: pd.Series, texts: pd.Series, ends: pd.Series) -> pd.Series:
+        values = [[b"" if v is None else bytes(v) for v in column] for column in (needles, texts, ends)]
+        return pd.Series(reached(ways.tolist(), *values, threshold))
+
+    likely = met.where(possible).select("id", "ord", "pattern", "m", "kind", "at", needle.alias("needle"), text.alias("text"), end.alias("end"))
+    hits = likely.where((kind == WORDS) | check("kind", "needle", "text", "end"))
+    # Whole words are counted without overlap; a match by similarity counts once.
+    at = F.collect_set(F.when(kind == WORDS, F.col("at")))
+    counted = hits.groupBy("id", "ord", "pattern", "m").agg(F.sort_array(at).alias("places"))
+    step = F.aggregate(
+        "places",
+        F.struct(F.lit(0).alias("free"), F.lit(0).alias("n")),
+        lambda acc, at: F.when(at >= acc["free"], F.struct((at + F.col("m")).alias("free"), (acc["n"] + 1).alias("n"))).otherwise(acc),
     )
-    return F.sort_array(F.concat(whole, near)).cast(FUZZY)
+    exact = F.size("places") > 0
+    one = F.struct("ord", "pattern", F.when(exact, step["n"]).otherwise(1).alias("n"), exact.alias("exact"))
+    return counted.groupBy("id").agg(F.sort_array(F.collect_list(one)).cast(FUZZY).alias("fuzzy_matches"))
 
 
 def with_fuzzy_matches(
     df: DataFrame,
     patterns: DataFrame,
     text: str,
-    key: str,
+    key: str | None = None,
     concept: str | None = None,
     threshold: float = THRESHOLD,
-    max_patterns: int = MAX_LITERAL_PATTERNS,
 ) -> DataFrame:
-    """Add ``fuzzy_matches``; ``ord`` must be unique within a concept.
+    """Add ``fuzzy_matches``: the patterns found with their counts, by whole words (``exact``) or else by similarity.
 
-    Within the size bound the dictionary rides along with the code. Beyond it, the patterns
-    of a concept are packed into bounded slices and joined to the texts by concept.
+    ``ord`` must be unique within a concept. One route serves dictionaries and texts of any size; rows are identified by
+    their text and concept, so that null and repeated keys, which ``key`` may hold, don't matter. A null text has no
+    matches, and a null concept meets no pattern. Patterns with fewer than 4 letters and digits match as whole words only.
     """
-    table = normalized_entries(patterns)
-    rows = small_dictionary(table, max_patterns)
-    own = F.col(concept) if concept else F.lit("")
-    if rows is not None:
-        slim = [{k: v for k, v in r.items() if k != "compact"} for r in rows]
-        probed = _probe(df, rows, threshold, text, concept)
-        exact = probed.withColumn(
-            "__exact", literal_matches(F.col("__normal"), slim, own if concept else None)
-        )
-        names = F.from_json(
-            F.lit(json.dumps([{k: r[k] for k in ("concept", "ord", "pattern")} for r in rows], ensure_ascii=False)),
-            "array<struct<concept:string,ord:int,pattern:string>>",
-        )
-        mine = F.filter(names, lambda e: e["concept"] == own) if concept else names
-        return exact.withColumn("fuzzy_matches", _merge(F.col("__exact"), F.col("__fuzzy"), mine)).drop(
-            "__normal", "__exact", "__fuzzy"
-        )
-
-    normal = df.withColumn("__normal", normalize(F.col(text)))
-    compact = F.replace(F.col("__normal"), F.lit(" "), F.lit(""))
-    exact = matching.add_matches(normal, table.drop("compact"), "__normal", concept).withColumn(
-        "__concept", own
-    )
-    packed = (
-        table.withColumn("__slice", F.floor(F.col("ord") / SLICE))
-        .groupBy(F.col("concept").alias("__concept"), "__slice")
-        .agg(F.collect_list(F.struct("ord", "compact")).alias("__pack"))
-    )
-    found = (
-        exact.select(key, "__concept", compact.alias("__compact"), F.transform("matches", lambda m: m["ord"]).alias("__skip"))
-        .join(packed, "__concept")
-        .select(key, "__concept", F.explode(_fuzzy_packed(threshold)(F.col("__compact"), F.col("__skip"), F.col("__pack"))).alias("ord"))
-        .join(table.select(F.col("concept").alias("__concept"), "ord", "pattern"), ["__concept", "ord"])
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("ord", "pattern")).alias("__names"))
-    )
-    empty = F.array().cast("array<struct<ord:int,pattern:string>>")
-    merged = exact.join(found, key, "left").withColumn("__names", F.coalesce("__names", empty))
-    return merged.withColumn(
-        "fuzzy_matches",
-        _merge(F.col("matches"), F.transform("__names", lambda e: e["ord"]), F.col("__names")),
-    ).drop("__normal", "__concept", "__names", "matches")
+    if not 60 <= threshold <= 100:
+        raise ValueError(f"threshold must be between 60 and 100, got {threshold}")
+    own = F.col(concept).cast("string") if concept else F.lit("")
+    keyed = df.withColumn("__id", digest(F.col(text), own))
+    rows = keyed.select(F.col("__id").alias("id"), own.alias("owner"), normalize(F.col(text)).alias("normal"))
+    found = _found(rows, normalized_entries(patterns), threshold).withColumnRenamed("id", "__id")
+    matches = F.coalesce("fuzzy_matches", F.array().cast(FUZZY))
+    return keyed.join(found, "__id", "left").withColumn("fuzzy_matches", matches).select(*df.columns, "fuzzy_matches")
 
 
 def fuzzy_count(matches: Column) -> Column:

@@ -72,16 +72,16 @@ def fuzzy_reward(
     """Normalized and approximate leakage, scored by presence or by density."""
     if mode not in ("binary", "length_aware"):
         raise ValueError(f"mode must be 'binary' or 'length_aware', got {mode!r}")
-    found = fuzzy.with_fuzzy_matches(df, patterns, completion, key, concept)
-    matches = F.col("fuzzy_matches")
+    # Counted before the texts are matched, so that they need not travel any further.
+    counted = df.withColumn(f"{prefix}_word_count", F.coalesce(word_count(F.col(completion)), F.lit(0)))
+    found = fuzzy.with_fuzzy_matches(counted, patterns, completion, key, concept)
+    matches, words = F.col("fuzzy_matches"), F.col(f"{prefix}_word_count")
     distinct, occurrences = F.size(matches).cast("bigint"), fuzzy.fuzzy_count(matches)
-    words = F.coalesce(word_count(F.col(completion)), F.lit(0))
     return found.withColumns(
         {
             f"{prefix}_reward": matching.forgetting_score(mode, distinct, occurrences, words, min_words, length_alpha),
             f"{prefix}_entities": matching.entity_names(matches, mode == "length_aware"),
             f"{prefix}_entity_count": occurrences if mode == "length_aware" else distinct,
-            f"{prefix}_word_count": words,
         }
     ).drop("fuzzy_matches")
 

@@ -12,13 +12,6 @@ from lethe.plans.registry import Tables
 from lethe.session import spread
 
 
-def phrases(t: Tables) -> DataFrame:
-    """Dictionary: the first two words of each benchmark item."""
-    w = F.split("text", f"[{BLANK}]+")
-    phrase = F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1)))
-    return t.benchmark.groupBy(phrase.alias("pattern")).agg(F.min("item_id").alias("ord"))
-
-
 def word_pairs(t: Tables) -> DataFrame:
     """Dictionary: every distinct pair of neighboring words of the benchmark items, whole texts."""
     w = t.benchmark.select("item_id", F.split("text", f"[{BLANK}]+").alias("w"))
@@ -61,6 +54,90 @@ per_doc as (
 """
 
 
+def concept_phrases(t: Tables) -> DataFrame:
+    """Dictionary (concept, split, ord, pattern): each benchmark item is a concept, its whole text cut into phrases of
+    one, two and three words in turn; single words are the soft split."""
+    w = t.benchmark.select(F.col("item_id").cast("string").alias("concept"), F.split("text", f"[{BLANK}]+").alias("w"))
+    at = w.select("concept", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    size = F.when(F.col("i") % 6 == 0, 1).when(F.col("i") % 6 == 1, 2).when(F.col("i") % 6 == 3, 3)
+    phrase = F.array_join(F.slice("w", F.col("i") + 1, size), " ")
+    runs = at.where(size.isNotNull()).groupBy("concept", phrase.alias("pattern")).agg(F.min("i").alias("ord"))
+    split = F.when(F.contains("pattern", F.lit(" ")), "hard").otherwise("soft")
+    return runs.select("concept", split.alias("split"), "ord", "pattern")
+
+
+def concept_texts(t: Tables, *columns: str) -> DataFrame:
+    """All documents as completions about a concept each, the concepts dealt out in turn."""
+    items = t.benchmark.agg(F.count(F.lit(1))).scalar()
+    return t.texts("doc_id", *columns).withColumn("concept", F.pmod(F.col("doc_id"), items).cast("string"))
+
+
+NORMAL_SQL = r"""trim(regexp_replace(strip_accents(replace(lower({}), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"""
+_LETTERS_SQL = "'abcdefghijklmnopqrstuvwxyz0123456789'"
+# Bit i of a letter's mask marks the i-th letter of the needle; unset bits of the state count the common ones.
+_COMMON_SQL = """list_reduce(list_prepend(ones, {}), lambda a, x:
+  ((a + (a & masks[x::int])) | (a - (a & masks[x::int]))) & ones)"""
+NEAR_SQL = rf"""
+phr as (
+  select item_id::varchar as concept, array_to_string(w[i + 1:i + size], ' ') as pattern, min(i) as ord
+  from (select *, case i % 6 when 0 then 1 when 1 then 2 when 3 then 3 end as size
+        from (select item_id, w, unnest(range(0, len(w))) as i
+              from (select item_id, string_split_regex(text, '\s+') as w from benchmark)))
+  where size is not null group by 1, 2),
+p as (
+  select *, ' ' || replace(normal, ' ', '  ') || ' ' as needle, replace(normal, ' ', '') as c, length(replace(normal, ' ', ''))::int as m
+  from (select *, {NORMAL_SQL.format('pattern')} as normal from phr) where normal <> ''),
+d as (
+  select *, ' ' || replace(normal, ' ', '  ') || ' ' as t, replace(normal, ' ', '') as c, length(replace(normal, ' ', ''))::int as n
+  from (select doc_id, lang, source, (doc_id % (select count(*) from benchmark))::varchar as concept,
+               len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) as words, text, {NORMAL_SQL.format('text')} as normal from documents)),
+met as materialized (
+  select doc_id, concept, ord, pattern, p.c as pc, d.c as dc, m, n, contains(t, needle) as exact, contains(d.c, p.c) as held,
+         (length(t) - length(replace(t, needle, ''))) // length(needle) as times
+  from d join p using (concept)),
+open as (select * from met where not exact and not held and m >= 4 and n > 0),
+-- The shorter one is the needle; both are where they are of one length.
+roles as materialized (
+  select doc_id, concept, ord, 'text' as longer, pc as needle, dc as hay, m as k, n as h from open where m <= n
+  union all
+  select doc_id, concept, ord, 'pattern', dc, pc, n, m from open where n <= m),
+spelled as materialized (
+  select *, (1::hugeint << k) - 1 as ones, (15 * k) // 100 as slack,
+         list_transform(string_split({_LETTERS_SQL}, ''), lambda l: list_sum(list_transform(range(0, k),
+           lambda i: case when needle[i + 1] = l then 1::hugeint << i::int else 0::hugeint end))::hugeint) as masks
+  from roles),
+-- A window that may miss some letters and hold as many others has one of twice as many pieces and one more verbatim.
+pieces as (
+  select doc_id, ord, k, slack, o, substr(needle, o + 1, least(z - o, 3)) as key
+  from (select *, (i * k) // (2 * slack + 1) as o, ((i + 1) * k) // (2 * slack + 1) as z
+        from (select *, unnest(range(0, 2 * slack + 1)) as i from spelled where longer = 'text' and slack > 0))),
+grams as (
+  select doc_id, pos, substr(c, pos + 1, g) as key
+  from (select doc_id, c, n, g, unnest(range(0, n - g + 1)) as pos from d, (values (2), (3)) x(g))),
+starts as (
+  select distinct doc_id, ord, pos - o - slack + unnest(range(0, 2 * slack + 1)) as s from pieces join grams using (doc_id, key)),
+windows as (
+  select doc_id, ord, ones, masks, k, substr(hay, s::int + 1, k) as part
+  from starts join spelled using (doc_id, ord) where longer = 'text' and s between 0 and h - k
+  union all
+  select doc_id, ord, ones, masks, k, substr(hay, s::int + 1, k)
+  from (select *, unnest(range(0, h - k + 1)) as s from spelled where longer = 'pattern')
+  union all
+  -- What is cut off by either end; shorter parts can't be similar enough.
+  select doc_id, ord, ones, masks, k, unnest([substr(hay, 1, w::int), right(hay, w::int)])
+  from (select *, unnest(range((85 * k + 114) // 115, k)) as w from spelled)),
+scored as (
+  select doc_id, ord, k, length(part) as w,
+         k - bit_count({_COMMON_SQL.format(f"list_transform(string_split(part, ''), lambda x: strpos({_LETTERS_SQL}, x)::hugeint)")}) as common
+  from (select distinct * from windows)),
+close as (select distinct doc_id, ord from scored where 200 * common >= 85 * (k + w)),
+near as (
+  select doc_id, ord, pattern, case when exact then times else 1 end as n, exact
+  from met b where exact or (held and m >= 4) or exists (select 1 from close c where c.doc_id = b.doc_id and c.ord = b.ord)),
+near_doc as (select d.doc_id, d.words, coalesce(sum(near.n), 0) as occ from d left join near using (doc_id) group by all)
+"""
+
+
 def completions(t: Tables) -> DataFrame:
     """User turns with the assistant turn that follows."""
     user = spread(t.conversations).where(F.col("role") == "user").select(

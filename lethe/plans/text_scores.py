@@ -23,11 +23,14 @@ from lethe.plans.standins import (
     COMPLETIONS_SQL,
     JUDGMENTS_SQL,
     LADDER_SQL,
+    MARKED,
+    NEAR_SQL,
     PAIRS_SQL,
     ROUND2,
     completions,
+    concept_phrases,
+    concept_texts,
     judgments,
-    phrases,
     word_pairs,
 )
 
@@ -414,49 +417,69 @@ def fuzzy_normalize(t: Tables) -> DataFrame:
     return t.texts("doc_id", "text").select("doc_id", F.md5(fuzzy.normalize(F.col("text"))).alias("normal"))
 
 
-@query("fuzzy_matches")
+@query("fuzzy_matches", f"with {NEAR_SQL} select doc_id, pattern, n::bigint as occurrences, exact from near")
 def fuzzy_matches(t: Tables) -> DataFrame:
-    found = fuzzy.with_fuzzy_matches(t.texts("doc_id", "text"), phrases(t), "text", "doc_id")
+    """Each text against the dictionary of its own concept."""
+    found = fuzzy.with_fuzzy_matches(concept_texts(t, "text"), concept_phrases(t), "text", "doc_id", "concept")
     return matching.match_rows(found, ["doc_id"], "fuzzy_matches").select(
         "doc_id", "pattern", F.col("n").cast("bigint").alias("occurrences"), "exact"
     )
 
 
-NORMAL_SQL = r"""trim(regexp_replace(regexp_replace(strip_accents(replace(lower({}), 'ß', 'ss')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
-
-
-@query(
-    "fuzzy_exact_matches",
-    f"""with phr as (
-          select concat(w[1], ' ', w[2]) as pattern from (select string_split_regex(text, '\\s+') as w from benchmark) group by 1),
-        p as (select pattern, ' ' || replace({NORMAL_SQL.format('pattern')}, ' ', '  ') || ' ' as needle from phr),
-        d as (select doc_id, ' ' || replace({NORMAL_SQL.format('text')}, ' ', '  ') || ' ' as t from documents)
-        select doc_id, pattern, ((length(t) - length(replace(t, needle, ''))) / length(needle))::bigint as occurrences
-        from d join p on contains(t, needle)""",
-)
+@query("fuzzy_exact_matches", f"with {NEAR_SQL} select doc_id, pattern, times::bigint as occurrences from met where exact")
 def fuzzy_exact_matches(t: Tables) -> DataFrame:
     """The matches of the normalized texts that need no approximation."""
-    found = fuzzy.with_fuzzy_matches(t.texts("doc_id", "text"), phrases(t), "text", "doc_id")
+    found = fuzzy.with_fuzzy_matches(concept_texts(t, "text"), concept_phrases(t), "text", "doc_id", "concept")
     rows = matching.match_rows(found, ["doc_id"], "fuzzy_matches")
     return rows.where("exact").select("doc_id", "pattern", F.col("n").cast("bigint").alias("occurrences"))
 
 
-@query("reward_r3")
+@query(
+    "reward_r3",
+    f"""with {NEAR_SQL}
+        select doc_id, occ::bigint as fuzzy_length_aware_entity_count, words::bigint as fuzzy_length_aware_word_count,
+               round(exp(-20.0::double * occ / greatest(words, 50)) + 2.7182818e-9, 6) as reward
+        from near_doc""",
+)
 def reward_r3(t: Tables) -> DataFrame:
-    scored = rewards.reward(
-        "r3", t.texts("doc_id", "text"), patterns=phrases(t), completion="text", key="doc_id"
-    )
+    rows = concept_texts(t, "text")
+    scored = rewards.reward("r3", rows, patterns=concept_phrases(t), completion="text", key="doc_id", concept="concept")
     return scored.select(
         "doc_id", "fuzzy_length_aware_entity_count", "fuzzy_length_aware_word_count", r6("reward").alias("reward")
     )
 
 
-@query("leak_report")
+@query(
+    "leak_report",
+    rf"""with {NEAR_SQL},
+        rx as (
+          select concept, pt, case when ends_with(pt, chr(2)) then null else pt || chr(1) end as inside,
+                 case when starts_with(pt, chr(1)) then null else chr(2) || pt end as behind
+          from (select concept, {MARKED.format('pattern')} as pt from phr)),
+        marked as (select doc_id, concept, {MARKED.format('text')} as mt from documents join d using (doc_id, text)),
+        found as (
+          select distinct doc_id from marked join rx using (concept)
+          where contains(mt, pt) and length(mt) - length(replace(mt, pt, '')) >
+            length(pt) * (coalesce((length(mt) - length(replace(mt, inside, ''))) // length(inside), 0)
+                          + coalesce((length(mt) - length(replace(mt, behind, ''))) // length(behind), 0))),
+        flags as (
+          select lang, source, (f.doc_id is not null)::int as e, (occ > 0)::int as c
+          from d join near_doc using (doc_id) left join found f using (doc_id)),
+        runs as (
+          select lang, source, count(*) as total, sum(e) as e, sum(c) as c, sum(c * (1 - e)) as o from flags group by 1, 2),
+        rolled as (
+          select lang, source, total, e, c, o, null::double as dev from runs
+          union all
+          select lang, 'all', sum(total), sum(e), sum(c), sum(o), stddev_samp(o / total) from runs group by 1)
+        select lang, source, total::bigint as total_rows, e::bigint as exact_entity_rows, c::bigint as near_target_rows,
+               o::bigint as near_without_exact_rows, round(o / total + 2.7182818e-9, 6) as near_without_exact_rate,
+               round(dev + 2.7182818e-9, 6) as near_without_exact_rate_std
+        from rolled""",
+)
 def leak_report(t: Tables) -> DataFrame:
-    rows = t.texts("doc_id", "lang", "source", "text")
-    dictionary = phrases(t)
-    exact = matching.with_matches(rows, dictionary, "text", "doc_id").withColumn("exact_count", F.size("matches")).drop("matches")
-    near = fuzzy.with_fuzzy_matches(exact, dictionary, "text", "doc_id").withColumn("near_count", F.size("fuzzy_matches"))
+    rows, dictionary = concept_texts(t, "lang", "source", "text"), concept_phrases(t)
+    exact = matching.with_matches(rows, dictionary, "text", "doc_id", "concept").withColumn("exact_count", F.size("matches")).drop("matches")
+    near = fuzzy.with_fuzzy_matches(exact, dictionary, "text", "doc_id", "concept").withColumn("near_count", F.size("fuzzy_matches"))
     table = report.leak_report(near, "lang", "source")
     rates = ["near_without_exact_rate", "near_without_exact_rate_std"]
     return table.withColumns({c: r6(c) for c in rates})

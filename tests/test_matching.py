@@ -186,22 +186,66 @@ def noisy(rnd, pattern):
 
 def test_similarity_against_brute_force():
     rnd = random.Random(7)
-    for _ in range(60):
-        patterns = [(i, "".join(rnd.choices("abcd", k=rnd.randint(4, 26) if i else 70))) for i in range(6)]
-        texts = [noisy(rnd, rnd.choice(patterns)[1]) for _ in range(20)]
-        for t, got in zip(texts, fuzzy._hits(texts, patterns, 85.0)):
-            want = [o for o, p in patterns if brute(p, t)]
-            assert got == want
-            assert [o for o, p in patterns if fuzzy.similar(p, t)] == want
+    for _ in range(12):
+        patterns = ["".join(rnd.choices("abcd", k=rnd.randint(4, 26) if i else 70)) for i in range(6)]
+        for text in [noisy(rnd, rnd.choice(patterns)) for _ in range(20)]:
+            for pattern in patterns:
+                assert fuzzy.similar(pattern, text) == brute(pattern, text)
+
+
+def python_matches(text, patterns):
+    """Every pattern against the whole text, the plain way."""
+    normal = fuzzy._folded(text) or ""
+    found = []
+    for pattern, order in patterns:
+        wanted = fuzzy._folded(pattern)
+        n = len(re.findall(rf"(?<!\w){wanted}(?!\w)", normal)) if wanted else 0
+        compact = wanted.replace(" ", "")
+        if n or (len(compact) >= fuzzy.MIN_COMPACT_LENGTH and brute(compact, normal.replace(" ", ""))):
+            found.append((order, pattern, max(n, 1), n > 0))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("threshold_chars", [fuzzy.BROADCAST_CHARS, 0])
+def test_join_against_brute_force(spark, monkeypatch, threshold_chars):
+    monkeypatch.setattr(fuzzy, "BROADCAST_CHARS", threshold_chars)
+    monkeypatch.setattr(fuzzy, "CHUNK", 16)
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdé", k=rnd.randint(1, 7))) for _ in range(30)]
+    patterns = list(dict.fromkeys(" ".join(rnd.choices(words, k=rnd.choice([1, 1, 2, 3, 5]))) for _ in range(40)))
+    patterns = [(p, i) for i, p in enumerate([*patterns, "ab ab", "a a", "--", "x" * 70, "ab"])]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 30))) for _ in range(25)]
+    # Near copies of patterns, short texts (shorter than most patterns), repeats, marks and long texts.
+    texts += [noisy(rnd, rnd.choice(patterns)[0]) for _ in range(80)]
+    texts += ["", None, " . ", "a", "ab", "b!", "a a a a a", "ab ab ab", "x" * 68, "x" * 200, "É a B", "y" * 500 + "x" * 65]
+    rows = [(None if i % 5 == 0 else i % 7, t) for i, t in enumerate(texts)] + [(1, "ab ab a"), (1, "ab ab a"), (None, "ab ab a")]
+    found = fuzzy.with_fuzzy_matches(
+        spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame(patterns, "pattern string, ord int"), "text", "id"
+    )
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().toString()
+    got = [(r.id, r.text, [tuple(m) for m in r.fuzzy_matches]) for r in found.collect()]
+    assert len(got) == len(rows)
+    for _, text, matches in got:
+        assert matches == python_matches(text, patterns), text
+    assert sorted((str(i), str(t)) for i, t, _ in got) == sorted((str(i), str(t)) for i, t in rows)
+
+
+def test_join_without_texts_or_patterns(spark, patterns):
+    none = spark.createDataFrame([], "id int, text string")
+    assert fuzzy.with_fuzzy_matches(none, patterns, "text").count() == 0
+    rows = spark.createDataFrame([(1, "Carrie")], "id int, text string")
+    assert fuzzy.with_fuzzy_matches(rows, patterns.limit(0), "text").first().fuzzy_matches == []
+    with pytest.raises(ValueError, match="threshold"):
+        fuzzy.with_fuzzy_matches(rows, patterns, "text", threshold=20.0)
 
 
-@pytest.mark.parametrize("limit", [100, 1])
-def test_fuzzy_matches(spark, patterns, limit):
+def test_fuzzy_matches(spark, patterns):
     rows = spark.createDataFrame(
         [(1, "Stephan King wrote CARRIE, carrie it scared me."), (2, "Kingston has a kitten."), (3, "It's the shinning"), (4, "")],
         "id int, text string",
     )
-    out = fuzzy.with_fuzzy_matches(rows, patterns, "text", "id", max_patterns=limit)
+    out = fuzzy.with_fuzzy_matches(rows, patterns, "text", "id")
     got = {r.id: [(m.pattern, m.n, m.exact) for m in r.fuzzy_matches] for r in out.collect()}
     assert got == {
         1: [("Stephen King", 1, False), ("Carrie", 2, True), ("It", 1, True)],
@@ -211,12 +255,13 @@ def test_fuzzy_matches(spark, patterns, limit):
     }
 
 
-@pytest.mark.parametrize("limit", [100, 1])
-def test_fuzzy_by_concept(spark, limit):
+def test_fuzzy_by_concept(spark):
     patterns = spark.createDataFrame([("a", "Carrie", 0), ("b", "Annie Wilkes", 0)], "concept string, pattern string, ord int")
-    rows = spark.createDataFrame([(1, "a", "carri annie wilkes"), (2, "b", "carri annie wilks"), (3, "c", "carrie")], "id int, concept string, text string")
-    out = fuzzy.with_fuzzy_matches(rows, patterns, "text", "id", "concept", max_patterns=limit)
-    assert {r.id: [m.pattern for m in r.fuzzy_matches] for r in out.collect()} == {1: ["Carrie"], 2: ["Annie Wilkes"], 3: []}
+    rows = spark.createDataFrame(
+        [(1, "a", "carri annie wilkes"), (2, "b", "carri annie wilks"), (3, "c", "carrie"), (4, None, "carrie")], "id int, concept string, text string"
+    )
+    out = fuzzy.with_fuzzy_matches(rows, patterns, "text", "id", "concept")
+    assert {r.id: [m.pattern for m in r.fuzzy_matches] for r in out.collect()} == {1: ["Carrie"], 2: ["Annie Wilkes"], 3: [], 4: []}
 
 
 def test_fuzzy_rewards(spark, patterns):
