@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lethe.functions import ordered
+from lethe.functions import ordered, selection
 from lethe.functions.text import digest, is_nonblank, question
 
 SPLITS = ("grpo/train", "grpo/test", "sft/train", "sft/test")
@@ -78,8 +79,10 @@ def select_max(
 ) -> DataFrame:
     """At most ``limit`` rows (per group): the first by ``identity``, or a seeded sample.
 
-    Rows are counted per group and bucket of the order; only the buckets that the limit reaches are ranked. A null
-    group is a group. ``identity`` may have any type; it is taken as unique.
+    The limit is turned into a key per group by counting prefixes of keys (``selection``), and rows are compared with it
+    where they are. With very many groups, rows are counted per group and bucket of the order instead, and only the
+    buckets that the limit reaches are ranked. A null group is a group. ``identity`` may have any type; it is taken as
+    unique.
     """
     if limit is None:
         return df
@@ -87,6 +90,11 @@ def select_max(
         raise ValueError("limit must be positive or None")
     if strategy not in ("first", "random"):
         raise ValueError("strategy must be 'first' or 'random'")
+    key = ordered.seeded_order(seed, F.col(identity)) if strategy == "random" else selection.sort_key(df, identity)
+    cuts = selection.cut_keys(df, by, key, lambda total: [int(limit)])
+    if cuts is not None:
+        placed = selection.with_place(df, by, key, cuts, "__place")
+        return placed.where(F.col("__place") == 0).select(*df.columns)
     if strategy == "random":
         keyed = df.withColumn("__order", ordered.seeded_order(seed, F.col(identity)))
         order, bucket = ["__order", identity], ordered.seeded_bucket(F.col("__order"))
@@ -119,9 +127,29 @@ def seeded_splits(
 ) -> DataFrame:
     """Add ``split`` with exact sizes per group: test first, then the SFT share of the rest.
 
-    The order is a hash of the seed and the row identity, so the result does not depend on
-    how the data is partitioned.
+    The order is a hash of the seed and the row identity, so the result does not depend on how the data is partitioned.
+    Rows are compared with the keys at which a group is cut; they are not sorted, and with few groups not moved. Rows that
+    share an identity stay together.
     """
+    share = sft_train + sft_test
+
+    def sizes(total: int) -> list[int]:
+        n_test = math.ceil(grpo_test * total) if isinstance(grpo_test, float) else min(grpo_test, total)
+        n_sft = math.ceil(share * (total - n_test))
+        n_sft_test = math.ceil(sft_test / share * n_sft)
+        return [n_test, n_test + n_sft_test, n_test + n_sft]
+
+    key = ordered.seeded_order(seed, F.col(identity))
+    cuts = selection.cut_keys(df, by, key, sizes)
+    if cuts is None:
+        return _ranked_splits(df, by, identity, seed, grpo_test, sft_train, sft_test)
+    parts = F.lit(["grpo/test", "sft/test", "sft/train", "grpo/train"])
+    placed = selection.with_place(df, by, key, cuts, "__place")
+    return placed.withColumn("split", F.get(parts, F.col("__place").cast("int"))).drop("__place")
+
+
+def _ranked_splits(df: DataFrame, by: Sequence[str], identity: str, seed: int, grpo_test: float | int, sft_train: float, sft_test: float) -> DataFrame:
+    """seeded_splits() for very many groups: rows are ranked in buckets of the order."""
     ranked = _shuffled(df, by, identity, seed, "__total")
     share = sft_train + sft_test
     n_test = _size(grpo_test, F.col("__total"))
@@ -139,18 +167,20 @@ def seeded_splits(
 
 
 def contiguous_shard(df: DataFrame, count: int, position: str, name: str = "shard") -> DataFrame:
-    """Number of the contiguous shard each row falls in; early shards are one row longer."""
+    """Number of the contiguous shard each row falls in; early shards are one row longer.
+
+    ``position`` may have any type and any gaps; rows that share one stay together. Rows are not moved.
+    """
     if count < 1:
         raise ValueError("shard count must be at least 1")
-    ranked = ordered.row_index(df, [], [position], ordered.identity_bucket(df, position), "__rank", "__total")
-    base = F.floor(F.col("__total") / count).cast("bigint")
-    extra = F.col("__total") % count
-    rank = F.col("__rank")
-    long_rows = extra * (base + 1)
-    shard = F.when(rank < long_rows, F.floor(rank / (base + 1))).otherwise(
-        extra + F.floor((rank - long_rows) / F.greatest(base, F.lit(1)))
-    )
-    return ranked.withColumn(name, shard.cast("bigint")).drop("__rank", "__total")
+
+    def starts(total: int) -> list[int]:
+        base, extra = divmod(total, count)
+        return [i * base + min(i, extra) for i in range(1, count)]
+
+    key = selection.sort_key(df, position)
+    cuts = selection.cut_keys(df, [], key, starts)
+    return selection.with_place(df, [], key, cuts, name)
 
 
 def take_shard(df: DataFrame, index: int, count: int, position: str) -> DataFrame:

@@ -1,9 +1,12 @@
+import datetime
+import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lethe.functions import names, ordered
+from lethe.functions import names, ordered, selection
 from lethe.operators import prepare
 
 
@@ -146,3 +149,58 @@ def test_sparse_ids_share_buckets(spark):
     assert all(x.b < y.a for x, y in zip(rows, rows[1:]))
     few = ids.select(ordered.identity_bucket(ids, "pos", 16).alias("b")).distinct().count()
     assert few <= 17
+
+
+def ranked(values):
+    return sorted(values, key=lambda v: (v is not None, v if v is not None else 0))
+
+
+@pytest.mark.parametrize(
+    "kind,values",
+    [
+        ("long", [*range(-300, 300), 2**62, -(2**62), None]),
+        ("string", [f"doc-{i:08}" for i in range(500)] + ["", "doc-0", "doc-00000000a", "é", "z" * 40, None]),
+        ("timestamp", [datetime.datetime(1950, 1, 1) + datetime.timedelta(hours=7 * i) for i in range(200)] + [None]),
+        ("double", [i / 7 - 30 for i in range(400)] + [1e9, -1e9, None]),
+    ],
+)
+def test_selection_of_any_keys(spark, monkeypatch, kind, values):
+    random.Random(3).shuffle(values)
+    df = spark.createDataFrame([(v, "text " * 3) for v in values], f"pos {kind}, text string").repartition(5)
+    shards = prepare.contiguous_shard(df, 6, "pos")
+    assert "Exchange hashpartitioning" not in shards._jdf.queryExecution().toString() and "Sort" not in shards._jdf.queryExecution().toString()
+    base, extra = divmod(len(values), 6)
+    wanted = {v: s for v, s in zip(ranked(values), [i for i in range(6) for _ in range(base + (i < extra))])}
+    assert {r.pos: r.shard for r in shards.collect()} == wanted
+    got = prepare.select_max(df, 9, "pos").collect()
+    assert ranked([r.pos for r in got]) == ranked(values)[:9]
+
+
+@pytest.mark.parametrize("most", [2_000, 0])
+def test_both_ways_split_alike(spark, monkeypatch, most):
+    rows = [(i, None if i % 7 == 0 else f"g{i % 3}" if i % 2 else "hot") for i in range(900)]
+    df = spark.createDataFrame(rows, "pos long, g string").repartition(4)
+    monkeypatch.setattr(selection, "MAX_GROUPS", most)
+    order = lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest()
+    wanted = {}
+    for g in {g for _, g in rows}:
+        ids = sorted((i for i, own in rows if own == g), key=order)
+        n_test = math.ceil(0.2 * len(ids))
+        n_sft = math.ceil((0.1 + 0.05) * (len(ids) - n_test))
+        n_sft_test = math.ceil(0.05 / (0.1 + 0.05) * n_sft)
+        names = ["grpo/test"] * n_test + ["sft/test"] * n_sft_test + ["sft/train"] * (n_sft - n_sft_test)
+        wanted |= dict(zip(ids, names + ["grpo/train"] * len(ids)))
+    got = prepare.seeded_splits(df, ["g"], "pos", 5, 0.2, 0.1, 0.05)
+    assert {r.pos: r.split for r in got.collect()} == wanted
+    sample = prepare.select_max(df, 11, "pos", "random", 5, ["g"]).collect()
+    assert sorted(r.pos for r in sample) == sorted(i for g in {g for _, g in rows} for i in sorted((i for i, own in rows if own == g), key=order)[:11])
+
+
+def test_selection_of_nothing_and_of_ties(spark):
+    none = spark.createDataFrame([], "pos long, g string")
+    assert prepare.contiguous_shard(none, 3, "pos").count() == 0
+    assert prepare.seeded_splits(none, ["g"], "pos", 5, 0.2, 0.1, 0.05).count() == 0
+    assert prepare.select_max(none, 3, "pos", by=["g"]).count() == 0
+    tied = spark.createDataFrame([(i // 10, "g") for i in range(40)], "pos long, g string")
+    assert sorted(r.shard for r in prepare.contiguous_shard(tied, 4, "pos").collect()) == [0] * 10 + [1] * 10 + [2] * 10 + [3] * 10
+    assert prepare.select_max(tied, 15, "pos").count() == 10
