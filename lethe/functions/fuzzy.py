@@ -394,42 +394,59 @@ def _recall(prediction: str | None, reference: str | None) -> float | None:
     return _lcs_words(prediction.split(), wanted) / len(wanted) if wanted else 0.0
 
 
-def _recall_by_sentence(prediction: str | None, reference: str | None) -> float | None:
-    """Variant that splits sentences on '.', and credits each distinct reference word once."""
-    if prediction is None or reference is None:
-        return None
-    guesses = [s.split() for s in prediction.split(".") if s.split()]
-    wanted = [s.split() for s in reference.split(".") if s.split()]
-    total = len({w for s in wanted for w in s})
-    covered: set[str] = set()
-    for sentence in wanted:
-        for guess in guesses:
-            covered.update(_common_words(sentence, guess))
-    return len(covered) / total if total else 0.0
+def _sentences(text: str) -> list[list[str]]:
+    """Sentences end at full stops; one of blanks alone has one empty word."""
+    return [" ".join(part.split()).split(" ") for part in text.split(".") if part]
 
 
 def _common_words(left: list[str], right: list[str]) -> set[str]:
-    """Words of one longest common subsequence."""
-    lengths = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, a in enumerate(left, 1):
-        for j, b in enumerate(right, 1):
-            lengths[i][j] = lengths[i - 1][j - 1] + 1 if a == b else max(lengths[i - 1][j], lengths[i][j - 1])
+    """Words of one longest common subsequence: read from the ends, ties drop a word of the right side.
+
+    A state of ``len(left)`` bits per word of the right side is the whole table: unset bits below a place count the common
+    words up to there.
+    """
+    places: dict[str, int] = {}
+    for i, word in enumerate(left):
+        places[word] = places.get(word, 0) | (1 << i)
+    full = (1 << len(left)) - 1
+    states = [full]
+    for word in right:
+        state = states[-1]
+        hit = state & places.get(word, 0)
+        states.append(((state + hit) | (state - hit)) & full)
     found, i, j = set(), len(left), len(right)
     while i and j:
         if left[i - 1] == right[j - 1]:
             found.add(left[i - 1])
             i, j = i - 1, j - 1
-        elif lengths[i - 1][j] >= lengths[i][j - 1]:
+            continue
+        below = (1 << i) - 1
+        # Shorter on the left without loss, and not shorter on the right without loss.
+        if states[j] >> (i - 1) & 1 and (states[j] & below).bit_count() < (states[j - 1] & below).bit_count():
             i -= 1
         else:
             j -= 1
     return found
 
 
-def lcs_recall(prediction: Column, reference: Column, by_sentence: bool = False) -> Column:
-    """Share of the reference words in the longest common subsequence with the prediction.
+def _recall_by_sentence(prediction: str | None, reference: str | None) -> float | None:
+    """Share of the distinct reference words that some pair of sentences has in a longest common subsequence."""
+    if prediction is None or reference is None:
+        return None
+    guesses, wanted = _sentences(prediction), _sentences(reference)
+    total = len({word for sentence in wanted for word in sentence})
+    covered: set[str] = set()
+    for sentence in wanted:
+        for guess in guesses:
+            covered |= _common_words(sentence, guess)
+    return len(covered) / total if total else 0.0
+
+
+def lcs_recall(prediction: Column, reference: Column, by_sentence: bool = True) -> Column:
+    """Share of the reference words in longest common subsequences with the prediction.
 
-    An empty prediction counts as NOANSWER.
+    By sentence (the usual summary-level recall) distinct words are counted, over all pairs of sentences; otherwise the
+    words of both texts are one sequence. An empty prediction counts as NOANSWER, an empty reference has recall 0.
     """
     score = _recall_by_sentence if by_sentence else _recall
 

@@ -14,8 +14,6 @@ BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # string.punctuation as ranges.
 ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]"
-# One word, or one punctuation mark, per token.
-ENTROPY_TOKEN = rf"{WORD}+|[^{BLANK}\p{{L}}\p{{N}}_]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -220,8 +218,65 @@ def fluency(text: Column) -> Column:
     )
 
 
+# Abbreviations after which a full stop ends no sentence. They stand in for a trained model of them.
+ABBREVIATIONS = ["dr", "mr", "mrs", "ms", "prof", "st", "jr", "sr", "vs", "etc", "inc", "e.g", "i.e", "gen", "col", "gov", "sen", "rev"]
+# The public Treebank rules for words, in their order, as pattern and replacement. A line is a sentence.
+TREEBANK = [
+    # Quotes that open.
+    ("([«“‘„]|`+)", " $1 "),
+    ('(?m)^"', "``"),
+    ("(``)", " $1 "),
+    ("([ (\\[{<])(\"|'{2})", "$1 `` "),
+    (f"(?i)(')(?!re|ve|ll|m|t|s|d|n)({WORD})(?!{WORD})", "$1 $2"),
+    # Marks; the full stop only at the end of the sentence.
+    ("(?m)([^.])(\\.)([\\])}>\"'»”’ ]*) *$", "$1 $2 $3 "),
+    ("([:,])([^\\p{Nd}\n])", " $1 $2"),
+    ("(?m)([:,])$", " $1 "),
+    ("(\\.{2,})", " $1 "),
+    ("([;@#$%&])", " $1 "),
+    ("(?m)([^.])(\\.)([\\])}>\"']*) *$", "$1 $2$3 "),
+    ("([?!])", " $1 "),
+    ("([^'])' ", "$1 ' "),
+    ("([*])", " $1 "),
+    # Brackets and dashes.
+    ("([\\]\\[(){}<>])", " $1 "),
+    ("--", " -- "),
+    ("(?m)^(.*)$", " $1 "),
+    # Quotes that close, and what hangs on a word.
+    ("([»”’])", " $1 "),
+    ("''", " '' "),
+    ('"', " '' "),
+    (" +", " "),
+    ("([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
+    ("([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    # Words that were drawn together.
+    *[(f"(?i)(?<!{WORD})({a})({b})(?!{WORD})", " $1 $2 ") for a, b in [("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("more", "'n")]],
+    ("(?i)(?<!%s)(wan)(na)(?=\\s)" % WORD, " $1 $2 "),
+    *[(f"(?i) ('t)({b})(?!{WORD})", " $1 $2 ") for b in ("is", "was")],
+]
+CLOSING = "[\"')\\]}»”’]*"
+
+
+def sentence_lines(text: Column) -> Column:
+    """The text with a line for each sentence and single spaces in between.
+
+    A sentence ends at a mark (. ? !) that white space follows, not after an abbreviation or a single capital, and after
+    several full stops only where no small letter follows.
+    """
+    flat = strip(F.regexp_replace(text, f"[{BLANK}]+", " "))
+    lines = F.regexp_replace(flat, f"([.?!]{CLOSING}) ", "$1\n")
+    listed = "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS)
+    lines = F.regexp_replace(lines, f"(?i)(?<![^ \n(\"'])((?:{listed})\\.)\n", "$1 ")
+    lines = F.regexp_replace(lines, "(?<![^ \n(\"'])([A-Z]\\.)\n", "$1 ")
+    return F.regexp_replace(lines, f"(\\.\\.{CLOSING})\n(?=[a-z])", "$1 ")
+
+
 def entropy_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({ENTROPY_TOKEN})"), F.lit(1))
+    """Words of the text by the Treebank rules, sentence by sentence."""
+    ruled = sentence_lines(text)
+    for pattern, replacement in TREEBANK:
+        ruled = F.regexp_replace(ruled, F.lit(pattern), F.lit(replacement))
+    return F.regexp_extract_all(ruled, F.lit("([^ \n]+)"), F.lit(1))
 
 
 def py_round(value: Column, digits: int) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lethe.functions import fuzzy, matching, scores
 from lethe.functions.text import (
+    ABBREVIATIONS,
+    TREEBANK,
     best_token_f1,
     exact_match,
     fluency,
@@ -361,8 +363,54 @@ def best_alias_f1(t: Tables) -> DataFrame:
     return completions(t).select("id", r6(best_token_f1(F.col("completion"), aliases)).alias("f1"))
 
 
-ENTROPY_SQL = r"""
-tok as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') t from documents),
+_END = r"([^\p{L}\p{N}_]|$)"
+_START = r"(^|[^\p{L}\p{N}_])"
+_CLOSING = "[\"')\\]}»”’]*"
+# The rules for words without looking ahead or behind: the character there is taken along and put back.
+TREEBANK_SQL = [
+    (r"\s+", " "),
+    (rf"([.?!]{_CLOSING}) ", "\\1\n"),
+    ("(?i)(^|[ \n(\"'])((?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + ")\\.)\n", r"\1\2 "),
+    ("(^|[ \n(\"'])([A-Z]\\.)\n", r"\1\2 "),
+    (f"(\\.\\.{_CLOSING})\n([a-z])", r"\1 \2"),
+    (r"([«“‘„]|`+)", r" \1 "),
+    ('(?m)^"', "``"),
+    (r"(``)", r" \1 "),
+    ("([ (\\[{<])(\"|'{2})", r"\1 `` "),
+    (r"(?i)(')([a-ce-lo-ru-z0-9_])" + _END, r"\1 \2\3"),
+    ("(?m)([^.])(\\.)([\\])}>\"'»”’ ]*) *$", r"\1 \2 \3 "),
+    ("([:,])([^\\d\n])", r" \1 \2"),
+    (r"(?m)([:,])$", r" \1 "),
+    (r"(\.{2,})", r" \1 "),
+    (r"([;@#$%&])", r" \1 "),
+    ("(?m)([^.])(\\.)([\\])}>\"']*) *$", r"\1 \2\3 "),
+    (r"([?!])", r" \1 "),
+    (r"([^'])' ", r"\1 ' "),
+    (r"([*])", r" \1 "),
+    (r"([\]\[(){}<>])", r" \1 "),
+    ("--", " -- "),
+    (r"(?m)^(.*)$", r" \1 "),
+    (r"([»”’])", r" \1 "),
+    ("''", " '' "),
+    ('"', " '' "),
+    (" +", " "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+    *[(f"(?i){_START}({a})({b}){_END}", r"\1 \2 \3 \4") for a, b in [("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("more", "'n")]],
+    (rf"(?i){_START}(wan)(na)(\s)", r"\1 \2 \3 \4"),
+    *[(f"(?i) ('t)({b}){_END}", r" \1 \2 \3") for b in ("is", "was")],
+]
+
+
+def _ruled_sql(value: str) -> str:
+    for i, (pattern, replacement) in enumerate(TREEBANK_SQL):
+        value = "regexp_replace({}, '{}', '{}', 'g')".format(value, pattern.replace("'", "''"), replacement.replace("'", "''"))
+        value = f"trim({value})" if i == 0 else value
+    return value
+
+
+ENTROPY_SQL = rf"""
+tok as (select doc_id, regexp_extract_all({_ruled_sql('text')}, '[^ \n]+') as t from documents),
 n2 as (select doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) g from tok),
 n3 as (select doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) g from tok),
 c2 as (select doc_id, g, count(*) c from n2 group by all),
@@ -485,20 +533,41 @@ def leak_report(t: Tables) -> DataFrame:
     return table.withColumns({c: r6(c) for c in rates})
 
 
-# Bit i of a word's mask marks the i-th reference word; unset bits of the state count the match.
+# Every pair of sentences: bit i of a word's mask marks the i-th reference word, unset bits of the state after a word count
+# the common words so far. Places (i, j) are then followed from the ends to the beginnings.
 LCS_SQL = f"""
 {COMPLETIONS_SQL},
-w as (select id, string_split_regex(trim(completion), '\\s+') p, string_split_regex(trim(prompt), '\\s+') r from pairs),
-k as (select id, len(r) as n, (1::hugeint << len(r)) - 1 as ones,
-             list_transform(p, lambda x: coalesce(list_sum(list_transform(range(1, len(r) + 1),
-               lambda i: case when r[i] = x then 1::hugeint << (i - 1)::int else 0::hugeint end)), 0)::hugeint) as masks from w),
-s as (select id, n, list_reduce(list_prepend(ones, masks), lambda a, m: ((a + (a & m)) | (a - (a & m))) & ones) as state from k)
+sentences as (
+  select id, side, row_number() over () as s, string_split(trim(regexp_replace(x, '\\s+', ' ', 'g')), ' ') as w
+  from (select id, 'r' as side, unnest(string_split(prompt, '.')) as x from pairs
+        union all select id, 'p', unnest(string_split(completion, '.')) from pairs) where x <> ''),
+both_sides as materialized (
+  select r.id, r.s as rs, p.s as ps, r.w as r, p.w as p, len(r.w)::int as n, len(p.w)::int as m, (1::hugeint << len(r.w)::int) - 1 as ones
+  from sentences r join sentences p using (id) where r.side = 'r' and p.side = 'p'),
+states as (
+  select rs, ps, 0 as j, ones as state, p, r, n, m, ones from both_sides
+  union all
+  select rs, ps, j, ((state + (state & mask)) | (state - (state & mask))) & ones, p, r, n, m, ones
+  from (select rs, ps, j + 1 as j, state, p, r, n, m, ones,
+               coalesce(list_sum(list_transform(range(1, n + 1), lambda i: case when r[i] = p[j + 1] then 1::hugeint << (i - 1)::int else 0::hugeint end)), 0)::hugeint as mask
+        from states where j < m)),
+steps as materialized (
+  select a.rs, a.ps, a.j, a.state, b.state as earlier from states a join states b on b.rs = a.rs and b.ps = a.ps and b.j = a.j - 1),
+walk as (
+  select id, rs, ps, r, p, n as i, m as j, null::varchar as word from both_sides
+  union all
+  select id, rs, ps, r, p, case when same or up then i - 1 else i end, case when same or not up then j - 1 else j end, case when same then r[i] end
+  from (select w.id, w.rs, w.ps, w.r, w.p, w.i, w.j, w.r[w.i] = w.p[w.j] as same,
+               ((s.state >> (w.i - 1)) & 1) = 1 and bit_count(s.state & ((1::hugeint << w.i) - 1)) < bit_count(s.earlier & ((1::hugeint << w.i) - 1)) as up
+        from walk w join steps s on s.rs = w.rs and s.ps = w.ps and s.j = w.j where w.i > 0 and w.j > 0)),
+covered as (select id, count(distinct word) as c from walk group by 1),
+totals as (select id, count(distinct x) as t from (select id, unnest(w) as x from sentences where side = 'r') group by 1)
 """
 
 
 @query(
     "lcs_recall",
-    f"with {LCS_SQL} select id, round((n - bit_count(state)) / n::double + 2.7182818e-9, 6) as recall from s",
+    f"with recursive {LCS_SQL} select id, round(coalesce(c, 0) / t::double + 2.7182818e-9, 6) as recall from totals left join covered using (id)",
 )
 def lcs_recall(t: Tables) -> DataFrame:
     return completions(t).select("id", r6(fuzzy.lcs_recall(F.col("completion"), F.col("prompt"))).alias("recall"))

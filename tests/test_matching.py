@@ -274,9 +274,36 @@ def test_fuzzy_rewards(spark, patterns):
         rewards.fuzzy_reward(rows, patterns, "text", mode="entity_count")
 
 
+def table_words(x, y):
+    """Words of a longest common subsequence by the full table, read from the ends."""
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x, 1):
+        for j, b in enumerate(y, 1):
+            table[i][j] = table[i - 1][j - 1] + 1 if a == b else max(table[i - 1][j], table[i][j - 1])
+    found, i, j = set(), len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            found.add(x[i - 1])
+            i, j = i - 1, j - 1
+        elif table[i - 1][j] > table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
+def test_common_words_follow_the_full_table():
+    rnd = random.Random(2)
+    for _ in range(400):
+        x, y = (rnd.choices("abcde"[: rnd.randint(1, 5)], k=rnd.randint(0, 90)) for _ in range(2))
+        assert fuzzy._common_words(x, y) == table_words(x, y)
+
+
 def test_lcs_recall(spark):
-    df = spark.createDataFrame([("a b c d", "a c e"), ("", "noanswer x"), ("x", ""), ("p q. r s", "q p. s r")], "p string, r string")
+    rows = [("a b c d", "a c e"), ("", "noanswer x"), ("x", ""), ("p q. r s", "q p. s r"), ("b a", "a. b"), ("a  b .", "a b. "), (None, "a")]
+    df = spark.createDataFrame(rows, "p string, r string")
+    whole = [r[0] for r in df.select(fuzzy.lcs_recall(F.col("p"), F.col("r"), by_sentence=False)).collect()]
+    assert whole[:4] == [pytest.approx(2 / 3), 0.0, 0.0, pytest.approx(0.25)]
     got = [r[0] for r in df.select(fuzzy.lcs_recall(F.col("p"), F.col("r"))).collect()]
-    assert got == [pytest.approx(2 / 3), 0.0, 0.0, pytest.approx(0.25)]
-    by_sentence = [r[0] for r in df.select(fuzzy.lcs_recall(F.col("p"), F.col("r"), True)).collect()]
-    assert by_sentence[0] == pytest.approx(2 / 3) and by_sentence[3] == pytest.approx(0.5)
+    # Words found in either pair of sentences count; a sentence of blanks is one empty word.
+    assert got == [pytest.approx(2 / 3), 0.0, 0.0, pytest.approx(0.5), 1.0, pytest.approx(2 / 3), None]

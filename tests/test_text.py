@@ -82,6 +82,28 @@ def test_entropy_matches_python(spark):
         assert r.h == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Good muffins cost $3.88\nin New York.  Please buy me\ntwo of them.\nThanks.", "Good muffins cost $ 3.88 in New York . Please buy me two of them . Thanks ."),
+        ("They'll save and invest more.", "They 'll save and invest more ."),
+        ("hi, my name can't hello,", "hi , my name ca n't hello ,"),
+        ('"Hello," she said. "Why?"', "`` Hello , '' she said . `` Why ? ''"),
+        ("I cannot go (now) -- really?! I wanna.", "I can not go ( now ) -- really ? ! I wan na ."),
+        ("Dr. Smith left. He's J. K. Lane, i.e. me... so what... Yes", "Dr. Smith left . He 's J. K. Lane , i.e. me ... so what ... Yes"),
+        ("'Tis a: b, c; 10:30 1,000 50% [x] {y} <z> a*b", "'T is a : b , c ; 10:30 1,000 50 % [ x ] { y } < z > a * b"),
+        ("«Oui», dit-il. ‘no’ “yes” ``x''", "« Oui » , dit-il . ‘ no ’ “ yes ” `` x ''"),
+        ("the dogs' tails. I've said I'd. n't", "the dogs ' tails . I 've said I 'd . n't"),
+        ("one.two three.", "one.two three ."),
+        ("", ""),
+        ("  \t\n ", ""),
+        (".", "."),
+    ],
+)
+def test_entropy_tokens_golden(spark, text, want):
+    assert rows(spark, [(text,)], "t string").select(X.entropy_tokens(F.col("t"))).first()[0] == want.split()
+
+
 def test_question(spark):
     df = rows(spark, [("Who? Why?",), ("No mark",), ("?",), ("",)], "t string")
     assert [r[0] for r in df.select(X.question(F.col("t"))).collect()] == ["Who?", "No mark?", "?", "?"]
