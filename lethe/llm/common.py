@@ -57,15 +57,18 @@ def ranged(df: DataFrame, order: Sequence[str], name: str = "ranged") -> DataFra
     return stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), name)
 
 
-def totals_before(table: DataFrame, order: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+def totals_before(table: DataFrame, order: Sequence[str], totals: dict[str, Column], sums: DataFrame | None = None) -> DataFrame:
     """Add, for each total, the sum over all rows before the row in ``order``; ``table`` has ``__part`` of ranged().
 
+    ``sums`` may be a cheaper table with the same totals by part.
+
     A window runs inside a part, and one row per part carries the sums forward. Only those part rows (as many as
     shuffle partitions) meet in one task. Rows that tie in ``order`` must be interchangeable.
     """
     columns = [c for c in table.columns if c != "__part" and c not in totals]
     table = table.withColumns({f"__v_{k}": v for k, v in totals.items()})
-    parts = table.groupBy("__part").agg(*[F.sum(f"__v_{k}").alias(f"__s_{k}") for k in totals])
+    sums = table if sums is None else sums.withColumns({f"__v_{k}": v for k, v in totals.items()})
+    parts = sums.groupBy("__part").agg(*[F.sum(f"__v_{k}").alias(f"__s_{k}") for k in totals])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("__part", *[F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__s_{k}") for k in totals])
     inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

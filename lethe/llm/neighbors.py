@@ -127,15 +127,16 @@ def _clean(df: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
-    return rows.where(finite & F.exists("v", lambda x: x != 0.0))
+    # One vector per id: repeated rows are one candidate, and one query.
+    return rows.where(finite & F.exists("v", lambda x: x != 0.0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def nearest(embeddings: DataFrame, every: int = 20, k: int = NEIGHBORS, key: str = "vec_id", vector: str = "embedding", seed: int = 0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part; neither do null ids, nor
-    vectors of another length than the most frequent one. Ties go to the smaller id. Other columns are ignored. Ids are
-    taken as unique; equal vectors are separate candidates.
+    vectors of another length than the most frequent one. Ties go to the smaller id. Other columns are ignored. A repeated
+    id counts once, with its smallest vector; equal vectors of different ids are separate candidates.
     """
     spark = embeddings.sparkSession
     rows = _clean(embeddings, key, vector).withColumn("__size", F.size("v"))

@@ -97,7 +97,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0),
         lambda a, b: a + b,
     )
-    marks = ".,;:!?\"'()\n"
+    marks = ".,;:!?\"'()\t\n\x0b\x0c\r"
     bare = F.split(F.lower(F.translate(value, marks, " " * len(marks))), " ", -1)
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     measures = {

@@ -81,7 +81,7 @@ def op7_stable_projections(spark: SparkSession, folder: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = tokenfile.write_tokens(_table(spark, folder, "documents"), BYTE_VOCABULARY)
     read = tokenfile.read_tokens(files).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    rows = totals_before(read, ["doc_id", "n_tokens", "ids_crc32"], {"start": F.col("n_tokens")})
+    rows = totals_before(read, ["doc_id", "n_tokens", "ids_crc32"], {"start": F.col("n_tokens")}, sums=files)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -131,7 +131,7 @@ m as (
   select doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
          (length(text) - length(translate(text, '{quality.SYMBOLS}', '')))::bigint as n_symbols,
          (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, len(ls) as n_lines,
-         len(list_filter(string_split(lower(translate(text, '.,;:!?"''()' || chr(10), '           ')), ' '),
+         len(list_filter(string_split(lower(translate(text, '.,;:!?"''()' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), repeat(' ', 15))), ' '),
                          lambda w: w in ({_STOP}))) as n_stop,
          length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_capitals
   from d left join covered c using (doc_id))

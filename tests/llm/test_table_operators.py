@@ -53,7 +53,7 @@ def test_running_totals(spark):
 def test_pieces_encode_like_whole_texts(path):
     encoder, library = Encoder(path, memo=50), Tokenizer.from_file(path)
     chooser = random.Random(8)
-    texts = ODD + ["".join(chooser.choice("abEéß .,!\n'1- ́") for _ in range(40)) for _ in range(800)]
+    texts = ODD + ["".join(chooser.choice("abEéßstSllreÿ×ªŒ#$45 .,!\n'1- ́") for _ in range(40)) for _ in range(800)]
     for text in texts:
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids, repr(text)
@@ -301,6 +301,19 @@ def test_neighbors_of_few(spark):
     assert neighbors.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_vectors_are_one_candidate_and_one_query(spark):
+    draws = np.random.default_rng(5).standard_normal((60, 4)).tolist()
+    rows = [(i, v) for i, v in enumerate(draws)] + [(0, draws[0])] * 3 + [(7, draws[7])] * 25 + [(40, draws[40])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = neighbors.nearest(df).collect()
+    once = neighbors.nearest(spark.createDataFrame(rows[:60], "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, once))
+    lists = {}
+    for r in found:
+        lists.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(lists) == [0, 20, 40] and all(len(set(ids)) == 20 for ids in lists.values())
+
+
 def test_chi_square():
     assert neighbors.chi_square(neighbors.chi_square_bound(0.9)) == pytest.approx(0.9)
     draws = (np.random.default_rng(1).standard_normal((20_000, neighbors.DIMENSIONS)) ** 2).sum(axis=1)
@@ -312,6 +325,17 @@ def test_chi_square():
 FOLDER = "/root/testdata/sf0.001"
 
 
+def test_line_stage_keeps_columns_of_any_name(spark):
+    run = "one two three four five six seven eight nine ten"
+    rows = [(1, f"a\n{run}\nb", "d1", 5, "x.y"), (2, f"{run}\nc", "d2", 6, "x.y"), (3, run, "d3", 7, None), (None, None, None, 8, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, deleted string, n_lines int, `a.b` string")
+    got = sorted(map(tuple, corpus_pipeline.drop_lines(spark, table, "").collect()), key=str)
+    assert got == sorted([rows[0], (2, "c", "d2", 6, "x.y"), rows[3]], key=str)
+    counted = table.withColumn("n_chars", F.lit(99))
+    assert {r.doc_id: r.n_chars for r in corpus_pipeline.drop_lines(spark, counted, "").collect()} == {1: len(rows[0][1]), 2: 1, None: None}
+    assert corpus_pipeline.drop_lines(spark, table.limit(0), "").columns == table.columns
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     before, seen = docs, []

@@ -57,6 +57,14 @@ def test_rules_name_what_fails(spark):
     assert rows[4].failed == ["enough_words"] and not rows[4].kept
 
 
+def test_words_end_at_any_white_space(spark):
+    texts = ["the\tcat\tof\tis", "the cat of is", "The.\rcat\x0bof\x0cis\nIS", None, "x"]
+    rows = quality.apply_rules(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r.n_stop_words for r in rows] == [3, 3, 4, 0, 0]
+    assert [(r.n_lines, r.n_capitals) for r in rows] == [(1, 0), (1, 0), (2, 3), (0, 0), (1, 0)]
+    assert quality.apply_rules(documents(spark, texts).limit(0)).count() == 0
+
+
 def test_a_rule_needs_a_bound():
     with pytest.raises(ValueError):
         quality.Rule("none", "n_words", "one").holds()
@@ -117,6 +125,13 @@ def test_hostile_texts_take_linear_time():
         pii.base_spans(text)
 
 
+def test_an_entity_in_every_document_discloses_nothing(spark):
+    texts = [f"{prose(20, i)} shared footer write to us at all@corp.example today {prose(9, 70 + i)}" for i in range(12)]
+    rows = pii.sanitize(documents(spark, texts)).collect()
+    assert all(len(r.base) == 1 and not r.terms for r in rows)
+    assert pii.sanitize(documents(spark, texts).limit(0)).count() == 0
+
+
 def test_terms_that_reveal_an_entity(spark):
     chooser = random.Random(1)
     texts = [prose(60, i) for i in range(200)]
