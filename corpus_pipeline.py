@@ -16,6 +16,9 @@ from lethe.llm.queries import WORD_VOCABULARY
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
+    """Bring n_chars, where there is such a column, up to date with the text."""
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -26,10 +29,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; those that lose all their words go."""
-    rows = lines.drop_copied_lines(docs)
+    """Documents without later copies of repeated line runs; those that lose all their words go.
+
+    Columns of any name go along untouched.
+    """
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("document")
+    plain = docs.select("doc_id", "text", others)
+    rows = lines.drop_copied_lines(plain)
     word = F.col("text").rlike(f"[^{SPACE[1:-1]}]")
-    return _with_length(rows.where((F.size("deleted") == 0) | word).select(*docs.columns))
+    kept = rows.where((F.size("deleted") == 0) | word)
+    return _with_length(kept.select(*["text" if c == "text" else f"document.`{c}`" for c in docs.columns]))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by a number that is stored with them, so that doc_id may be null or repeated. Texts without
     words are each a group of their own.
     """
-    document = F.struct(*docs.columns).alias("document")
+    document = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), document), "near-rows")
     plain = rows.select("row", F.col("document.doc_id").alias("doc_id"), F.col("document.text").alias("text"))
     classes = neardup.near_duplicates(plain, key="row").select("row", "component_id")
