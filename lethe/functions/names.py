@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,6 +262,10 @@ def first_present(df: DataFrame, names: Sequence[str]) -> Column:
     return F.coalesce(*present) if present else F.lit(None).cast("string")
 
 
+#: The fields of an object that hold its text, best first.
+PREFERRED = ("text", "answer", "content", "value")
+
+
 def plain_text(df_type: T.DataType, value: Column) -> Column:
     """Trimmed text of a typed value: lists are joined by a space, structs prefer the fields
     text, answer, content and value, blanks are left out."""
@@ -269,7 +275,7 @@ def plain_text(df_type: T.DataType, value: Column) -> Column:
         parts = F.transform(value, lambda v: plain_text(df_type.elementType, v))
         return F.coalesce(F.array_join(F.filter(parts, lambda p: p != ""), " "), F.lit(""))
     if isinstance(df_type, T.StructType):
-        for name in ("text", "answer", "content", "value"):
+        for name in PREFERRED:
             if name in df_type.fieldNames():
                 return plain_text(df_type[name].dataType, value[name])
         parts = F.array(*[plain_text(f.dataType, value[f.name]) for f in df_type.fields])
@@ -277,28 +283,32 @@ def plain_text(df_type: T.DataType, value: Column) -> Column:
     return F.coalesce(strip(value.cast("string")), F.lit(""))
 
 
-def variant_text(value: Column, depth: int = 2) -> Column:
-    """``plain_text`` of a VARIANT holding a text, a number, a list or an object."""
+def _flat(value: object) -> str:
+    if value is None:
+        return ""
+    if isinstance(value, dict):
+        preferred = next((value[n] for n in PREFERRED if n in value), None)
+        return _flat(preferred) if any(n in value for n in PREFERRED) else _flat(list(value.values()))
+    if isinstance(value, list):
+        return " ".join(text for text in map(_flat, value) if text).strip()
+    return str(value).strip()
+
+
+@F.pandas_udf(T.StringType())
+def _flat_json(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else _flat(json.loads(v)))
+
+
+def variant_text(value: Column) -> Column:
+    """``plain_text`` of a VARIANT holding a text, a number, or lists and objects of any depth.
+
+    Only lists and objects are unfolded in Python, value by value.
+    """
     text = F.coalesce(strip(F.try_variant_get(value, "$", "string")), F.lit(""))
-    if depth == 0:
-        return text
     kind = F.schema_of_variant(value)
-    items = F.try_variant_get(value, "$", "array<variant>")
-    listed = F.array_join(
-        F.filter(F.transform(items, lambda v: variant_text(v, depth - 1)), lambda p: p != ""), " "
-    )
-    preferred = F.coalesce(*[F.try_variant_get(value, f"$.{n}", "variant") for n in ("text", "answer", "content", "value")])
-    entries = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
-    rest = F.array_join(
-        F.filter(F.transform(entries, lambda v: variant_text(v, depth - 1)), lambda p: p != ""), " "
-    )
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), "")
-        .when(F.startswith(kind, F.lit("ARRAY")), listed)
-        .when(F.startswith(kind, F.lit("OBJECT")) & preferred.isNotNull(), variant_text(preferred, depth - 1))
-        .when(F.startswith(kind, F.lit("OBJECT")), rest)
-        .otherwise(text)
-    )
+    nested = F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT"))
+    unfolded = _flat_json(F.when(nested, F.to_json(value)))
+    return F.when(value.isNull() | F.is_variant_null(value), "").when(nested, unfolded).otherwise(text)
 
 
 def nested_text(value: Column, path: str, default: str = "") -> Column:

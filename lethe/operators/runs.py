@@ -199,6 +199,21 @@ def inventory_totals(inventory: DataFrame, by: Sequence[str], run_id: str = "run
     )
 
 
+def sampled_history(history: DataFrame, by: Sequence[str], step: str, samples: int = 500) -> DataFrame:
+    """At most ``samples`` points per run: every point of a short run, else points at even ranks, both ends included.
+
+    ``step`` is unique in a run. Rows are ranked in buckets of the step, so that a run that holds most rows is spread.
+    """
+    if samples < 2:
+        raise ValueError("a sample needs at least its two ends")
+    placed = ordered.row_index(history, by, [step], ordered.identity_bucket(history, step), "__i", "__n")
+    steps, last = samples - 1, F.col("__n") - 1
+    # The first of the even ranks that is not below the row's own must be its own.
+    even = F.floor((F.col("__i") * steps + last - 1) / last)
+    chosen = F.floor(even * last / steps) == F.col("__i")
+    return placed.where((F.col("__n") <= samples) | chosen).select(*history.columns)
+
+
 def metric_points(
     history: DataFrame, identity: Sequence[str], step: str, zero_std: str, metrics: dict[str, str]
 ) -> DataFrame:

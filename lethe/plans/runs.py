@@ -185,6 +185,18 @@ def history_long(t: Tables) -> DataFrame:
     return _points(t).withColumn("value", r6("value"))
 
 
+@query(
+    "history_sample",
+    """with h as (select event_type as run, event_id as step, value, row_number() over (partition by event_type order by event_id) - 1 as i,
+                      count(*) over (partition by event_type) as n from events)
+       select run, step, value from h where n <= 200 or ((i * 199 + n - 2) // (n - 1) * (n - 1)) // 199 = i""",
+)
+def history_sample(t: Tables) -> DataFrame:
+    """Two hundred points of each event type's values."""
+    history = t.events.select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value")
+    return runs.sampled_history(history, ["run"], "step", 200)
+
+
 CURVES_SQL = """
 cur as (select size, reward_type, metric, train_global_step, avg(value) as mean,
                stddev_samp(value) as std, count(distinct run_id) as n

@@ -193,3 +193,18 @@ def test_a_second_baseline_is_an_error_whatever_is_selected(spark):
     for column in ("k", "m_delta"):
         with pytest.raises(Exception, match="duplicate baseline"):
             report.baseline_deltas(trained, baseline, ["k"], ["m"]).select(column).collect()
+
+
+def test_sampled_history_keeps_both_ends(spark):
+    rows = [("hot", i * 3 - 5000, float(i)) for i in range(4000)] + [("few", i, 1.0) for i in range(7)] + [(None, i, 2.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "run string, step long, value double").repartition(4)
+    got = {}
+    for r in runs.sampled_history(df, ["run"], "step", 20).collect():
+        got.setdefault(r.run, []).append(r.step)
+    for run, n in (("hot", 4000), ("few", 7), (None, 40)):
+        steps = sorted(s for r, s, _ in rows if r == run)
+        want = steps if n <= 20 else [steps[b * (n - 1) // 19] for b in range(20)]
+        assert sorted(got[run]) == want
+    assert runs.sampled_history(df.limit(0), ["run"], "step", 20).count() == 0
+    with pytest.raises(ValueError):
+        runs.sampled_history(df, ["run"], "step", 1)

@@ -1,3 +1,4 @@
+import json
 import random
 import sys
 
@@ -276,3 +277,30 @@ def test_losses(spark):
         assert r.score == pytest.approx(sum(mine) / 3)
     with pytest.raises(ValueError):
         choices.choice_scores(df, ["d"], "c", "pos", "plen", "other")
+
+
+def test_values_of_any_depth(spark):
+    def flat(value):
+        if value is None:
+            return ""
+        if isinstance(value, dict):
+            named = [n for n in ("text", "answer", "content", "value") if n in value]
+            return flat(value[named[0]]) if named else flat(list(value.values()))
+        if isinstance(value, list):
+            return " ".join(t for t in (flat(v) for v in value) if t).strip()
+        return str(value).strip()
+
+    rnd = random.Random(9)
+
+    def grown(depth):
+        if depth == 0:
+            return rnd.choice([" deep text ", "", None, 7, 1.5, "ü"])
+        if rnd.random() < 0.5:
+            return [grown(depth - 1) for _ in range(rnd.randint(0, 3))]
+        keys = sorted(rnd.sample(["a", "b", "content", "text", "z"], rnd.randint(1, 3)))
+        return {k: grown(depth - 1) for k in keys}
+
+    values = [{"a": [{"b": {"c": "deep text"}}]}, [[[[[["x"]]]]]], *[grown(d) for d in range(7) for _ in range(12)]]
+    df = spark.createDataFrame([(json.dumps(v),) for v in values], "j string")
+    got = [r[0] for r in df.select(names.variant_text(F.parse_json("j"))).collect()]
+    assert got == [flat(v) for v in values]
