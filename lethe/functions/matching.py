@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lethe.functions import ordered
 from lethe.functions.text import DOTTED_I, WORD, digest, fold, let, ngrams, words
 
 # Sets characters that are no words apart from words.
 MARK = "\0"
+PATTERN_BUCKET = 100_000
 MATCHES = "array<struct<ord:int,pattern:string,n:int>>"
 REWARD_MODES = ("binary", "entity_count", "exponential", "length_aware")
 
@@ -46,16 +48,12 @@ def select_patterns(
     if unknown:
         raise ValueError(f"unknown pattern split(s) {unknown}; available: {sorted(known)}")
     rank = F.array_position(F.lit(wanted), F.col("split"))
-    return (
-        patterns.where((F.col("concept") == concept) & F.col("split").isin(wanted))
-        .groupBy("concept", "pattern")
-        .agg(F.min(F.struct(rank.alias("s"), F.col("ord").alias("o"))).alias("place"))
-        .select(
-            "concept",
-            "pattern",
-            (F.row_number().over(Window.partitionBy("concept").orderBy("place", "pattern")) - 1).alias("ord"),
-        )
-    )
+    named = patterns.where((F.col("concept") == concept) & F.col("split").isin(wanted)).groupBy("concept", "pattern")
+    placed = named.agg(F.min(F.struct(rank.alias("s"), F.col("ord").alias("o"))).alias("place")).select("concept", "pattern", "place.*")
+    # Numbered in buckets of split and order: a concept may have any number of patterns.
+    bucket = F.col("s").cast("bigint") * (1 << 40) + ordered.position_bucket(F.col("o"), PATTERN_BUCKET)
+    numbered = ordered.row_index(placed, ["concept"], ["s", "o", "pattern"], bucket, "ord")
+    return numbered.select("concept", "pattern", "ord")
 
 
 def marked(folded: Column) -> Column:

@@ -18,7 +18,8 @@ def word_pairs(t: Tables) -> DataFrame:
     at = F.sequence(F.lit(0), F.size("w") - 2)
     pairs = w.where(F.size("w") > 1).select("item_id", F.explode(at).alias("i"), "w")
     pattern = F.concat_ws(" ", F.get("w", F.col("i")), F.get("w", F.col("i") + 1))
-    return pairs.groupBy(pattern.alias("pattern")).agg(F.min(F.col("item_id") * 10_000 + F.col("i")).alias("ord"))
+    # The keys of the patterns cost far more than moving them.
+    return spread(pairs.groupBy(pattern.alias("pattern")).agg(F.min(F.col("item_id") * 10_000 + F.col("i")).alias("ord")))
 
 
 # Words are put between two marks, so that a pattern is whole words exactly where its marked form is found. A
@@ -221,7 +222,7 @@ def tokens_seen(log: DataFrame) -> DataFrame:
 
 def judgments(t: Tables) -> DataFrame:
     """Labels in the role of judge verdicts and classifier scores, one row per labeled document."""
-    d = t.documents.select("doc_id", "lang", "source", "n_chars", "text")
+    d = t.texts("doc_id", "lang", "source", "n_chars", "text")
     toxic, good = F.col("toxic") == 1, F.col("quality") == 1
     return t.labels.join(d, "doc_id").select(
         "doc_id", "lang", "source", "text",

@@ -1,5 +1,9 @@
 """Every registered query against its SQL on whole tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import compare
@@ -30,5 +34,13 @@ def test_entry(spark):
     assert df.count() > 0
 
 
+@pytest.mark.parametrize("missing", ["tokenizers", "public_tokenizers", "xxhash", "lethe.llm"])
+def test_other_queries_load_without(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries()))"
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, check=True).stdout
+    kept = [q for q in NAMES if q != "pipeline" and not (q.startswith("op") and q[2].isdigit())]
+    assert out.split() == [str(len(kept)), "False"]
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
