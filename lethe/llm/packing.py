@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lethe.llm.common import bounded_batches
-from lethe.llm.tokens import Encoder
+from lethe.llm.tokens import encoder
 
 WINDOW = 4096
 #: Open windows that a lane holds; beyond it they are joined and cut into full ones.
@@ -128,7 +128,7 @@ def pack(
     end = int(end_id).to_bytes(4, "little")
 
     def lane(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, packer = Encoder(tokenizer), Lane(window)
+        encode, packer = encoder(tokenizer).encode, Lane(window)
         first = TaskContext.get().partitionId() * LANE_IDS
         names = [f.name for f in schema]
 
@@ -144,7 +144,7 @@ def pack(
         for batch in bounded_batches(batches, "__text"):
             done = []
             for name, value in zip(batch["__key"], batch["__text"]):
-                ids = encoder.encode(value) + end
+                ids = encode(value) + end
                 done += packer.add((None if pd.isna(name) else name, len(ids) // 4), ids)
             if done:
                 yield frame(done)

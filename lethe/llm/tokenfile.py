@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe.llm.common import bounded_batches, stored
-from lethe.llm.tokens import Encoder
+from lethe.llm.tokens import encoder
 
 BLOCK = 64
 PERCENTILE = 90
@@ -54,7 +54,7 @@ def encode(documents: list[np.ndarray], percentile: int = PERCENTILE) -> list[by
     minima = rest.min(axis=1)
     rest -= minima[:, None]
     rank = -(-percentile * BLOCK // 100) - 1
-    widths = np.frexp(np.sort(rest, axis=1)[:, rank].astype(np.float64))[1].astype(np.int64)
+    widths = np.frexp(np.partition(rest, rank, axis=1)[:, rank].astype(np.float64))[1].astype(np.int64)
     over = rest > ((np.uint64(1) << widths.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     patched = over.sum(axis=1)
     block_of, places = np.nonzero(over)
@@ -162,9 +162,9 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 2, key: str
     end = np.array([end_id], np.uint32)
 
     def payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        ids_of = encoder(tokenizer).encode
         for batch in bounded_batches(batches, "__text"):
-            ids = [np.concatenate([np.frombuffer(encoder.encode(t), "<u4"), end]) for t in batch["__text"]]
+            ids = [np.concatenate([np.frombuffer(ids_of(t), "<u4"), end]) for t in batch["__text"]]
             yield pd.DataFrame({key: batch["__key"].to_numpy(), "n_tokens": [len(x) for x in ids], "payload": encode(ids)})
 
     plain = documents.select(documents[key].alias("__key"), documents[text].cast("string").alias("__text"))

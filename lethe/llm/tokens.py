@@ -15,13 +15,17 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Pieces remembered by one Python worker; beyond it the memo starts again.
-MEMO_PIECES = 600_000
+#: Pieces remembered by one Python worker: half of them new ones, half those of the round before, which are asked next.
+MEMO_PIECES = 900_000
 #: White space by any definition, but space and line feed.
 _SPACES = [9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
 _OTHER_SPACE = re.compile(f"[{''.join(map(chr, _SPACES))}]")
 _LETTERS = "A-Za-z" + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
-_PLAIN = re.compile(f"([{_LETTERS}]+)([.,!?;:]?)")
+_LATIN = re.compile(f"[!-~{_LETTERS}]+").fullmatch
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: How the two pre-tokenizers cut a piece of such characters into words of the model.
+_LOWERED_PARTS = re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+").findall
+_SPACED_PARTS = re.compile(f"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+").findall
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,11 +35,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-@lru_cache(maxsize=4)
-def _loaded(path: str) -> tuple[Tokenizer, dict]:
-    """A tokenizer file, read once by a worker that goes on to other tasks."""
-    with open(path, encoding="utf-8") as file:
-        return Tokenizer.from_file(path), json.load(file)
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file. A worker that goes on to other tasks keeps it, with the pieces it has seen."""
+    return Encoder(path)
 
 
 def _raw(ids: list[int]) -> bytes:
@@ -53,7 +56,9 @@ class Encoder(dict):
 
     def __init__(self, path: str, memo: int = MEMO_PIECES) -> None:
         super().__init__()
-        (self._library, spec), self._memo = _loaded(path), memo
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self._library, self._memo, self._before = Tokenizer.from_file(path), memo // 2, {}
         before, normalizer = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
         steps = [x["type"] for x in normalizer.get("normalizers", [])]
         splits = before.get("pretokenizers", [{}])
@@ -62,28 +67,40 @@ class Encoder(dict):
         letters = _byte_letters()
         self._letters = {b: letters[b] for b in range(256)}
         self._model = self._library.model
-        self._marks = {"": [], **{mark: self._tokens(mark) for mark in ".,!?;:"}}
+        self._bytes = [i.to_bytes(4, "little") for i in range(1 + max(self._library.get_vocab().values()))]
+        self._parts = _LOWERED_PARTS if self._lowered else _SPACED_PARTS
 
-    def _tokens(self, word: str) -> list[int]:
-        # Latin-1 characters stand for the bytes here, so that one translate() spells the whole word.
-        spelled = word.encode().decode("latin-1").translate(self._letters)
-        return [t.id for t in self._model.tokenize(spelled)]
+    def _tokens(self, word: str) -> bytes:
+        if word[0] == " " or not word.isascii():
+            # Latin-1 characters stand for the bytes here, so that one translate() spells the whole word.
+            word = word.encode().decode("latin-1").translate(self._letters)
+        return b"".join([self._bytes[t.id] for t in self._model.tokenize(word)])
 
     def _whole(self, text: str) -> bytes:
         return _raw(self._library.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, piece: str) -> bytes:
+    def _ids(self, piece: str) -> bytes:
         # A piece that begins its text carries a mark, since no space stands in front of it.
-        lead, piece_ = (" ", piece) if piece[:1] != FIRST else ("", piece[1:])
-        # Words of Latin letters need no normalizer: their bytes go straight to the library's model.
-        plain = _PLAIN.fullmatch(piece_)
-        if plain and self._lowered:
-            ids = _raw(self._tokens(plain[1].lower()) + self._marks[plain[2]])
-        elif plain:
-            ids = _raw(self._tokens(lead + plain[1]) + self._marks[plain[2]])
-        else:
-            ids = self._whole(piece_ if self._lowered or piece_[:1] == "\n" else lead + piece_)
+        first = piece[0] == FIRST
+        word = piece[1:] if first else piece
+        if not _LATIN(word):
+            return self._whole(word if first or self._lowered or word[0] == "\n" else " " + word)
+        # Latin letters, digits and ASCII signs need no normalizer but lower case. Parts are looked up by themselves.
+        if self._lowered:
+            word = word.lower()
+            parts = self._parts(word)
+            return self._tokens(word) if parts == [piece] else b"".join([self[x] for x in parts])
+        parts = self._parts(word if first else " " + word)
+        if len(parts) == 1:
+            return self._tokens(parts[0])
+        return b"".join([self[x[1:] if x[0] == " " else FIRST + x] for x in parts])
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._before.get(piece)
+        if ids is None:
+            ids = self._ids(piece)
         if len(self) >= self._memo:
+            self._before = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -98,6 +115,4 @@ class Encoder(dict):
             return b"".join(map(self.__getitem__, text.split()))
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return self._whole(text)
-        first, _, rest = text.replace("\n", " \n").partition(" ")
-        return self[FIRST + first] + (b"".join(map(self.__getitem__, rest.split(" "))) if rest else b"")
-
+        return b"".join(map(self.__getitem__, (FIRST + text.replace("\n", " \n")).split(" ")))
