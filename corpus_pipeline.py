@@ -77,7 +77,7 @@ STAGES = [
     ("mixing", mix),
     ("packing", pack),
 ]
-# Classifier, components and tokenizer have no SQL form; the stages are tested against brute force.
+# Classifier, components and tokenizer have no SQL form; tests compare their operators with plain versions.
 ORACLE_SQL = None
 
 
