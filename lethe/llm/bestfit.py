@@ -90,7 +90,7 @@ def pieces(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        for batch in bounded_batches(batches, "__text"):
+        for batch in bounded_batches(batches, "__text", holding=True):
             rows = []
             for name, value in zip(batch["__key"], batch["__text"]):
                 ids = encode(value) + end

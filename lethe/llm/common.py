@@ -82,8 +82,17 @@ def running_totals(df: DataFrame, order: Sequence[str], totals: dict[str, Column
     return totals_before(ranged(df, order), order, totals)
 
 
-def bounded_batches(batches: Iterable[pd.DataFrame], text: str = "text") -> Iterator[pd.DataFrame]:
-    """Cut batches so that each has at most BATCH_ROWS rows and, beyond its first row, BATCH_CHARS characters."""
+#: What a Python worker keeps from one task to the next one of its kind.
+HELD: dict = {}
+
+
+def bounded_batches(batches: Iterable[pd.DataFrame], text: str = "text", holding: bool = False) -> Iterator[pd.DataFrame]:
+    """Cut batches so that each has at most BATCH_ROWS rows and, beyond its first row, BATCH_CHARS characters.
+
+    Work that isn't ``holding`` lets go of what its worker has held for other tasks, so that idle memory is given back.
+    """
+    if not holding:
+        HELD.clear()
     for batch in batches:
         if not len(batch):
             continue

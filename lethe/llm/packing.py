@@ -141,7 +141,7 @@ def pack(
                     offset += len(ids) // 4
             return pd.DataFrame(rows, columns=names)
 
-        for batch in bounded_batches(batches, "__text"):
+        for batch in bounded_batches(batches, "__text", holding=True):
             done = []
             for name, value in zip(batch["__key"], batch["__text"]):
                 ids = encode(value) + end

@@ -163,7 +163,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 2, key: str
 
     def payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = encoder(tokenizer).encode
-        for batch in bounded_batches(batches, "__text"):
+        for batch in bounded_batches(batches, "__text", holding=True):
             ids = [np.concatenate([np.frombuffer(ids_of(t), "<u4"), end]) for t in batch["__text"]]
             yield pd.DataFrame({key: batch["__key"].to_numpy(), "n_tokens": [len(x) for x in ids], "payload": encode(ids)})
 

@@ -11,12 +11,13 @@ import json
 import re
 import sys
 from array import array
-from functools import lru_cache
 
 from tokenizers import Tokenizer
 
+from lethe.llm.common import HELD
+
 #: Pieces remembered by one Python worker: half of them new ones, half those of the round before, which are asked next.
-MEMO_PIECES = 900_000
+MEMO_PIECES = 500_000
 #: White space by any definition, but space and line feed.
 _SPACES = [9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
 _OTHER_SPACE = re.compile(f"[{''.join(map(chr, _SPACES))}]")
@@ -35,10 +36,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The encoder of a file. A worker that goes on to other tasks keeps it, with the pieces it has seen."""
-    return Encoder(path)
+    """The encoder of a file. A worker that goes on to tasks of the same kind keeps it, with the pieces it has seen."""
+    if path not in HELD:
+        HELD.clear()
+        HELD[path] = Encoder(path)
+    return HELD[path]
 
 
 def _raw(ids: list[int]) -> bytes:
