@@ -293,6 +293,26 @@ def _laid(rows: DataFrame, longest: int, sizes: list[int], threshold: float) ->
     return rows.mapInArrow(lay, LAID)
 
 
+HITS = "id binary, ord int, pattern string, m int, kind int, at int"
+
+
+def _checked(likely: DataFrame, threshold: float) -> DataFrame:
+    """HITS: the rows that are whole words, or whose needle reaches the text.
+
+    A step of its own and no function in a filter: for that one, Spark would keep each row as it was before ``needle`` and
+    ``text`` were cut out of its chunk, chunk and all, until the answer is there.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column("kind").to_pylist()
+            values = [[v or b"" for v in batch.column(c).to_pylist()] for c in ("needle", "text", "end")]
+            found = reached(kinds, *values, threshold) | (np.array(kinds) == WORDS)
+            yield batch.select([column.split()[0] for column in HITS.split(", ")]).filter(pa.array(found))
+
+    return likely.mapInArrow(check, HITS)
+
+
 def _found(rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(id, fuzzy_matches) of the texts (id, owner, normal) that have some; ``owner`` is the concept."""
     entries = _pattern_keys(table, threshold)
@@ -327,13 +347,8 @@ def _found(rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     needle = F.when(kind == SWAPPED, F.col("head")).when(kind != WORDS, F.col("compact"))
     end = F.when((kind == EDGE) & back, F.col("tail"))
 
-    @F.pandas_udf(T.BooleanType())
-    def check(ways: pd.Series, needles: pd.Series, texts: pd.Series, ends: pd.Series) -> pd.Series:
-        values = [[b"" if v is None else bytes(v) for v in column] for column in (needles, texts, ends)]
-        return pd.Series(reached(ways.tolist(), *values, threshold))
-
     likely = met.where(possible).select("id", "ord", "pattern", "m", "kind", "at", needle.alias("needle"), text.alias("text"), end.alias("end"))
-    hits = likely.where((kind == WORDS) | check("kind", "needle", "text", "end"))
+    hits = _checked(likely, threshold)
     # Whole words are counted without overlap; a match by similarity counts once.
     at = F.collect_set(F.when(kind == WORDS, F.col("at")))
     counted = hits.groupBy("id", "ord", "pattern", "m").agg(F.sort_array(at).alias("places"))

@@ -240,6 +240,16 @@ def test_join_without_texts_or_patterns(spark, patterns):
         fuzzy.with_fuzzy_matches(rows, patterns, "text", threshold=20.0)
 
 
+def test_candidates_wait_for_the_check_without_their_chunk(spark, patterns):
+    rows = spark.createDataFrame([(1, "Stephan King wrote Carrie")], "id int, text string")
+    found = fuzzy.with_fuzzy_matches(rows, patterns, "text")
+    # A function in a filter keeps every waiting row whole, on disk where memory ends.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_normalize_other" in plan
+    assert all("_normalize_other" in line for line in plan.splitlines() if "EvalPython" in line)
+    assert [m.pattern for m in found.first().fuzzy_matches] == ["Stephen King", "Carrie"]
+
+
 def test_fuzzy_matches(spark, patterns):
     rows = spark.createDataFrame(
         [(1, "Stephan King wrote CARRIE, carrie it scared me."), (2, "Kingston has a kitten."), (3, "It's the shinning"), (4, "")],
