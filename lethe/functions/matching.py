@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lethe.functions import ordered
-from lethe.functions.text import DOTTED_I, WORD, digest, fold, let, ngrams, words
+from lethe.functions.text import DOTTED_I, WORD, digest, fold, let, words
 
 # Sets characters that are no words apart from words.
 MARK = "\0"
@@ -61,14 +61,20 @@ def marked(folded: Column) -> Column:
     return F.regexp_replace(folded, f"({WORD}+)", "\u0001$1\u0002")
 
 
+def pairs(folded: Column, listed: Column) -> Column:
+    """Each two neighboring words with what stands between them; ``listed`` are the words."""
+    other = WORD.replace("[", "[^")
+    rest = F.regexp_extract_all(folded, F.lit(f"(?<!{WORD}){WORD}++(?=({other}++{WORD}++))"), F.lit(1))
+    return let(rest, lambda r: F.zip_with(F.slice(listed, 1, F.size(r)), r, lambda a, b: F.concat(a, b)))
+
+
 def anchor(folded: Column) -> Column:
     """The longest pair of neighboring words, or the only word, or null without any."""
 
     def longest(t: Column) -> Column:
-        sized = F.transform(ngrams(t, 2), lambda p, i: F.struct(F.length(p).alias("l"), (-i).alias("i"), p.alias("p")))
-        return F.when(F.size(t) == 1, F.get(t, F.lit(0))).otherwise(F.array_max(sized)["p"])
+        return F.array_max(F.transform(t, lambda p, i: F.struct(F.length(p).alias("l"), (-i).alias("i"), p.alias("p"))))["p"]
 
-    return let(words(folded), longest)
+    return let(words(folded), lambda w: F.coalesce(longest(pairs(folded, w)), F.get(w, F.lit(0))))
 
 
 def entries(patterns: DataFrame) -> DataFrame:
@@ -85,28 +91,45 @@ def entries(patterns: DataFrame) -> DataFrame:
 
 
 def _tokens(text: Column) -> Column:
-    """The keys under which a folded text may meet a pattern: words, word pairs, and its other characters."""
-    marks = F.split(F.regexp_replace(text, f"{WORD}+", ""), "")
+    """The keys under which a folded text may meet a pattern: words, word pairs, and its other characters once each."""
+    # Blanks, the most frequent ones by far, are told by themselves.
+    marks = F.array_distinct(F.split(F.regexp_replace(text, WORD.replace("]", " ]+"), ""), ""))
     marked = F.transform(F.filter(marks, lambda c: c != ""), lambda c: F.concat(F.lit(MARK), c))
-    return F.array_distinct(F.concat(let(words(text), lambda w: F.concat(w, ngrams(w, 2))), marked))
+    blank = F.when(F.contains(text, F.lit(" ")), F.array(F.lit(MARK + " "))).otherwise(F.array().cast("array<string>"))
+    return let(words(text), lambda w: F.concat(w, pairs(text, w), marked, blank))
 
 
 def candidates(df: DataFrame, table: DataFrame, text: str, concept: str | None = None) -> DataFrame:
     """(__text_id, __candidates): per distinct text (and concept) the patterns whose anchor it holds.
 
-    Only keys are joined; equal texts are one, and a text's list is part of the dictionary.
+    Only keys are joined; equal texts are one, and a text's list is part of the dictionary. A pattern that is no more than
+    its anchor comes with ``n``, the number of its places; others are counted in the text.
     """
     sides = ["anchor", "concept"] if concept else ["anchor"]
     own = [F.col(concept).cast("string").alias("concept")] if concept else []
-    found = df.select("__text_id", *own, F.explode(_tokens(fold(F.col(text)))).alias("anchor"))
+    found = df.select("__text_id", *own, F.posexplode(_tokens(fold(F.col(text)))).alias("place", "anchor"))
+    folded = fold(F.col("searched"))
     first = F.concat(F.lit(MARK), F.substring(fold(F.col("pattern")), 1, 1))
-    lookup = table.withColumn("anchor", F.coalesce("anchor", first))
-    lookup = lookup if concept else lookup.drop("concept")
     # Patterns that begin and end with a word are searched for as marked text, others by regular expression.
     whole = F.col("searched").rlike(f"^{WORD}(?s:.*{WORD})?$")
-    lookup = lookup.withColumn("marked", F.when(whole, marked(fold(F.col("searched")))))
-    entry = F.struct("ord", "pattern", "marked", F.when(~whole, F.col("searched")).alias("searched"))
-    return found.join(lookup, sides).groupBy("__text_id").agg(F.sort_array(F.collect_set(entry)).alias("__candidates"))
+    # Two equal words overlap with the next two; such a pair is counted in the text.
+    twice = let(words(folded), lambda w: F.get(w, F.lit(0)).eqNullSafe(F.get(w, F.lit(1))))
+    lookup = table.withColumns({"whole": whole, "direct": F.coalesce(whole & (F.col("anchor") == folded) & ~twice, F.lit(False))})
+    lookup = lookup.select(
+        F.coalesce("anchor", first).alias("anchor"),
+        *sides[1:],
+        "ord",
+        "pattern",
+        F.when(~F.col("direct"), marked(folded)).alias("marked"),
+        F.when(~F.col("whole"), F.col("searched")).alias("searched"),
+        "direct",
+    )
+    entry = ["ord", "pattern", "marked", "searched"]
+    # Places of equal texts are the same ones.
+    places = F.count_distinct(F.when(F.col("direct"), F.col("place"))).cast("int")
+    counted = found.join(lookup, sides).groupBy("__text_id", *entry, "direct").agg(places.alias("places"))
+    one = F.struct(*entry, F.when(F.col("direct"), F.col("places")).alias("n"))
+    return counted.groupBy("__text_id").agg(F.sort_array(F.collect_list(one)).alias("__candidates"))
 
 
 def with_matches(
@@ -130,19 +153,31 @@ def add_matches(df: DataFrame, table: DataFrame, text: str, concept: str | None
     own = F.col(concept).cast("string") if concept else F.lit("")
     keyed = df.withColumn("__text_id", digest(F.col(text), own))
     near = candidates(keyed.where(F.col(text).isNotNull()), table, text, concept)
-    joined = keyed.join(near, "__text_id", "left").withColumns(
-        # Folding joins a dotted i that is spelled as two characters; such texts go by regular expression.
-        {"__marked": marked(fold(F.col(text))), "__plain": ~F.contains(F.lower(text), F.lit(DOTTED_I))}
-    )
+    joined = keyed.join(near, "__text_id", "left")
 
-    def count(e: Column) -> Column:
-        rest = F.octet_length("__marked") - F.octet_length(F.replace(F.col("__marked"), e["marked"], F.lit("")))
+    def count(e: Column, row: Column) -> Column:
+        rest = F.octet_length(row["marked"]) - F.octet_length(F.replace(row["marked"], e["marked"], F.lit("")))
         plain = (rest / F.octet_length(e["marked"])).cast("int")
         searched = F.coalesce(e["searched"], e["pattern"])
-        return F.when(e["marked"].isNotNull() & F.col("__plain"), plain).otherwise(F.regexp_count(F.col(text), whole_word(searched)))
-
-    counted = F.transform(
-        "__candidates", lambda e: F.struct(e["ord"].alias("ord"), e["pattern"].alias("pattern"), count(e).alias("n"))
+        by_expression = F.regexp_count(F.col(text), whole_word(searched))
+        known = F.when(e["n"].isNotNull(), e["n"]).when(e["searched"].isNull(), plain)
+        # Most texts that hold the anchor don't hold the pattern, which is far quicker to see.
+        known = known.when(row["simple"] & ~F.contains(row["marked"], e["marked"]), F.lit(0)).otherwise(by_expression)
+        return F.when(row["plain"], known).otherwise(by_expression)
+
+    # Once per text, and marks only where a pattern is searched for between them.
+    row = F.struct(
+        F.when(F.exists("__candidates", lambda e: e["marked"].isNotNull()), marked(fold(F.col(text)))).alias("marked"),
+        # Folding joins a dotted i that is spelled as two characters; such texts go by regular expression.
+        (~F.contains(F.lower(text), F.lit(DOTTED_I))).alias("plain"),
+        # Folding makes a letter of this mark.
+        (~F.contains(text, F.lit("\u0345"))).alias("simple"),
+    )
+    counted = let(
+        row,
+        lambda r: F.transform(
+            "__candidates", lambda e: F.struct(e["ord"].alias("ord"), e["pattern"].alias("pattern"), count(e, r).alias("n"))
+        ),
     )
     matches = F.coalesce(F.filter(counted, lambda m: m["n"] > 0), F.array().cast(MATCHES))
     return joined.withColumn("matches", matches).select(*df.columns, "matches")

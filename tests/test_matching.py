@@ -240,6 +240,24 @@ def test_join_without_texts_or_patterns(spark, patterns):
         fuzzy.with_fuzzy_matches(rows, patterns, "text", threshold=20.0)
 
 
+def test_pairs_are_counted_where_they_are_found(spark):
+    texts = ["one two, one two  one two ONE TWO", "no no no no", "one  two.", "(one two) three", "one two.\u0345 one two", "two. one two.", ""]
+    patterns = [("one two", 0), ("no no", 1), ("one two.", 2), ("(one two", 3), ("two", 4), ("one  two", 5), ("two,", 6), (".", 7), ("no no no", 8)]
+    rows = [(t,) for t in texts + texts[:2]]
+    df = spark.createDataFrame(rows, "text string")
+    table = spark.createDataFrame(patterns, "pattern string, ord int")
+    near = matching.candidates(df.withColumn("__text_id", F.col("text")), matching.entries(table), "text")
+    listed = {r["__text_id"]: {e.pattern: (e.n, e.marked is None) for e in r["__candidates"]} for r in near.collect()}
+    # Equal texts count once; words and pairs need no search of the text, other patterns do.
+    assert [listed[texts[0]].get(p) for p in ("one two", "two", "one two.")] == [(4, True), (4, True), (None, False)]
+    assert listed[texts[1]] == {p: (None, False) for p in ("no no", "no no no")}
+    got = [(r.text, {m.pattern: m.n for m in r.matches}) for r in matching.with_matches(df, table, "text").collect()]
+    assert len(got) == len(rows)
+    for text, found in got:
+        counts = {p: len(re.findall(rf"(?i)(?<!\w){re.escape(p)}(?!\w)", text)) for p, _ in patterns}
+        assert found == {p: n for p, n in counts.items() if n}, text
+
+
 def test_candidates_wait_for_the_check_without_their_chunk(spark, patterns):
     rows = spark.createDataFrame([(1, "Stephan King wrote Carrie")], "id int, text string")
     found = fuzzy.with_fuzzy_matches(rows, patterns, "text")
