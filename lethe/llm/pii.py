@@ -1,21 +1,22 @@
 """Personal data: patterns for emails, addresses, cards and phones, and terms that disclose them.
 
-A found value is a protected entity. The words around its mentions are candidates: over the corpus, the pointwise
+A found value is a protected entity. The words of the texts that mention it are candidates: over the corpus, the pointwise
 mutual information of term t and entity c is compared with the information of the entity itself,
 
     PMI(c; t) = log(N n(c,t) / (n(c) n(t)))   against   IC(c) = log(N / n(c)),
 
-counting documents with the entity, with the term near it, with the term, and all. At least SUPPORT distinct contexts of
-the entity must show the term, so that copies of one passage are no evidence. Where PMI reaches IC / GENERALIZE the term reveals the entity and is generalized to a word
-class; from IC / REMOVE on, it is removed. Terms are sought in the contexts of the entities that they reveal.
+counting documents with the entity, with both, with the term, and all. At least SUPPORT distinct contexts of the entity (the
+words around its mentions) must stand in texts with the term, so that copies of one passage are no evidence. Where PMI reaches IC / GENERALIZE the term reveals the entity and is generalized to a word
+class; from IC / REMOVE on, it is removed. A term that reveals an entity is marked at all its places in every text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,11 +34,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGITS = re.compile(r"[^0-9]+")
 
-#: A term must occur in so many distinct contexts of the entity.
+#: A term must occur with so many distinct contexts of the entity.
 SUPPORT = 3
 GENERALIZE = 1.1
 REMOVE = 1.02
-#: Words on either side of a mention, and the characters in which they are sought.
+#: The context of a mention: words on either side, and the characters in which they are sought.
 CONTEXT_WORDS = 10
 CONTEXT_CHARS = 200
 #: Distinct terms that a task counts before it passes the counts on.
@@ -105,29 +106,78 @@ def context(text: str, start: int, end: int, spans: list[tuple]) -> list[tuple[s
     return out
 
 
-_SPAN = "struct<kind:string,start:int,end:int,entity:string,context:long,terms:array<struct<term:string,start:int,end:int>>>"
+def places(text: str, spans: list[tuple], wanted: Container[str] | None = None) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of all words of the text outside the spans, or of the wanted ones."""
+    rest, end = iter(sorted((a, b) for _, a, b, _ in spans)), len(text) + 1
+    covered = next(rest, (end, end))
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while covered[1] <= a:
+            covered = next(rest, (end, end))
+        word = m.group()
+        if a < covered[1] and covered[0] < b or not (term := _term(word)) or wanted is not None and term not in wanted:
+            continue
+        yield term, a + len(word) - len(word.lstrip(_EDGES)), a + len(word.rstrip(_EDGES))
+
+
+_SPAN = "struct<kind:string,start:int,end:int,entity:string,context:long>"
+
+
+def _plain(documents: DataFrame, key: str, text: str) -> DataFrame:
+    value = documents[text].cast("string")
+    return documents.select(documents[key].alias("__key"), value.alias("__text"), F.xxhash64(value).alias("text_hash"))
 
 
 def find(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text_hash, spans): the spans of the patterns with their contexts; a null text has none."""
+    """(key, text_hash, spans, terms): the spans of the patterns, and the distinct terms of texts that have some."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in bounded_batches(batches, "__text"):
-            lists = []
+            lists, terms = [], []
             for value in batch["__text"]:
                 base = base_spans(value) if value else []
                 rows = []
                 for kind, start, end, name in base:
-                    terms = context(value, start, end, base)
-                    mark = xxhash.xxh64_intdigest("\x00".join(t[0] for t in terms)) - (1 << 63)
-                    rows.append((kind, start, end, f"{kind}:{name}", mark, terms))
+                    near = context(value, start, end, base)
+                    mark = xxhash.xxh64_intdigest("\x00".join(t[0] for t in near)) - (1 << 63)
+                    rows.append((kind, start, end, f"{kind}:{name}", mark))
                 lists.append(rows)
-            yield pd.DataFrame({key: batch["__key"].to_numpy(), "text_hash": batch["text_hash"].to_numpy(), "spans": lists})
+                terms.append(sorted({t for t, _, _ in places(value, base)}) if base else [])
+            columns = {key: batch["__key"].to_numpy(), "text_hash": batch["text_hash"].to_numpy()}
+            yield pd.DataFrame({**columns, "spans": lists, "terms": terms})
 
-    value = documents[text].cast("string")
-    plain = documents.select(documents[key].alias("__key"), value.alias("__text"), F.xxhash64(value).alias("text_hash"))
     kind = documents.schema[key].dataType.simpleString()
-    return plain.mapInPandas(spans, f"`{key}` {kind}, text_hash long, spans array<{_SPAN}>")
+    return _plain(documents, key, text).mapInPandas(spans, f"`{key}` {kind}, text_hash long, spans array<{_SPAN}>, terms array<string>")
+
+
+def located(documents: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(__key, __hash, terms): the places of the given terms (term, action) in the texts that hold some."""
+    plain = _plain(documents, key, text)
+    kind = documents.schema[key].dataType.simpleString()
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in bounded_batches(batches, "__text"):
+            found = [list({_term(w) for w in value.split()}) if value else [] for value in batch["__text"]]
+            sizes = [len(x) for x in found]
+            columns = {c: np.repeat(batch[c].to_numpy(), sizes) for c in ("__key", "text_hash")}
+            yield pd.DataFrame({**columns, "term": [t for x in found for t in x]})
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in bounded_batches(batches, "__text"):
+            lists = []
+            for value, wanted in zip(batch["__text"], batch["wanted"]):
+                actions = {t: a for a, _, t in (w.partition(":") for w in wanted)}
+                lists.append([(a, b, actions[t]) for t, a, b in places(value, base_spans(value), actions)])
+            yield pd.DataFrame({"__key": batch["__key"].to_numpy(), "__hash": batch["text_hash"].to_numpy(), "terms": lists})
+
+    held = plain.mapInPandas(listed, f"__key {kind}, text_hash long, term string").join(terms, "term")
+    named = F.collect_set(F.concat("action", F.lit(":"), "term")).alias("wanted")
+    # Stored, so that its size is known and texts move only if there is much of it.
+    held = stored(held.groupBy(F.col("__key").alias("__k"), F.col("text_hash").alias("__h")).agg(named), "pii-held")
+    same = F.col("__key").eqNullSafe(F.col("__k")) & (F.col("text_hash") == F.col("__h"))
+    rows = plain.join(held, same).select("__key", "text_hash", "__text", "wanted")
+    lists = rows.mapInPandas(place, f"__key {kind}, __hash long, terms array<struct<start:int,end:int,action:string>>")
+    return lists.dropDuplicates(["__key", "__hash"])
 
 
 def document_counts(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -152,8 +202,10 @@ def document_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 def disclosures(found: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, action): the terms that reveal an entity; ``action`` is ``generalize`` or ``remove``."""
     key = found.columns[0]
-    mentions = found.select(key, "text_hash", F.explode("spans").alias("s")).select(key, "text_hash", "s.entity", "s.context", "s.terms")
-    near = mentions.select(key, "text_hash", "entity", "context", F.explode("terms.term").alias("term"))
+    mentions = found.select(key, "text_hash", "terms", F.explode("spans").alias("s")).select(key, "text_hash", "terms", "s.entity", "s.context")
+    # Others can't have SUPPORT contexts with any term.
+    known = mentions.groupBy("entity").agg(F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= SUPPORT)
+    near = mentions.join(known.select("entity"), "entity").select(key, "text_hash", "entity", "context", F.explode("terms").alias("term"))
     support = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"))
     support = support.where(F.col("support") >= SUPPORT).drop("support")
     together = near.join(support, ["entity", "term"]).select(key, "text_hash", "entity", "term").distinct()
@@ -179,12 +231,9 @@ def sanitize(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     found = stored(find(documents, key, text), "pii-spans")
     revealing = stored(disclosures(found, documents, text), "pii-terms")
-    places = found.select(key, "text_hash", F.explode("spans").alias("s")).select(key, "text_hash", "s.entity", F.explode("s.terms").alias("t"))
-    places = places.select(key, "text_hash", "entity", "t.term", "t.start", "t.end").distinct()
-    marked = places.join(revealing, ["entity", "term"]).groupBy(key, "text_hash", "start", "end").agg(F.max("action").alias("action"))
-    lists = marked.groupBy(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms")
-    )
+    terms = revealing.groupBy("term").agg(F.max("action").alias("action"))
+    lists = located(documents, terms, key, text)
+    found = found.drop("terms")
     same = found[key].eqNullSafe(F.col("__key")) & (F.col("text_hash") == F.col("__hash"))
     empty = F.array().cast("array<struct<start:int,end:int,action:string>>")
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

@@ -149,6 +149,18 @@ def test_terms_that_reveal_an_entity(spark):
     assert "[EMAIL]" in clean[0] and "zorblat" not in clean[0] and clean[7] == texts[7] and clean[230] is None
 
 
+def test_terms_far_from_a_mention_and_in_other_texts(spark):
+    texts = [prose(60, i) for i in range(200)]
+    for i in range(6):
+        texts[i] = f"Quuxly, {texts[i]} {prose(40, 300 + i)} {prose(9, 900 + i)} write to boss@corp.example {prose(40, 950 + i)} quuxly."
+    texts[9] += " (quuxly) again"
+    rows = {r.doc_id: r for r in pii.sanitize(documents(spark, texts)).collect()}
+    for i in (0, 5, 9):
+        marked = [texts[i][t.start : t.end] for t in rows[i].terms]
+        assert [w for w in marked if w.lower() == "quuxly"] == (["quuxly"] if i == 9 else ["Quuxly", "quuxly"])
+    assert not rows[10].terms
+
+
 # Toxicity
 
 
