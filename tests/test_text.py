@@ -149,3 +149,19 @@ def test_prefix(spark):
 def test_digest_keeps_values_apart(spark):
     df = rows(spark, [("ab", "c"), ("a", "bc"), (None, "abc"), ("", "abc")], "x string, y string")
     assert df.select(X.digest(F.col("x"), F.col("y"))).distinct().count() == 4
+
+
+def test_entropy_tokens_take_the_same_rules_with_and_without_quotes(spark):
+    # Each rule by itself: what was drawn together in one pass, and texts that quotes send through all rules.
+    texts = ["cannot gimme gonna,gotta lemme wanna go. wanna", "Cannot? GONNA! (gotta) wanna\nx cannot", "a, b: c... (d) -- e* f; 3,4 [g] {h} <i>", "wannabe cannots xcannot cannot_ Lemme."]
+    with_quotes = [t + " 'tis 'twas d'ye more'n isn't it's they'll \"q\"" for t in texts]
+    got = {r.t: r.w for r in rows(spark, [(t,) for t in texts + with_quotes], "t string").select("t", X.entropy_tokens(F.col("t")).alias("w")).collect()}
+    tail = ["'t", "is", "'t", "was", "d", "'ye", "more", "'n", "is", "n't", "it", "'s", "they", "'ll", "``", "q", "''"]
+    assert got[texts[0]] == "can not gim me gon na , got ta lem me wan na go . wan na".split()
+    assert got[texts[1]] == "Can not ? GON NA ! ( got ta ) wan na x can not".split()
+    assert got[texts[3]] == "wannabe cannots xcannot cannot_ Lem me .".split()
+    for text, quoted in zip(texts, with_quotes):
+        assert got[quoted][-len(tail) :] == tail
+    # A text without quotes goes without the rules for them.
+    plan = rows(spark, [("a",)], "t string").select(X.entropy_tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 2 * (len(X.TREEBANK) + 5)
