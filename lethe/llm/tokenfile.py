@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lethe.llm.common import bounded_batches, stored
+from lethe.llm.common import BATCH_ROWS, bounded_batches, stored
 from lethe.llm.tokens import encoder
 
 BLOCK = 64
@@ -162,10 +162,12 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 2, key: str
     end = np.array([end_id], np.uint32)
 
     def payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = encoder(tokenizer).encode
-        for batch in bounded_batches(batches, "__text", holding=True):
-            ids = [np.concatenate([np.frombuffer(ids_of(t), "<u4"), end]) for t in batch["__text"]]
-            yield pd.DataFrame({key: batch["__key"].to_numpy(), "n_tokens": [len(x) for x in ids], "payload": encode(ids)})
+        ids_of = encoder(tokenizer).encode_all
+        # Texts are encoded in large batches, which look up fewer words again; blocks are packed in small ones.
+        for batch in bounded_batches(batches, "__text", holding=True, times=4):
+            ids = [np.concatenate([x, end]) for x in ids_of(batch["__text"])]
+            packed = [p for i in range(0, len(ids), BATCH_ROWS) for p in encode(ids[i : i + BATCH_ROWS])]
+            yield pd.DataFrame({key: batch["__key"].to_numpy(), "n_tokens": [len(x) for x in ids], "payload": packed})
 
     plain = documents.select(documents[key].alias("__key"), documents[text].cast("string").alias("__text"))
     ordered = plain.repartitionByRange("__key").sortWithinPartitions("__key")

@@ -11,7 +11,11 @@ import json
 import re
 import sys
 from array import array
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from lethe.llm.common import HELD
@@ -27,6 +31,9 @@ _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: How the two pre-tokenizers cut a piece of such characters into words of the model.
 _LOWERED_PARTS = re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+").findall
 _SPACED_PARTS = re.compile(f"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+").findall
+#: A comma or full stop that stands alone between a word and a space is a part by itself.
+_COMMA = re.compile(f",(?<=[{_LETTERS}0-9],)(?= )").sub
+_STOP = re.compile(f"[.](?<=[{_LETTERS}0-9][.])(?= )").sub
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,13 +62,14 @@ FIRST = "\0"
 
 
 class Encoder(dict):
-    """Maps a piece to its ids as little-endian unsigned 32-bit integers; ``encode`` does a whole text."""
+    """Maps a piece to its ids as little-endian unsigned 32-bit integers; ``encode`` does a whole text, ``encode_all``
+    the texts of a batch."""
 
     def __init__(self, path: str, memo: int = MEMO_PIECES) -> None:
         super().__init__()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self._library, self._memo, self._before = Tokenizer.from_file(path), memo // 2, {}
+        self._library, self._memo, self._before, self._batches = Tokenizer.from_file(path), memo // 2, {}, PieceTable(memo)
         before, normalizer = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
         steps = [x["type"] for x in normalizer.get("normalizers", [])]
         splits = before.get("pretokenizers", [{}])
@@ -74,18 +82,24 @@ class Encoder(dict):
         self._parts = _LOWERED_PARTS if self._lowered else _SPACED_PARTS
 
     def _tokens(self, word: str) -> bytes:
-        if word[0] == " " or not word.isascii():
+        if not word.isascii():
             # Latin-1 characters stand for the bytes here, so that one translate() spells the whole word.
             word = word.encode().decode("latin-1").translate(self._letters)
+        elif word[0] == " ":
+            word = self._letters[32] + word[1:]
         return b"".join([self._bytes[t.id] for t in self._model.tokenize(word)])
 
     def _whole(self, text: str) -> bytes:
         return _raw(self._library.encode(text, add_special_tokens=False).ids)
 
     def _ids(self, piece: str) -> bytes:
-        # A piece that begins its text carries a mark, since no space stands in front of it.
-        first = piece[0] == FIRST
+        # A piece without a space in front of it carries a mark.
+        first = piece[:1] == FIRST
         word = piece[1:] if first else piece
+        if not word:
+            return b""
+        if self._spaced and word.isalpha() and max(word) <= "\xff":
+            return self._tokens(word if first else " " + word)
         if not _LATIN(word):
             return self._whole(word if first or self._lowered or word[0] == "\n" else " " + word)
         # Latin letters, digits and ASCII signs need no normalizer but lower case. Parts are looked up by themselves.
@@ -108,14 +122,70 @@ class Encoder(dict):
         self[piece] = ids
         return ids
 
+    def _apart(self, text: str) -> str | None:
+        """The text with one space between its pieces; nothing where only the library knows its pieces."""
+        if not (self._spaced or self._lowered) or _OTHER_SPACE.search(text) or "<|" in text or FIRST in text:
+            return None
+        if self._lowered:
+            return text.replace("\n", " ")
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return None
+        text = FIRST + text.replace("\n", f" \n {FIRST}")
+        return _STOP(f" {FIRST}.", _COMMA(f" {FIRST},", text))
+
     def encode(self, text: str | None) -> bytes:
         """The ids of the text, without special tokens; none for a null or empty text."""
         if not text:
             return b""
-        if not (self._spaced or self._lowered) or _OTHER_SPACE.search(text) or "<|" in text or FIRST in text:
-            return self._whole(text)
-        if self._lowered:
-            return b"".join(map(self.__getitem__, text.split()))
-        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return self._whole(text)
-        return b"".join(map(self.__getitem__, (FIRST + text.replace("\n", " \n")).split(" ")))
+        apart = self._apart(text)
+        return self._whole(text) if apart is None else b"".join(map(self.__getitem__, apart.split(None if self._lowered else " ")))
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """The ids of each text, like ``encode``. A piece is looked up once, however often the texts have it."""
+        texts = [t or "" for t in texts]
+        apart = [t and self._apart(t) for t in texts]
+        cut = pc.split_pattern(pa.array([t or "" for t in apart], pa.large_string()), " ")
+        pieces = cut.values.dictionary_encode()
+        places = self._batches.places(pieces.dictionary, self._ids)[pieces.indices.to_numpy()]
+        ids, ends = self._batches.ids(places)
+        bounds = ends[cut.offsets.to_numpy()]
+        return [ids[x:y] if a is not None else np.frombuffer(self._whole(t), "<u4") for t, a, x, y in zip(texts, apart, bounds, bounds[1:])]
+
+
+class PieceTable:
+    """A memo for batches of texts: pieces and their ids in Arrow and NumPy arrays. Beyond ``memo`` pieces, only those
+    used last stay, half as many."""
+
+    def __init__(self, memo: int) -> None:
+        self._memo, self._round = memo, 0
+        self._pieces, self._used = pa.array([], pa.large_string()), np.zeros(0, np.int64)
+        self._flat, self._starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at these places, one after the other, and where those of each place begin and end."""
+        first = self._starts[places]
+        counts = self._starts[1:][places] - first
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(first - ends[:-1], counts)
+        at += np.arange(len(at))
+        return self._flat[at], ends
+
+    def places(self, pieces: pa.Array, ids_of: Callable[[str], bytes]) -> np.ndarray:
+        """The places of some distinct pieces, good until the next call; ``ids_of`` is asked for new ones."""
+        if len(self._pieces) > self._memo:
+            keep = np.sort(np.argsort(self._used, kind="stable")[-(self._memo // 2) :])
+            self._flat, self._starts = self.ids(keep)
+            self._pieces, self._used = self._pieces.take(pa.array(keep)), self._used[keep]
+        found = pc.index_in(pieces, value_set=self._pieces)
+        places, missed = found.fill_null(0).to_numpy().astype(np.int64), found.is_null()
+        new = pieces.filter(missed)
+        ids = [ids_of(piece) for piece in new.to_numpy(zero_copy_only=False)]
+        places[missed.to_numpy(zero_copy_only=False)] = len(self._pieces) + np.arange(len(ids))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self._pieces = pa.concat_arrays([self._pieces, new])
+        self._flat = np.concatenate([self._flat, np.frombuffer(b"".join(ids), "<u4")])
+        self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(sizes)])
+        self._round += 1
+        self._used = np.concatenate([self._used, np.zeros(len(ids), np.int64)])
+        self._used[places] = self._round
+        return places

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lethe.llm import common, mixing, neighbors, packing, queries, sharding, tokenfile
-from lethe.llm.tokens import Encoder
+from lethe.llm.tokens import FIRST, Encoder
 
 SCHEMA = "doc_id long, text string, source string, size long, shard int, ids string, target double, block int"
 
@@ -59,6 +59,37 @@ def test_pieces_encode_like_whole_texts(path):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [queries.WORD_VOCABULARY, queries.BYTE_VOCABULARY])
+def test_batches_encode_like_whole_texts(path):
+    encoder, library = Encoder(path, memo=50), Tokenizer.from_file(path)
+    chooser = random.Random(9)
+    texts = ODD + ["", "It's 5, 6. No., a!, b.. c\nD,\nE.\n'f, ª. µm, º", "Ünï, ÿes. Ωmega, ×. 7é,"]
+    texts += ["".join(chooser.choice("abEéßstSllreÿ×ªŒ#$45 .,!\n'1- ́") for _ in range(40)) for _ in range(800)]
+    texts += [prose(30, i).replace(" w1", ", w1").replace(" w2", ".\nw2") for i in range(200)]
+    chooser.shuffle(texts)
+    for start in range(0, len(texts), 100):
+        some = texts[start : start + 100]
+        for text, ids in zip(some, encoder.encode_all(some), strict=True):
+            assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert encoder.encode_all([]) == [] and [len(x) for x in encoder.encode_all([None, ""])] == [0, 0]
+
+
+def test_batches_ask_once_for_a_word_and_forget_the_oldest(monkeypatch):
+    asked = []
+    whole = Encoder._ids
+    monkeypatch.setattr(Encoder, "_ids", lambda self, piece: asked.append(piece) or whole(self, piece))
+    encoder = Encoder(queries.BYTE_VOCABULARY, memo=20)
+    encoder.encode_all(["then some words, more words. And words, some", "and more words, then"] * 50)
+    assert len(asked) == len(set(asked)) and "words" in asked and "words," not in asked
+    asked.clear()
+    encoder.encode_all(["then more words, some words"])
+    assert asked == []
+    encoder.encode_all([f"then {chr(98 + i)}" for i in range(20)])
+    asked.clear()
+    encoder.encode_all(["then some", "then u"])
+    assert "some" in asked and "u" not in asked
+
+
 # Token files
 
 
