@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lethe.llm.common import BATCH_ROWS, bounded_batches, stored
+from lethe.llm.common import bounded_batches, stored
 from lethe.llm.tokens import encoder
 
 BLOCK = 64
 PERCENTILE = 90
+#: Documents packed at a time: their arrays stay in the processor's cache.
+PACKED_ROWS = 256
 
 
 def _shifts(width: int) -> Iterator[tuple[int, int, int]]:
@@ -57,11 +59,11 @@ def encode(documents: list[np.ndarray], percentile: int = PERCENTILE) -> list[by
     widths = np.frexp(np.partition(rest, rank, axis=1)[:, rank].astype(np.float64))[1].astype(np.int64)
     over = rest > ((np.uint64(1) << widths.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     patched = over.sum(axis=1)
-    block_of, places = np.nonzero(over)
-    values = rest[over]
+    exceptions = np.flatnonzero(over)
+    places, values = exceptions % BLOCK, rest.reshape(-1)[exceptions]
     firsts = np.cumsum(widths) - widths
     words = np.zeros(int(widths.sum()), np.uint64)
-    columns = np.ascontiguousarray(rest.T).astype(np.uint64)
+    columns = rest.T.astype(np.uint64, order="C")
     for width in np.unique(widths[widths > 0]).tolist():
         chosen = np.flatnonzero(widths == width)
         part = columns[:, chosen] & np.uint64((1 << width) - 1)
@@ -166,7 +168,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 2, key: str
         # Texts are encoded in large batches, which look up fewer words again; blocks are packed in small ones.
         for batch in bounded_batches(batches, "__text", holding=True, times=4):
             ids = [np.concatenate([x, end]) for x in ids_of(batch["__text"])]
-            packed = [p for i in range(0, len(ids), BATCH_ROWS) for p in encode(ids[i : i + BATCH_ROWS])]
+            packed = [p for i in range(0, len(ids), PACKED_ROWS) for p in encode(ids[i : i + PACKED_ROWS])]
             yield pd.DataFrame({key: batch["__key"].to_numpy(), "n_tokens": [len(x) for x in ids], "payload": packed})
 
     plain = documents.select(documents[key].alias("__key"), documents[text].cast("string").alias("__text"))

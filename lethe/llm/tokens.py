@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from lethe.llm.common import HELD
+from lethe.llm.common import BATCH_ROWS, HELD
 
 #: Pieces remembered by one Python worker: half of them new ones, half those of the round before, which are asked next.
 MEMO_PIECES = 900_000
@@ -147,9 +147,13 @@ class Encoder(dict):
         cut = pc.split_pattern(pa.array([t or "" for t in apart], pa.large_string()), " ")
         pieces = cut.values.dictionary_encode()
         places = self._batches.places(pieces.dictionary, self._ids)[pieces.indices.to_numpy()]
-        ids, ends = self._batches.ids(places)
-        bounds = ends[cut.offsets.to_numpy()]
-        return [ids[x:y] if a is not None else np.frombuffer(self._whole(t), "<u4") for t, a, x, y in zip(texts, apart, bounds, bounds[1:])]
+        out = []
+        for i in range(0, len(texts), BATCH_ROWS):
+            bounds = cut.offsets.to_numpy()[i : i + BATCH_ROWS + 1]
+            ids, ends = self._batches.ids(places[bounds[0] : bounds[-1]])
+            ends = ends[bounds - bounds[0]]
+            out += [ids[x:y] if a is not None else np.frombuffer(self._whole(t), "<u4") for t, a, x, y in zip(texts[i:], apart[i:], ends, ends[1:])]
+        return out
 
 
 class PieceTable:
