@@ -12,13 +12,13 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lethe.llm.common import bounded_batches, stored
+from lethe.llm.common import bounded_slices, stored
 from lethe.llm.tokens import encoder
 
 WINDOW = 4096
@@ -87,22 +87,25 @@ def pieces(
     )
     end = int(end_id).to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        for batch in bounded_batches(batches, "__text", holding=True):
-            rows = []
-            for name, value in zip(batch["__key"], batch["__text"]):
-                ids = encode(value) + end
-                for number, start in enumerate(range(0, len(ids), 4 * window)):
-                    piece = ids[start : start + 4 * window]
-                    length = len(piece) // 4
-                    rows.append((None if pd.isna(name) else name, number, start // 4, length, piece, part, seen[length]))
-                    seen[length] += 1
-            yield pd.DataFrame(rows, columns=schema.names)
+        with encoder(tokenizer) as encode:
+            for batch in bounded_slices(batches, "__text"):
+                names, texts = batch.columns
+                rows = []
+                for name, found in zip(names.to_pylist(), encode.encode_all(texts.to_pylist())):
+                    ids = found.tobytes() + end
+                    for number, start in enumerate(range(0, len(ids), 4 * window)):
+                        piece = ids[start : start + 4 * window]
+                        length = len(piece) // 4
+                        rows.append((name, number, start // 4, length, piece, part, seen[length]))
+                        seen[length] += 1
+                kinds = [names.type, *[pa.binary() if f.name == "ids" else pa.int64() for f in schema[1:]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema.names)
 
     plain = documents.select(documents[key].alias("__key"), documents[text].cast("string").alias("__text"))
-    return stored(plain.mapInPandas(cut, schema), "pieces")
+    return stored(plain.mapInArrow(cut, schema), "pieces")
 
 
 def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lethe.llm.common import bounded_batches
+from lethe.llm.common import bounded_slices
 from lethe.llm.tokens import encoder
 
 WINDOW = 4096
@@ -127,29 +127,30 @@ def pack(
     )
     end = int(end_id).to_bytes(4, "little")
 
-    def lane(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, packer = encoder(tokenizer).encode, Lane(window)
-        first = TaskContext.get().partitionId() * LANE_IDS
-        names = [f.name for f in schema]
+    def lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, first = Lane(window), TaskContext.get().partitionId() * LANE_IDS
 
-        def frame(done: list[tuple[int, list[tuple]]]) -> pd.DataFrame:
-            rows = []
+        def rows(done: list[tuple[int, list[tuple]]], keys: pa.DataType) -> pa.RecordBatch:
+            found = []
             for number, pieces in done:
                 offset = 0
                 for (name, total), start, ids in pieces:
-                    rows.append((name, start, len(ids) // 4, ids, total, first + number, offset))
+                    found.append((name, start, len(ids) // 4, ids, total, first + number, offset))
                     offset += len(ids) // 4
-            return pd.DataFrame(rows, columns=names)
-
-        for batch in bounded_batches(batches, "__text", holding=True):
-            done = []
-            for name, value in zip(batch["__key"], batch["__text"]):
-                ids = encode(value) + end
-                done += packer.add((None if pd.isna(name) else name, len(ids) // 4), ids)
-            if done:
-                yield frame(done)
+            kinds = [keys, *[pa.binary() if f.name == "ids" else pa.int64() for f in schema[1:]]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], schema.names)
+
+        kind = pa.null()
+        with encoder(tokenizer) as encode:
+            for batch in bounded_slices(batches, "__text"):
+                names, texts = batch.columns
+                kind, done = names.type, []
+                for name, ids in zip(names.to_pylist(), encode.encode_all(texts.to_pylist())):
+                    done += packer.add((name, len(ids) + 1), ids.tobytes() + end)
+                if done:
+                    yield rows(done, kind)
         if done := packer.flush():
-            yield frame(done)
+            yield rows(done, kind)
 
     plain = documents.select(documents[key].alias("__key"), documents[text].cast("string").alias("__text"))
-    return plain.mapInPandas(lane, schema)
+    return plain.mapInArrow(lane, schema)

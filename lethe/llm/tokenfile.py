@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lethe.llm.common import bounded_batches, stored
+from lethe.llm.common import bounded_batches, bounded_slices, stored
 from lethe.llm.tokens import encoder
 
 BLOCK = 64
@@ -163,17 +164,19 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 2, key: str
     schema = T.StructType([T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), T.StructField("payload", T.BinaryType())])
     end = np.array([end_id], np.uint32)
 
-    def payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = encoder(tokenizer).encode_all
-        # Texts are encoded in large batches, which look up fewer words again; blocks are packed in small ones.
-        for batch in bounded_batches(batches, "__text", holding=True, times=4):
-            ids = [np.concatenate([x, end]) for x in ids_of(batch["__text"])]
-            packed = [p for i in range(0, len(ids), PACKED_ROWS) for p in encode(ids[i : i + PACKED_ROWS])]
-            yield pd.DataFrame({key: batch["__key"].to_numpy(), "n_tokens": [len(x) for x in ids], "payload": packed})
+    def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Texts are encoded in large slices, which look up fewer words again; blocks are packed in small ones.
+        with encoder(tokenizer) as encoded:
+            for batch in bounded_slices(batches, "__text"):
+                names, texts = batch.columns
+                ids = [np.concatenate([x, end]) for x in encoded.encode_all(texts.to_pylist())]
+                packed = [p for i in range(0, len(ids), PACKED_ROWS) for p in encode(ids[i : i + PACKED_ROWS])]
+                sizes = pa.array([len(x) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([names, sizes, pa.array(packed, pa.binary())], schema.names)
 
     plain = documents.select(documents[key].alias("__key"), documents[text].cast("string").alias("__text"))
     ordered = plain.repartitionByRange("__key").sortWithinPartitions("__key")
-    return stored(ordered.mapInPandas(payloads, schema).withColumn("__part", F.spark_partition_id()), "tokens")
+    return stored(ordered.mapInArrow(payloads, schema).withColumn("__part", F.spark_partition_id()), "tokens")
 
 
 def read_tokens(files: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,14 +11,15 @@ import json
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from lethe.llm.common import BATCH_ROWS, HELD
+from lethe.llm.common import BATCH_ROWS
 
 #: Pieces remembered by one Python worker: half of them new ones, half those of the round before, which are asked next.
 MEMO_PIECES = 900_000
@@ -43,12 +44,16 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a file. A worker that goes on to tasks of the same kind keeps it, with the pieces it has seen."""
-    if path not in HELD:
-        HELD.clear()
-        HELD[path] = Encoder(path)
-    return HELD[path]
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The encoder of a file, for one task. Tasks go round all idle workers of an executor, of which there can be more
+    than cores: memory is given back at the end."""
+    made = Encoder(path)
+    try:
+        yield made
+    finally:
+        made.forget()
+        pa.default_memory_pool().release_unused()
 
 
 def _raw(ids: list[int]) -> bytes:
@@ -81,6 +86,11 @@ class Encoder(dict):
         self._bytes = [i.to_bytes(4, "little") for i in range(1 + max(self._library.get_vocab().values()))]
         self._parts = _LOWERED_PARTS if self._lowered else _SPACED_PARTS
 
+    def forget(self) -> None:
+        """Let go of all pieces."""
+        self.clear()
+        self._before, self._batches = {}, PieceTable(2 * self._memo)
+
     def _tokens(self, word: str) -> bytes:
         if not word.isascii():
             # Latin-1 characters stand for the bytes here, so that one translate() spells the whole word.
